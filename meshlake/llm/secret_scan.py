@@ -32,6 +32,9 @@ from .common import broadcast_if_small, shared_table
 
 #: Ids per block of the index.
 BLOCK = 4096
+#: Trigrams that are kept of one run of literals, its first and its last ones. Fewer are a weaker
+#: query, never a wrong one, and each costs a pass over the text.
+PER_RUN = 2
 
 
 @dataclass(frozen=True)
@@ -83,7 +86,8 @@ def _combine(op: str, parts: list[Query]) -> Query:
 
 
 def _trigrams(run: str) -> Query:
-    return _combine("and", [run[i : i + 3] for i in range(len(run) - 2)])
+    found = [run[i : i + 3] for i in range(len(run) - 2)]
+    return _combine("and", found if len(found) <= PER_RUN else found[: PER_RUN - 1] + found[-1:])
 
 
 def trigram_query(pattern: str) -> Query:
@@ -122,7 +126,8 @@ def trigrams_in(query: Query) -> set[str]:
 # ---------------------------------------------------------------- index and candidates
 def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """``(block, p_0, p_1, ...)``: for each block of ids the sorted posting list of each trigram."""
-    low = docs.select("key", F.lower("text").alias("low"))
+    # Exploding an array of one keeps the optimizer from lower-casing the text again for each trigram.
+    low = docs.select("key", F.explode(F.array(F.lower("text"))).alias("low"))
     present = F.filter(
         F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))), lambda x: x.isNotNull()
     )
@@ -148,11 +153,11 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     trigrams = sorted(set().union(*map(trigrams_in, queries)))
     at = {t: f"p_{i}" for i, t in enumerate(trigrams)}
     index = trigram_postings(docs, trigrams)
-    answers = [
-        F.transform(_answer(q, at), lambda key, bit=1 << i: F.struct(key.alias("key"), F.lit(bit).alias("bit")))
-        for i, q in enumerate(queries)
-        if q is not True
-    ]
+
+    def with_bit(keys: Column, bit: int) -> Column:
+        return F.transform(keys, lambda key: F.struct(key.alias("key"), F.lit(bit).alias("bit")))
+
+    answers = [with_bit(_answer(q, at), 1 << i) for i, q in enumerate(queries) if q is not True]
     return index.select(F.explode(F.concat(*answers)).alias("x")).groupBy("x.key").agg(F.bit_or("x.bit").alias("mask"))
 
 
