@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, license_scan, secret_scan
+from . import chat_format, fingerprint, language_id, license_scan, packing, secret_scan
 from .common import read_table
 
 
@@ -21,6 +21,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed package of public vocabularies has the file; executors have the same package."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,8 +46,12 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op5_secret_scan, op8_license_scan, op9_fingerprint)
+    f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op5_secret_scan, op8_license_scan, op9_fingerprint, op10_language_id)
 }
 
 _CHAT = """
