@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, language_id, license_scan, packing, secret_scan
+from . import chat_format, decontaminate, fingerprint, language_id, license_scan, packing, secret_scan, span_dedup
 from .common import read_table
 
 
@@ -36,6 +36,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.deduplicate(read_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.license_scan(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -51,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op5_secret_scan, op8_license_scan, op9_fingerprint, op10_language_id)
+    f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op5_secret_scan, op6_decontaminate, op7_span_dedup, op8_license_scan, op9_fingerprint, op10_language_id)
 }
 
 _CHAT = """
