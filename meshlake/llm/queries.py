@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, language_id, license_scan, packing, secret_scan, span_dedup
+from . import chat_format, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, quality, secret_scan, span_dedup
 from .common import read_table
 
 
@@ -32,6 +32,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op5_secret_scan, op6_decontaminate, op7_span_dedup, op8_license_scan, op9_fingerprint, op10_language_id)
+    f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_quality_rules, op4_jaccard_join, op5_secret_scan, op6_decontaminate, op7_span_dedup, op8_license_scan, op9_fingerprint, op10_language_id)
 }
 
 _CHAT = """
