@@ -225,10 +225,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             table = np.array([statistics(t) for t in batch.column(columns.index("text")).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
             arrays = [*batch.columns, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(table.shape[1]))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *(f"quality_{s}" for s in STATISTICS)])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *(f"_quality_{s}" for s in STATISTICS)])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    wide = StructType([*typed.fields, *(StructField(f"quality_{s}", DoubleType()) for s in STATISTICS)])
+    wide = StructType([*typed.fields, *(StructField(f"_quality_{s}", DoubleType()) for s in STATISTICS)])
     scored = docs.mapInArrow(run, wide)
-    return scored.where(model.score("quality_") >= KEEP).select(*columns)
+    return scored.where(model.score("_quality_") >= KEEP).select(*columns)

@@ -192,19 +192,23 @@ def _spans(rule: Rule, i: int) -> Column:
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``spans``: an array of (start, rank, kind, end), by start and then by the rules' order."""
-    docs = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    source = docs.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    """``docs`` with ``secret_spans``: an array of (start, rank, kind, end), by start and then by the rules' order.
+
+    Names of its own work begin with ``secret_``; ``docs`` is kept inside a struct meanwhile, so
+    its columns can't clash with them.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    source = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = broadcast_if_small(shared_table(candidates(source, rules), "secret-candidates"))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    joined = docs.withColumnRenamed("text", "raw_text").join(found, "key", "left").withColumn("text", F.coalesce("raw_text", F.lit("")))
+    joined = docs.select(F.struct("*").alias("row"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(found, "key", "left")
     per_rule = []
     for i, rule in enumerate(rules):
         spans = _spans(rule, i)
         if trigram_query(rule.pattern) is not True:
             spans = F.when(F.col("mask").bitwiseAND(1 << i) != 0, spans).otherwise(none)
         per_rule.append(spans)
-    return joined.withColumn("spans", F.sort_array(F.concat(*per_rule))).drop("key", "mask", "text").withColumnRenamed("raw_text", "text")
+    return joined.select("row", F.sort_array(F.concat(*per_rule)).alias("secret_spans"))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -216,31 +220,31 @@ def joined_spans(spans: Column) -> Column:
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans, one row per document."""
     n = sum(r.base for r in rules)
-    out = secret_spans(docs.select("doc_id", "text"), rules).drop("text")
-    base = F.filter("spans", lambda s: s["rank"] < n)
-    count = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
+    out = secret_spans(docs.select("doc_id", "text"), rules)
+    base = F.filter("secret_spans", lambda s: s["rank"] < n)
+    count = lambda i: F.size(F.filter("secret_spans", lambda s: s["rank"] == i)).cast("long")
     return out.select(
-        "doc_id",
+        "row.doc_id",
         *(count(i).alias(f"n_{r.kind}") for i, r in enumerate(rules) if r.base),
         F.sha2(joined_spans(base), 256).alias("base_sha256"),
-        joined_spans(F.col("spans")).alias("spans"),
+        joined_spans(F.col("secret_spans")).alias("spans"),
     )
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; spans that overlap are replaced as one. Null texts stay null."""
-    columns = docs.columns
     out = secret_spans(docs, rules)
+    text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc, s):
         fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(fresh, F.concat(acc["done"], gap, F.lit(mark))).otherwise(acc["done"]).alias("done"),
         )
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = out.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    return out.select(*columns)
+    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = F.when(F.size("secret_spans") > 0, clean).otherwise(text)
+    return out.select(*((new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
