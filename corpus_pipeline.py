@@ -1,8 +1,65 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES: list = []
+``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns a
+DataFrame that is written as Parquet and read again as the next stage's ``docs``. All but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlake.llm import decontaminate, jaccard_join, packing, quality, secret_scan
+from meshlake.llm.common import read_table, shared_table
+from meshlake.llm.queries import tokenizer_path
+
+
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar shingle sets stays."""
+    return jaccard_join.one_of_each_group(docs)
+
+
+def drop_leaked_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; ``n_chars`` follows the text."""
+    clean = secret_scan.redact(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes token sequences: one row per piece with its sequence and place."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", keep_good_texts),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaked_benchmarks),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack_sequences),
+]
+
+#: The classifier, the tokenizer and the packing can't be expressed in SQL; tests/llm holds the
+#: pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = shared_table(docs, name.replace(" ", "-"))
+    return docs
