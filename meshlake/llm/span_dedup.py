@@ -3,13 +3,17 @@
 From each sentence on, a run of consecutive sentences is hashed: at least ``LEAST_SENTENCES``, and
 as many as it takes for ``LEAST_WORDS`` words, so that no chance repetition of short sentences
 counts. Runs with one hash meet in a join across all documents. The first of them, by (doc_id,
-place), stays; every sentence that any other one covers is removed.
+place), stays; every sentence that any other one covers is removed. Each stretch of them is then
+extended word by word to both sides, by up to ``FLANK`` words that follow in the first place too.
 
 Sentences end at ``.``, ``!``, ``?`` before white space and at line ends; one of more than
-``LONGEST`` words is cut every ``LONGEST`` words. They are compared lower-cased and by words.
+``LONGEST`` words is cut before words whose hash is the least of ``NEAR`` words to both sides, so
+that a passage is cut alike wherever it stands, and what is still longer every ``LONGEST`` words
+from such a cut. They are compared lower-cased and by words.
 
 Defined cases
 -------------
+* ``n_removed`` counts whole sentences; ``removed`` and ``text`` also have the words of the extension.
 * Null and empty texts have no sentences. A document shorter than a run is never changed.
 * Rows with one id and one text are one document; a null id sorts first and is kept.
 * Ties of place can't occur otherwise. Further columns stay as they are (in ``deduplicate``).
@@ -19,6 +23,7 @@ Defined cases
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 import xxhash
@@ -30,13 +35,36 @@ from .common import broadcast_if_small, shared_table
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 LONGEST = 12
+NEAR = 3
+#: No chance repetition is as long, and a repeated passage is cut alike this far from its ends.
+FLANK = LEAST_WORDS + LONGEST
+#: Code points around a stretch in which its neighbours are sought.
+_REACH = 4096
+#: Flanks up to which they are broadcast.
+BROADCAST_FLANKS = 50_000
 
 RUNS = "hash long, doc_id long, text_hash long, at int, n int"
+EDGES = "doc_id long, text_hash long, own int, side int, first_doc long, first_text long, place int"
+FLANKS = "first_doc long, first_text long, place int, side int, words string"
 CUTS = "doc_id long, n_sentences long, n_removed long, removed string, text string"
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\S+")
 
 
+def _pieces(words: list[str]) -> list[tuple[int, int]]:
+    """Where a long sentence is cut: (first word, end) of each piece."""
+    n = len(words)
+    h = [*[-1] * NEAR, *map(zlib.crc32, [w.lower().encode("utf-8", "surrogatepass") for w in words]), *[-1] * NEAR]
+    out, start = [], 0
+    for i in range(1, n + 1):
+        x = h[i + NEAR] if i < n else 0
+        if i < n and not (x < min(h[i : i + NEAR]) and x <= min(h[i + NEAR + 1 : i + 2 * NEAR + 1])):
+            continue
+        out += [(j, min(j + LONGEST, i)) for j in range(start, i, LONGEST)]
+        start = i
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, words in normal form, number of words) of each sentence."""
     out = []
@@ -47,8 +75,8 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
                 out.append((m.start(), m.end(), " ".join(words).lower(), len(words)))
             continue
         found = list(_WORD.finditer(text, m.start(), m.end()))
-        for i in range(0, len(found), LONGEST):
-            part = found[i : i + LONGEST]
+        for i, j in _pieces(words):
+            part = found[i:j]
             out.append((part[0].start(), part[-1].end(), " ".join(w.group() for w in part).lower(), len(part)))
     return out
 
@@ -80,6 +108,12 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows one at a time: nested values of a whole batch take much memory in Python."""
+    for i in range(batch.num_rows):
+        yield {name: col[i].as_py() for name, col in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 def sentence_runs(docs: DataFrame) -> DataFrame:
     schema = _schema(RUNS)
 
@@ -102,29 +136,135 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """Per document with repeated runs: the sentences that non-first ones cover, and where the first ones are.
 
-    ``(doc_id, text_hash, ranges array<struct<at,n>>, first_doc_ids)``; both arrays are bounded by
-    the document's number of sentences.
+    ``(doc_id, text_hash, ranges array<struct<at,n,first>>, first_doc_ids)``; both arrays are bounded
+    by the document's number of sentences.
     """
     runs = shared_table(sentence_runs(docs), "sentence-runs")
-    place = F.struct("doc_id", "text_hash", "at")
+    place = F.struct("doc_id", "text_hash", "at", "n")
     repeated = runs.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("hash", "first")
     repeated = shared_table(repeated, "repeated-runs")
-    others = runs.join(repeated, "hash").where(~F.struct("doc_id", "text_hash", "at").eqNullSafe(F.col("first")))
+    others = runs.join(repeated, "hash").where(~F.struct("doc_id", "text_hash", "at", "n").eqNullSafe(F.col("first")))
     return others.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("at", "n")).alias("ranges"), F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids")
+        F.collect_set(F.struct("at", "n", "first")).alias("ranges"), F.sort_array(F.collect_set("first.doc_id")).alias("first_doc_ids")
     )
 
 
-def _cut(text: str, ranges: list[dict]) -> tuple[int, list[tuple[int, int]], str]:
+def _stretches(ranges: list[dict]) -> list[tuple[int, int]]:
+    """(first sentence, end) of each stretch of covered sentences."""
+    out: list[list[int]] = []
+    for at, end in sorted((r["at"], r["at"] + r["n"]) for r in ranges):
+        if out and at <= out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([at, end])
+    return [(a, b) for a, b in out]
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """The runs at both ends of each stretch (side -1 and 1), with the same place in the first copy."""
+    schema = _schema(EDGES)
+
+    def run(batches):
+        for batch in batches:
+            cols: list[list] = [[] for _ in schema]
+            for r in _rows(batch):
+                ends = _stretches(r["ranges"])
+                starts, stops = {a for a, _ in ends}, {b for _, b in ends}
+                for x in r["ranges"]:
+                    first, stop = x["first"], x["at"] + x["n"]
+                    rows = [(x["at"], -1, first["at"])] if x["at"] in starts else []
+                    if stop in stops:
+                        rows.append((stop, 1, first["at"] + first["n"]))
+                    for own, side, place in rows:
+                        for col, v in zip(cols, (r["doc_id"], r["text_hash"], own, side, first["doc_id"], first["text_hash"], place), strict=True):
+                            col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return found.select("doc_id", "text_hash", "ranges").mapInArrow(run, EDGES)
+
+
+def _neighbours(text: str, at: int, side: int) -> list[re.Match]:
+    """Up to ``FLANK`` words before or after a place in the text, the nearest first."""
+    if side > 0:
+        stop = min(len(text), at + _REACH)
+        words = list(_WORD.finditer(text, at, stop))
+        if stop < len(text) and words and words[-1].end() == stop:
+            words.pop()
+        return words[:FLANK]
+    start = max(0, at - _REACH)
+    words = list(_WORD.finditer(text, start, at))
+    if start and words and words[0].start() == start:
+        words.pop(0)
+    return words[::-1][:FLANK]
+
+
+def _keyed(df: DataFrame, col: str) -> DataFrame:
+    return df.withColumn("key", F.coalesce(col, F.lit(-1)))
+
+
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    return keyed.join(broadcast_if_small(keys), "key", "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def _flanks(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The words beside each asked place of the first copies."""
+    schema = _schema(FLANKS)
+    asked = edges.groupBy("first_doc", "first_text").agg(F.collect_set(F.struct("place", "side")).alias("places"))
+    asked = shared_table(_keyed(asked, "first_doc"), "asked-places")
+    texts = _texts_of(docs, asked.select("key").distinct()).select("key", "text")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in _rows(batch):
+                if r["text"] is None or _text_hash(r["text"]) != r["first_text"]:
+                    continue  # another text under the same id
+                parts = sentences(r["text"])
+                for p in r["places"]:
+                    at = parts[p["place"] - 1][1] if p["side"] > 0 else parts[p["place"]][0]
+                    words = " ".join(m.group().lower() for m in _neighbours(r["text"], at, p["side"]))
+                    if words:
+                        rows.append({"first_doc": r["first_doc"], "first_text": r["first_text"], "place": p["place"], "side": p["side"], "words": words})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return texts.join(asked, "key").select("text", "first_doc", "first_text", "places").mapInArrow(run, FLANKS)
+
+
+def extensions(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Per document with covered sentences: ``(doc_id, text_hash, beside array<struct<own,side,words>>)``."""
+    edges = shared_table(_edges(found), "span-edges")
+    flanks = shared_table(_flanks(docs, edges), "span-flanks")
+    flanks = _keyed(flanks, "first_doc").drop("first_doc")
+    met = _keyed(edges, "first_doc").join(broadcast_if_small(flanks, BROADCAST_FLANKS), ["key", "first_text", "place", "side"])
+    return met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("own", "side", "words")).alias("beside"))
+
+
+def _cut(text: str, ranges: list[dict], beside: list[dict]) -> tuple[int, list[tuple[int, int]], str]:
     """Number of sentences, the removed stretches of code points, and what is left."""
     parts = sentences(text)
-    gone = {i for r in ranges for i in range(r["at"], r["at"] + r["n"])}
+    flanks: dict[tuple[int, int], list[str]] = {}
+    for x in beside:
+        flanks.setdefault((x["own"], x["side"]), []).append(x["words"])
+
+    def extended(own: int, side: int, at: int) -> int:
+        best = at
+        if (own, side) in flanks:
+            near = _neighbours(text, at, side)
+            for words in flanks[own, side]:
+                for m, word in zip(near, words.split(" ")):
+                    if m.group().lower() != word:
+                        break
+                    best = max(best, m.end()) if side > 0 else min(best, m.start())
+        return best
+
     spans: list[list[int]] = []
-    for i in sorted(gone):
-        if spans and i - 1 in gone:
-            spans[-1][1] = parts[i][1]
+    for i, j in _stretches(ranges):
+        a, b = extended(i, -1, parts[i][0]), extended(j, 1, parts[j - 1][1])
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
         else:
-            spans.append([parts[i][0], parts[i][1]])
+            spans.append([a, b])
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
@@ -141,20 +281,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     schema = _schema(CUTS + ", first_doc_ids array<long>")
     found = shared_table(covered(docs), "covered-sentences")
-    ids = found.select(F.coalesce("doc_id", F.lit(-1)).alias("key")).distinct()
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-1)))
-    texts = keyed.join(broadcast_if_small(ids), "key", "left_semi").dropDuplicates(["doc_id", "text"])
-    small = texts.join(found.withColumn("key", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), "key")
+    texts = _texts_of(docs, _keyed(found, "doc_id").select("key").distinct())
+    beside = extensions(docs, found).withColumnRenamed("doc_id", "own_doc").withColumnRenamed("text_hash", "own_text")
+    whole = found.join(beside, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_hash") == F.col("own_text")), "left")
+    small = texts.join(_keyed(whole, "doc_id").drop("doc_id"), "key")
 
     def run(batches):
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 if r["text"] is None or _text_hash(r["text"]) != r["text_hash"]:
                     continue  # another text under the same id
-                n, spans, left = _cut(r["text"], r["ranges"])
+                n, spans, left = _cut(r["text"], r["ranges"], r["beside"] or [])
                 gone = len({i for x in r["ranges"] for i in range(x["at"], x["at"] + x["n"])})
                 rows.append({"doc_id": r["doc_id"], "n_sentences": n, "n_removed": gone, "removed": ",".join(f"{a}-{b}" for a, b in spans), "text": left, "first_doc_ids": r["first_doc_ids"]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return small.select("doc_id", "text", "text_hash", "ranges", "first_doc_ids").mapInArrow(run, CUTS + ", first_doc_ids array<long>")
+    return small.select("doc_id", "text", "text_hash", F.transform("ranges", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"))).alias("ranges"), "beside", "first_doc_ids").mapInArrow(run, CUTS + ", first_doc_ids array<long>")

@@ -76,6 +76,16 @@ def test_span_dedup_passage_at_other_sentence_bounds(spark):
     assert "shared30" not in got[0].text and "Delta." in got[0].text and "Three." in got[0].text and got[0].first_doc_ids == [1]
 
 
+@pytest.mark.parametrize("before", [1, 5, 11])
+def test_span_dedup_passage_inside_long_sentences(spark, before):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    around = lambda d, n: " ".join(f"d{d}w{i}" for i in range(n))
+    rows = [(1, f"{around(1, 30)} {passage} {around(2, 30)}"), (2, f"{around(3, 30 + before)} {passage} {around(4, 30)}")]
+    got = span_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_doc_ids) for r in got] == [(2, [1])]
+    assert got[0].text.split() == f"{around(3, 30 + before)} {around(4, 30)}".split()
+
+
 def test_span_dedup_odd_rows(odd, odd_rows, nothing):
     got = {r.doc_id for r in span_dedup.deduplicate(odd).collect()}
     assert {8, 9} <= got and not got & {1, 2, 3, 4, 5, 6, 7, 10}
