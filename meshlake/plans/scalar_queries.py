@@ -52,6 +52,12 @@ def json_escape(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.json_escaped(F.substring("html", 1, 400)).alias("escaped"))
 
 
+@query("""select page_id, replace(replace(replace(replace(replace(html, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as escaped from pages""")
+def json_escape_whole(spark, sf):
+    """Whole pages; ``json_escape`` has their first 400 characters."""
+    return table(spark, sf, "pages").select("page_id", text.json_escaped(F.col("html")).alias("escaped"))
+
+
 @query("""select o_orderkey, 'nodes/' || o_orderkey || '/attributes/f_' || (o_orderkey % 7) || '/0' ||
    case o_orderkey % 4 when 0 then '.json' when 1 then '.bin' when 2 then '.jpg' else '.bin.dds' end || case when o_orderkey % 2 = 1 then '.gz' else '' end as path,
    (o_orderkey % 4) <> 2 as gzip_wanted from orders""")

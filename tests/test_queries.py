@@ -27,6 +27,14 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
+def test_json_escape_takes_whole_pages(spark):
+    import json
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.escaped for r in catalogue.QUERIES["json_escape_whole"](spark, SF).collect()}
+    assert {k: json.loads(f'"{v}"', strict=False) for k, v in got.items()} == pages
+
+
 def test_every_sql_has_its_query():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
 
