@@ -13,6 +13,8 @@ Defined cases
 * Rows are scanned one by one: repeated rows and ids repeat their results, a null id is kept.
 * Whole texts are scanned; offsets count code points, ends are exclusive.
 * Further columns are ignored. An empty table gives no rows.
+* Any number of matches and runs of any length: matching is linear in the text, and places of n
+  matches are running sums in log2(n) linear passes.
 
 A posting list holds one block of ids, so its length is bounded. Texts are not shuffled while the
 candidates' ids fit the broadcast bound; beyond it they are joined by id.
@@ -54,6 +56,9 @@ class Rule:
     tight: str = ""
 
 
+# No rule repeats a group, which Java's matcher does by recursion, and none begins with a run that
+# each of the run's places would scan anew: a scan is linear in the text, whatever the text.
+
 # The base kinds.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True, True),
@@ -62,11 +67,11 @@ BASE_RULES = (
 )
 
 RULES = BASE_RULES + (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", r"(?:ghp|gho|ghs|ghu|ghr|github_pat)_[A-Za-z0-9_]+", 0, 36),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 16),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z]+://[^\x20\x09-\x0D:@/]+:[^\x20\x09-\x0D:@/]+@"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("url_login", r"(?<![a-z])[a-z]++://[^\x20\x09-\x0D:@/]+:[^\x20\x09-\x0D:@/]+@"),
 )
 
 # ---------------------------------------------------------------- Boolean queries
@@ -166,33 +171,54 @@ def _java(rule: Rule) -> str:
     return ("(?i)" if rule.fold else "") + (rule.tight or rule.pattern)
 
 
+SPAN = "struct<start:int,rank:int,kind:string,end:int,first_byte:int,end_byte:int>"
+
+
+def _running(values: Column, op) -> Column:
+    """Running fold of an array of structs by an associative ``op``: log2(n) rounds of one linear pass."""
+    powers = F.array(*(F.lit(1 << i) for i in range(31)))
+
+    def fold(all_of_them):
+        steps = F.filter(powers, lambda p: p < F.size(all_of_them))
+        return F.aggregate(
+            steps, all_of_them, lambda acc, p: F.transform(acc, lambda x, i: F.when(i >= p, op(F.get(acc, i - p), x)).otherwise(x))
+        )
+
+    # As the one entry of an array ``values`` is evaluated once, however often the fold names it.
+    return F.get(F.transform(F.array(values), fold), F.lit(0))
+
+
 def _spans(rule: Rule, i: int) -> Column:
-    """Array of (start, end, kind, rank) of one rule in ``text``."""
+    """Array of ``SPAN`` of one rule in ``text``; code points, and bytes too for cutting."""
     pattern = F.lit(_java(rule))
-    found = F.regexp_extract_all("text", pattern, F.lit(0))
-    kept = F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else found
-    # Text before the n-th match: the pieces between matches, and the matches before it.
-    both = F.arrays_zip(
-        F.split("text", _java(rule), -1).alias("gap"), found.alias("hit"), kept.alias("kept")
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,ok:boolean>>)").alias("all"))
+    # The pieces between matches, and the matches; the piece after the last match has no partner and goes.
+    columns = [F.split("text", _java(rule), -1).alias("gap"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("hit")]
+    if rule.group:
+        columns.append(F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("kept"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.coalesce(F.length(x["kept"]) >= rule.least, F.lit(False)).alias("ok"))
-        return F.struct(end.alias("at"), F.array_append(acc["all"], span).alias("all"))
+    def sizes(x):
+        n, n_bytes = F.length(x["hit"]), F.octet_length(x["hit"])
+        return F.struct(
+            (F.length(x["gap"]) + n).alias("end"), (F.octet_length(x["gap"]) + n_bytes).alias("end_byte"), n.alias("n"), n_bytes.alias("n_bytes"),
+            (F.length(x["kept" if rule.group else "hit"]) >= rule.least).alias("ok"),
+        )
 
-    spans = F.filter(F.aggregate(both, start, step, lambda acc: acc["all"]), lambda s: s["ok"])
-    out = F.transform(
-        spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"))
-    )
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
-    return F.when(F.regexp_like("text", pattern), out).otherwise(none)
+    def plus(a, b):
+        return F.struct((a["end"] + b["end"]).alias("end"), (a["end_byte"] + b["end_byte"]).alias("end_byte"), *(b[c].alias(c) for c in ("n", "n_bytes", "ok")))
+
+    def span(x):
+        return F.struct(
+            (x["end"] - x["n"]).alias("start"), F.lit(i).alias("rank"), F.lit(rule.kind).alias("kind"), x["end"].alias("end"),
+            (x["end_byte"] - x["n_bytes"]).alias("first_byte"), x["end_byte"].alias("end_byte"),
+        )
+
+    met = F.filter(F.transform(F.arrays_zip(*columns), sizes), lambda x: x["ok"].isNotNull())
+    spans = F.transform(F.filter(_running(met, plus), lambda x: x["ok"]), span)
+    return F.when(F.regexp_like("text", pattern), spans).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``: an array of (start, rank, kind, end), by start and then by the rules' order.
+    """``docs`` with ``secret_spans``: an array of ``SPAN``, by start and then by the rules' order.
 
     Names of its own work begin with ``secret_``; ``docs`` is kept inside a struct meanwhile, so
     its columns can't clash with them.
@@ -200,7 +226,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     source = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = broadcast_if_small(shared_table(candidates(source, rules), "secret-candidates"))
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     joined = docs.select(F.struct("*").alias("row"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(found, "key", "left")
     per_rule = []
     for i, rule in enumerate(rules):
@@ -234,17 +260,22 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; spans that overlap are replaced as one. Null texts stay null."""
     out = secret_spans(docs, rules)
-    text = F.col("row.text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["done"], gap, F.lit(mark))).otherwise(acc["done"]).alias("done"),
-        )
-
-    clean = F.aggregate("secret_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("secret_spans") > 0, clean).otherwise(text)
+    # Where the spans up to each one end; a span that begins before its predecessors end overlaps one of them.
+    ends = F.transform("secret_spans", lambda s: F.struct(s["first_byte"].alias("first"), s["end_byte"].alias("end")))
+    upto = _running(ends, lambda a, b: F.struct(b["first"].alias("first"), F.greatest(a["end"], b["end"]).alias("end")))
+    out = out.select("row", upto.alias("secret_spans"))
+
+    def cut(raw):
+        def piece(x, i):
+            at = F.when(i == 0, F.lit(0)).otherwise(F.get("secret_spans", i - 1)["end"])
+            gap = F.substring(raw, at + 1, x["first"] - at).cast("string")
+            return F.when(x["first"] >= at, F.concat(gap, F.lit(mark)))
+
+        last = F.element_at("secret_spans", -1)["end"]
+        rest = F.substring(raw, last + 1, F.octet_length(raw)).cast("string")
+        return F.concat(F.array_join(F.transform("secret_spans", piece), ""), rest)
+
+    # The bytes are the entry of an array, so that they are taken from the row once and not for each span.
+    clean = F.get(F.transform(F.array(F.col("row.text").cast("binary")), cut), F.lit(0))
+    new = F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("row.text"))
     return out.select(*((new if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
