@@ -10,10 +10,11 @@ Defined cases
 * A null role or text counts as empty. Turns are taken by (turn, role, text), null turns first;
   repeated rows are turns of their own.
 * A conversation that is missing has no turns: the prompt is empty and its completion too.
+* Rows with a null conv_id belong to no conversation and are left out. Ids of any size pair exactly.
 * Two equal conversations: everything is the prompt and both completions are empty.
 * Further columns are ignored. An empty table gives no rows.
 
-Everything is built-in column functions. Turns meet once, in a shuffle by conversation id; an
+Everything is built-in column functions. Turns meet once, in a shuffle by pair; an
 output row holds one pair of conversations, which is the record that the format asks for.
 """
 
@@ -36,14 +37,12 @@ def loss_mask(turns):
     return F.transform(turns, lambda t: (t["role"] == "assistant").cast("int"))
 
 
-def conversations_as_arrays(conversations: DataFrame) -> DataFrame:
-    """One row per conversation: ``conv_id`` and its turns in order."""
-    turn = F.struct(
+def _turn():
+    return F.struct(
         F.col("turn").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def preference_format(turns_of_pairs: DataFrame) -> DataFrame:
@@ -83,18 +82,20 @@ def preference_format(turns_of_pairs: DataFrame) -> DataFrame:
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs conversation 2k (chosen) with 2k+1 (rejected); one without a partner stands alone."""
-    convs = conversations_as_arrays(conversations.where(F.col("conv_id").isNotNull())).select(
-        (F.col("conv_id") - F.pmod("conv_id", F.lit(2))).alias("even"),
-        F.struct("conv_id", "turns").alias("conv"),
-    )
-    odd = F.col("conv.conv_id") > F.col("even")
-    return convs.groupBy("even").agg(
-        F.min(F.when(~odd, F.col("conv"))).alias("a"), F.min(F.when(odd, F.col("conv"))).alias("b")
-    ).select(
-        (F.col("even") / 2).cast("long").alias("pair_id"),
-        F.col("a.conv_id").alias("chosen_id"),
-        F.col("b.conv_id").alias("rejected_id"),
-        F.col("a.turns").alias("chosen"),
-        F.col("b.turns").alias("rejected"),
+    """Pairs conversation 2k (chosen) with 2k+1 (rejected); one without a partner stands alone.
+
+    Rows without a conv_id belong to no pair and go. One shuffle, by the pair.
+    """
+    odd = F.pmod("conv_id", F.lit(2)) == 1
+    turns = lambda side: F.sort_array(F.collect_list(F.when(side, _turn())))
+    return (
+        conversations.where(F.col("conv_id").isNotNull())
+        .select("conv_id", "turn", "role", "text", F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"))
+        .groupBy("pair_id")
+        .agg(
+            F.min(F.when(~odd, F.col("conv_id"))).alias("chosen_id"),
+            F.min(F.when(odd, F.col("conv_id"))).alias("rejected_id"),
+            turns(~odd).alias("chosen"),
+            turns(odd).alias("rejected"),
+        )
     )
