@@ -12,8 +12,9 @@ Defined cases
 * Repeated rows repeat their results; a null id is kept. Further columns are ignored.
 * An empty table gives no rows.
 
-The sample: at most ``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent
-languages, chosen by a hash of the id, ``SNIPPETS`` windows each. Scoring is a narrow pass.
+The sample bounds rows, never languages: about ``SAMPLE`` documents shared out evenly among all
+languages, at most ``MOST`` and at least ``LEAST`` of each, chosen by a hash of the id, ``SNIPPETS``
+windows each. Scoring is a narrow pass.
 """
 
 from __future__ import annotations
@@ -26,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import broadcast_if_small, crc32_mod
 
 WINDOW = 128
-PER_LANGUAGE = 1200
-LANGUAGES = 64
+SAMPLE = 12_000
+MOST, LEAST = 1200, 30
 SNIPPETS = 4
 WIDTHS = (2, 3, 4)
-PER_WIDTH = 10
+#: Filters of each width; as many as there are languages, if that is more, up to ``WIDEST``.
+PER_WIDTH, WIDEST = 10, 48
 EMBED = 8
-STRIDE = 2
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -58,7 +59,7 @@ class ByteCnn:
         n, t, e = x.shape
         w = self.filters.shape[0] // e
         s = x.strides
-        view = np.lib.stride_tricks.as_strided(x, (n, (t - w) // STRIDE + 1, w * e), (s[0], s[1] * STRIDE, s[2]))
+        view = np.lib.stride_tricks.as_strided(x, (n, t - w + 1, w * e), (s[0], s[1], s[2]))
         return np.ascontiguousarray(view)
 
     def forward(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,10 +82,11 @@ class ByteCnn:
 def train(windows: np.ndarray, target: np.ndarray, labels: list[str], steps: int = 600, batch: int = 128, rate: float = 0.01, seed: int = 7) -> ByteCnn:
     """Adam on the cross entropy; classes are drawn evenly."""
     rng = np.random.default_rng(seed)
-    n_filters, widest = len(WIDTHS) * PER_WIDTH, max(WIDTHS)
+    per_width = min(max(PER_WIDTH, len(labels)), WIDEST)
+    n_filters, widest = len(WIDTHS) * per_width, max(WIDTHS)
     mask = np.zeros((widest * EMBED, n_filters), np.float32)
     for i, w in enumerate(WIDTHS):
-        mask[: w * EMBED, i * PER_WIDTH : (i + 1) * PER_WIDTH] = 1
+        mask[: w * EMBED, i * per_width : (i + 1) * per_width] = 1
     p = [
         rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
         rng.normal(0, 0.3, mask.shape).astype(np.float32) * mask,
@@ -111,7 +113,7 @@ def train(windows: np.ndarray, target: np.ndarray, labels: list[str], steps: int
         d_at = d_hidden[:, :, None] * p[1].T[None]
         g_embed = np.zeros_like(p[0])
         for k in range(widest):
-            bytes_there = x[np.arange(len(y))[:, None], where * STRIDE + k]
+            bytes_there = x[np.arange(len(y))[:, None], where + k]
             np.add.at(g_embed, bytes_there, d_at[:, :, k * EMBED : (k + 1) * EMBED])
         for i, g in enumerate((g_embed, g_filters, d_hidden.sum(0), hidden.T @ d, d.sum(0))):
             m[i] = 0.9 * m[i] + 0.1 * g
@@ -126,18 +128,20 @@ def windows_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """(language, window) of a bounded sample of the labelled rows."""
-    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+def training_sample(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
+    """(language, window) of a bounded sample of the labelled rows; every language of theirs is in it."""
+    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return []
-    scale = 1 << 20
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(scale, -(-scale * per_language // r[1])))))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < F.element_at(share, F.col("lang")))
+    each = max(LEAST, min(MOST, sample // languages))
+    scale = 1 << 30
+    share = F.least(F.lit(scale), F.ceil(F.lit(scale) / F.col("n") * each))
+    picked = docs.join(broadcast_if_small(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale)) < share)
     length = F.length("text")
     spots = F.transform(F.sequence(F.lit(0), F.lit(SNIPPETS - 1)), lambda i: F.substring(F.col("text"), F.floor(i * length / SNIPPETS).cast("int") + 1, F.lit(WINDOW)))
-    rows = picked.select("lang", spots.alias("spots")).limit(2 * per_language * len(counts)).collect()
+    rows = picked.select("lang", spots.alias("spots")).limit(2 * each * languages).collect()
     return [(r[0], s.encode("utf-8", "surrogatepass")[:WINDOW]) for r in rows for s in dict.fromkeys(r[1]) if _LETTER.search(s)]
 
 
