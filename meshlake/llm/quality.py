@@ -219,16 +219,13 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rejected ones, all columns kept; the texts pass once, with the statistics beside them."""
     model = learn_fold(docs, labels)
     columns = docs.columns
-    typed = docs.schema
 
-    def run(batches):
-        for batch in batches:
-            table = np.array([statistics(t) for t in batch.column(columns.index("text")).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
-            arrays = [*batch.columns, *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(table.shape[1]))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *(f"_quality_{s}" for s in STATISTICS)])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        table = np.array([statistics(t) for t in texts.to_pylist()], np.float64).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(table))
 
-    wide = StructType([*typed.fields, *(StructField(f"_quality_{s}", DoubleType()) for s in STATISTICS)])
-    scored = docs.mapInArrow(run, wide)
-    return scored.where(model.score("_quality_") >= KEEP).select(*columns)
+    # Only the text goes to Python, and only its numbers come back.
+    scored = docs.select(F.struct("*").alias("row"), measured("text").alias("numbers"))
+    scored = scored.select("row", *(F.col("numbers")[i].alias(f"_quality_{s}") for i, s in enumerate(STATISTICS)))
+    return scored.where(model.score("_quality_") >= KEEP).select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
