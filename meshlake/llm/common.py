@@ -18,11 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); one is made only where it is unset."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); one is made only where it is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="meshlake-")
         spark.sparkContext.setCheckpointDir(at)

@@ -31,6 +31,20 @@ def odd_rows():
     ]
 
 
+@pytest.fixture(scope="session")
+def harsh_rows():
+    """Very long texts that are hard on one operator or another."""
+    return [
+        (1, "-----BEGIN " + "AB " * 20_000 + "PRIVATE KEY-----"), (2, "token=abcdef " * 100_000), (3, "token=abcdef" * 80_000), (4, "x" * 1_000_000),
+        (5, "eyJ" * 300_000), (6, "a://b" * 200_000), (7, "." * 1_000_000), (8, "this is " * 120_000), (9, "copyright " * 100_000), (10, ". " * 400_000 + "é"),
+    ]
+
+
+@pytest.fixture(scope="session")
+def harsh(spark, harsh_rows):
+    return spark.createDataFrame(harsh_rows, "doc_id long, text string").repartition(5)
+
+
 @pytest.fixture(scope="session")
 def odd(spark, odd_rows):
     return spark.createDataFrame([(d, t, None, None, None, 1, 2, 3, 4, 5, 6, 0.5, "low", "row", 7) for d, t in odd_rows], SCHEMA).repartition(3)

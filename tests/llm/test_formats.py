@@ -42,6 +42,12 @@ def test_chat_cases(spark):
     assert chat_format.preference_format(chat_format.pair_neighbours(conv.limit(0))).count() == 0
 
 
+def test_chat_large_ids(spark):
+    conv = spark.createDataFrame([(i, 0, "user", f"t{i}") for i in (*range(2**60, 2**60 + 6), -4, -3, 2**63 - 1)], "conv_id long, turn long, role string, text string")
+    got = {(r.pair_id, r.chosen_id, r.rejected_id) for r in chat_format.pair_neighbours(conv).collect()}
+    assert got == {*((2**59 + k, 2**60 + 2 * k, 2**60 + 2 * k + 1) for k in range(3)), (-2, -4, -3), (2**62 - 1, None, 2**63 - 1)}
+
+
 # ---------------------------------------------------------------- packing
 def check_packing(df, rows, capacity, **kw):
     path = queries.tokenizer_path()
@@ -102,6 +108,27 @@ def test_added_rules_and_redaction(spark):
     assert clean[1].text.count("[secret]") == 4 and clean[1].text.endswith("secret=abc") and clean[2].text is None and clean[1].mask == 5
 
 
+def added_secrets(text):
+    """Spans of the rules that the method adds, by Python's own matcher."""
+    return [(m.start(), i, r.kind, m.end()) for i, r in enumerate(secret_scan.RULES) if not r.base for m in re.finditer(r.pattern, text or "") if len(m.group(r.group)) >= r.least]
+
+
+def test_all_spans_and_redaction(spark, documents, harsh, harsh_rows, odd, odd_rows):
+    some = [(90, "ghp_" + "a1B2" * 10 + " xoxb-123456789012-abcdef eyJhb.eyJzd.x_y http://u:p@h x eyJa.eyJb.c.eyJa.eyJb.d"), (91, "-----BEGIN KEY PRIVATE KEY-----" * 3)]
+    for df, rows in ((documents, pairs(documents)), (harsh, harsh_rows), (odd, odd_rows), (spark.createDataFrame(some, "doc_id long, text string"), some)):
+        want = {}
+        for doc_id, text in rows:
+            spans = sorted([*brute.base_secrets(text), *added_secrets(text)])
+            clean, at = [], 0
+            for a, _, _, b in spans:
+                if a >= at:
+                    clean += [text[at:a], "[secret]"]
+                at = max(at, b)
+            want[doc_id, text] = (",".join(f"{k}:{a}:{b}" for a, _, k, b in spans), None if text is None else "".join(clean) + text[at:])
+        assert sorted((str(r.doc_id), r.spans) for r in secret_scan.secret_report(df).collect()) == sorted((str(d), want[d, t][0]) for d, t in rows)
+        assert sorted((str(r.doc_id), str(r.text)) for r in secret_scan.redact(df).collect()) == sorted((str(d), str(want[d, t][1])) for d, t in rows)
+
+
 def test_rules_without_trigrams_scan_fully():
     assert secret_scan.trigram_query(r"[0-9a-f]+") is True
     assert secret_scan.trigram_query("a(bcd|xyz)?") is True

@@ -64,6 +64,18 @@ def test_language_cases(odd, nothing):
     assert (model.log_probs(x).argmax(axis=1) == np.repeat([0, 1], 30)).all()
 
 
+def test_many_languages(spark):
+    """More languages than any bound on rows has: each is learned and predicted."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang in range(70):
+        alphabet = rng.choice(np.arange(0x100, 0x2000), 12, replace=False)
+        rows += [(lang * 100 + i, "".join(map(chr, rng.choice(alphabet, 120))), f"l{lang:02d}") for i in range(30)]
+    got = {r.doc_id: r for r in language_id.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {r.lang_pred for r in got.values()} == {lang for _, _, lang in rows}
+    assert np.mean([got[d].lang_pred == lang for d, _, lang in rows if got[d].held_out]) > 0.9
+
+
 def test_undetermined_texts(spark, documents):
     docs = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "", None), (10**6 + 2, "123 _ !?", None)], "doc_id long, text string, lang string"))
     got = {r.doc_id: r.lang_pred for r in language_id.language_report(docs).where("doc_id >= 1000000").collect()}
