@@ -3,7 +3,8 @@
 A template is wording with two kinds of markup: ``[[...]]`` is optional and ``{{name:n}}`` may be
 replaced by one to ``n`` words. Each template is compiled into a token automaton: a state per
 position, an edge that eats one given word, skips over optional regions, and bounded loops for
-replaceable ones. A text is accepted where its words run through the mandatory wording exactly.
+replaceable ones. A text is accepted where its words run through the mandatory wording exactly;
+where it is altered, the score tells how far the best run came.
 
 Words are maximal runs of a-z, 0-9 and code points beyond 127 after lower-casing A-Z. Beside the
 templates, four fixed phrases are located wherever their words stand consecutively; their labels
@@ -11,8 +12,11 @@ always stay in the result.
 
 Defined cases
 -------------
+* The score is the largest share of a template's mandatory words that one run eats (1: accepted), and
+  0.5 at least where a phrase stands.
 * Null text counts as empty: no words, no labels, null places, score 0.
-* Repeated rows give repeated results; long texts are scanned whole, in one pass of the byte string.
+* Repeated rows give repeated results; long texts are scanned whole. A template is tried only where
+  its rarest-looking words (``needle``) stand in the text, and there at each of its first words once.
 * Further columns are ignored. An empty table gives no rows.
 
 One narrow pass in Arrow batches: no shuffle, memory of a batch.
@@ -26,24 +30,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Phrases and their labels.
-PHRASES = {
-    "gnu general public license": "gpl",
-    "apache license": "apache",
-    "cc by": "cc-by",
-    "mit license": "mit",
-}
-
-#: (label, template)
-TEMPLATES = (
-    ("gpl-notice", "[[this {{work:3}} is]] licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version {{version:1}}"),
-    ("apache-2.0-notice", "licensed under the apache license version 2 0"),
-    ("mit-notice", "released under the [[terms of the]] mit license"),
-    ("cc-by-notice", "[[this {{work:3}} is]] [[available|licensed]] under [[a|the]] [[creative commons]] cc by [[{{version:2}}]] [[license]]"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("copyright-notice", "copyright [[c]] {{year:2}} {{holder:6}} all rights reserved"),
-)
+from .license_texts import PHRASES, TEMPLATES
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, "
@@ -59,22 +46,31 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TokenAutomaton:
-    """States 0..n; ``step[s]`` lists (word or None for any, next state), ``skip[s]`` the states reachable for free."""
+    """States 0..n; ``step[s]`` lists (word or None for any, next state), ``skip[s]`` the states reachable for free.
+
+    ``eaten[s]`` is the number of mandatory words on the way to a state. ``needle`` is the beginning
+    of the longest stretch of mandatory words: a text without it can't be accepted.
+    """
+
+    NEEDLE = 4
 
     def __init__(self, template: str):
         self.step: list[list[tuple[bytes | None, int]]] = [[]]
         self.skip: list[list[int]] = [[]]
-        self.first: set[bytes] = set()
-        end = self._region(list(_MARKUP.finditer(template)), 0, 0)[1]
-        self.accept = end
-        self.first = {w for s in self._closure({0}) for w, _ in self.step[s] if w is not None}
-
-    def _state(self) -> int:
+        self.eaten = [0]
+        self.runs: list[list[bytes]] = [[]]
+        self.accept = self._region(list(_MARKUP.finditer(template)), 0, 0, 0)[1]
+        self.reach = [self._closure(s) for s in range(len(self.step))]
+        self.first = {w for s in self.reach[0] for w, _ in self.step[s] if w is not None}
+        self.needle = b" ".join(max(self.runs, key=len)[: self.NEEDLE])
+
+    def _state(self, eaten: int) -> int:
         self.step.append([])
         self.skip.append([])
+        self.eaten.append(eaten)
         return len(self.step) - 1
 
-    def _region(self, marks: list, i: int, at: int) -> tuple[int, int]:
+    def _region(self, marks: list, i: int, at: int, depth: int) -> tuple[int, int]:
         """Compile from mark ``i`` and state ``at`` to the region's end; alternatives meet in one state."""
         begin, ends = at, []
         while i < len(marks):
@@ -86,51 +82,59 @@ class TokenAutomaton:
                 ends.append(at)
                 at = begin
             elif mark == "[[":
-                i, inner = self._region(marks, i, at)
-                after = self._state()
+                i, inner = self._region(marks, i, at, depth + 1)
+                after = self._state(self.eaten[at])
                 self.skip[at].append(after)
                 self.skip[inner].append(after)
                 at = after
+                self.runs.append([])
             elif marks[i - 1].group(1):
-                after = self._state()
+                after = self._state(self.eaten[at])
                 for _ in range(int(marks[i - 1].group(1))):
-                    nxt = self._state()
+                    nxt = self._state(self.eaten[at])
                     self.step[at].append((None, nxt))
                     self.skip[nxt].append(after)
                     at = nxt
                 at = after
+                self.runs.append([])
             else:
-                nxt = self._state()
-                self.step[at].append((mark.encode(), nxt))
-                at = nxt
+                for word in words_of(mark):
+                    nxt = self._state(self.eaten[at] + (depth == 0))
+                    self.step[at].append((word, nxt))
+                    at = nxt
+                    if depth == 0:
+                        self.runs[-1].append(word)
         if ends:
-            after = self._state()
+            after = self._state(self.eaten[begin])
             for e in (*ends, at):
                 self.skip[e].append(after)
             at = after
         return i, at
 
-    def _closure(self, states: set[int]) -> set[int]:
-        todo, seen = list(states), set(states)
+    def _closure(self, state: int) -> frozenset[int]:
+        todo, seen = [state], {state}
         while todo:
             for s in self.skip[todo.pop()]:
                 if s not in seen:
                     seen.add(s)
                     todo.append(s)
-        return seen
+        return frozenset(seen)
 
-    def longest(self, words: list[bytes], start: int) -> int | None:
-        """End of the longest accepted run that begins at ``start``."""
-        states, found = self._closure({0}), None
+    def run(self, words: list[bytes], start: int) -> tuple[int | None, float]:
+        """End of the longest accepted run that begins at ``start``, and the share of mandatory words that was eaten."""
+        states, found, best = self.reach[0], None, 0
         for i in range(start, len(words) + 1):
             if self.accept in states:
                 found = i
             if i == len(words):
                 break
-            states = self._closure({n for s in states for w, n in self.step[s] if w is None or w == words[i]})
-            if not states:
+            word = words[i]
+            met = [n for s in states for w, n in self.step[s] if w is None or w == word]
+            if not met:
                 break
-        return found
+            states = frozenset().union(*(self.reach[n] for n in met))
+            best = max(best, max(self.eaten[n] for n in met))
+        return found, 1.0 if found is not None else best / self.eaten[self.accept]
 
 
 @lru_cache(maxsize=4)
@@ -138,42 +142,32 @@ def compiled(templates: tuple) -> tuple:
     return tuple((label, TokenAutomaton(t)) for label, t in templates)
 
 
-def anchors(automata: tuple) -> dict[bytes, list]:
-    """First words of each automaton, so that only those places are tried."""
-    out: dict[bytes, list] = {}
-    for label, a in automata:
-        for w in a.first:
-            out.setdefault(w, []).append((label, a))
-    return out
-
-
-def scan_words(words: list[bytes], templates: tuple = TEMPLATES) -> dict:
-    """Places of the phrases and of the templates in one text."""
+def scan_words(words: list[bytes], templates: tuple = TEMPLATES) -> tuple[list, list, float]:
+    """Places of the phrases, places of the templates, and the score of one text."""
     line = b" " + b" ".join(words) + b" "
     base = []
     for phrase, label in PHRASES.items():
         needle = b" " + phrase.encode() + b" "
-        at = line.find(needle)
+        at, seen, word = line.find(needle), 0, 0
         while at >= 0:
-            base.append((line.count(b" ", 0, at), label, len(phrase.split())))
+            word += line.count(b" ", seen, at)
+            seen = at
+            base.append((word, label, phrase.count(" ") + 1))
             at = line.find(needle, at + 1)
-    by_word = anchors(compiled(templates))
-    places = []
-    present = [w for w in by_word if b" " + w + b" " in line]
-    for w in present:
-        at = line.find(b" " + w + b" ")
-        while at >= 0:
-            start = line.count(b" ", 0, at)
-            for label, a in by_word[w]:
-                if (end := a.longest(words, start)) is not None:
+    by_word: dict[bytes, list] = {}
+    for label, a in compiled(templates):
+        if b" " + a.needle + b" " in line:
+            for w in a.first:
+                by_word.setdefault(w, []).append((label, a))
+    places, score = [], 0.5 if base else 0.0
+    if by_word:
+        for start, w in enumerate(words):
+            for label, a in by_word.get(w, ()):
+                end, share = a.run(words, start)
+                score = max(score, share)
+                if end is not None:
                     places.append((label, start, end))
-            at = line.find(b" " + w + b" ", at + 1)
-    return {"base": base, "places": places}
-
-
-def _score(base: list, places: list) -> float:
-    """1 where a whole template is met, 0.5 with a phrase alone, else 0."""
-    return 1.0 if places else 0.5 if base else 0.0
+    return base, places, score
 
 
 def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
@@ -182,19 +176,15 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
-    hints = [*{p.split()[0].encode() for p in PHRASES}, *anchors(compiled(templates))]
+    hints = {*(p.encode() for p in PHRASES), *(a.needle for _, a in compiled(templates))}
+    hints = {max(h.split(), key=len) for h in hints}
 
     def scan(batches):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                known = set(words)
-                if any(h in known for h in hints):
-                    found = scan_words(words, templates)
-                    base, places = found["base"], found["places"]
-                else:
-                    base, places = [], []
+                base, places, score = ([], [], 0.0) if hints.isdisjoint(words) else scan_words(words, templates)
                 starts = [b[0] for b in base]
                 base_labels = {b[1] for b in base}
                 all_places = sorted({*((b[1], b[0], b[0] + b[2]) for b in base), *places}, key=lambda p: (p[1], p[0], p[2]))
@@ -207,7 +197,7 @@ def license_scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
                         "last_word": max(starts, default=None),
                         "base_labels": ",".join(sorted(base_labels)),
                         "labels": ",".join(sorted(base_labels | {p[0] for p in places})),
-                        "score": _score(base, places),
+                        "score": score,
                         "places": [{"label": a, "start": b, "end": c} for a, b, c in all_places],
                     }
                 )
