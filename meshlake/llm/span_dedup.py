@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -47,60 +48,77 @@ RUNS = "hash long, doc_id long, text_hash long, at int, n int"
 EDGES = "doc_id long, text_hash long, own int, side int, first_doc long, first_text long, place int"
 FLANKS = "first_doc long, first_text long, place int, side int, words string"
 CUTS = "doc_id long, n_sentences long, n_removed long, removed string, text string"
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+#: One character that ends a sentence: nothing is ever scanned twice, however long a run of marks is.
+_END = re.compile(r"[.!?\n](?:(?<=\n)|(?=\s))")
 _WORD = re.compile(r"\S+")
 
 
-def _pieces(words: list[str]) -> list[tuple[int, int]]:
-    """Where a long sentence is cut: (first word, end) of each piece."""
+def _pieces(words: list[bytes]) -> list[tuple[int, int]]:
+    """Where a long sentence is cut: (first word, end) of each piece; ``words`` are lower-cased."""
     n = len(words)
-    h = [*[-1] * NEAR, *map(zlib.crc32, [w.lower().encode("utf-8", "surrogatepass") for w in words]), *[-1] * NEAR]
+    h = [*[-1] * NEAR, *map(zlib.crc32, words), *[-1] * NEAR]
     out, start = [], 0
-    for i in range(1, n + 1):
-        x = h[i + NEAR] if i < n else 0
-        if i < n and not (x < min(h[i : i + NEAR]) and x <= min(h[i + NEAR + 1 : i + 2 * NEAR + 1])):
-            continue
-        out += [(j, min(j + LONGEST, i)) for j in range(start, i, LONGEST)]
-        start = i
-    return out
+    for i in range(1, n):
+        x = h[i + NEAR]
+        if x < h[i + NEAR - 1] and x <= h[i + NEAR + 1] and x < min(h[i : i + NEAR]) and x <= min(h[i + NEAR + 1 : i + 2 * NEAR + 1]):
+            out += [(j, min(j + LONGEST, i)) for j in range(start, i, LONGEST)]
+            start = i
+    return [*out, *((j, min(j + LONGEST, n)) for j in range(start, n, LONGEST))]
+
+
+def _add(out: list, text: str, start: int, end: int) -> None:
+    part = text[start:end]
+    words = part.split()
+    n = len(words)
+    if n <= LONGEST:
+        if n:
+            out.append((start, end, " ".join(words).lower(), n))
+        return
+    joined = " ".join(words)
+    lower = joined.lower()
+    low = lower.split(" ")
+    cuts = _pieces(lower.encode("utf-8", "surrogatepass").split(b" "))
+    # Between single blanks the words' places follow from their lengths.
+    at = part.find(words[0])
+    if part.startswith(joined, at):
+        places = [x + k for k, x in enumerate(accumulate(map(len, words), initial=start + at))]
+        spans = [(places[i], places[j] - 1) for i, j in cuts]
+    else:
+        found = [m.span() for m in _WORD.finditer(text, start, end)]
+        spans = [(found[i][0], found[j - 1][1]) for i, j in cuts]
+    for (a, b), (i, j) in zip(spans, cuts, strict=True):
+        out.append((a, b, " ".join(low[i:j]), j - i))
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, words in normal form, number of words) of each sentence."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        words = m.group().split()
-        if len(words) <= LONGEST:
-            if words:
-                out.append((m.start(), m.end(), " ".join(words).lower(), len(words)))
-            continue
-        found = list(_WORD.finditer(text, m.start(), m.end()))
-        for i, j in _pieces(words):
-            part = found[i:j]
-            out.append((part[0].start(), part[-1].end(), " ".join(w.group() for w in part).lower(), len(part)))
+    out: list[tuple[int, int, str, int]] = []
+    start = 0
+    for m in _END.finditer(text):
+        at, end = m.span()
+        _add(out, text, start, at if text[at] == "\n" else end)
+        start = end
+    _add(out, text, start, len(text))
     return out
 
 
 def runs_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
     """(hash, first sentence, number of sentences) of each run that has enough words."""
     out, end, words, n = [], 0, 0, len(parts)
+    normal, counts = [p[2] for p in parts], [p[3] for p in parts]
     for i in range(n):
         end = max(end, i)
         while end < n and (end - i < LEAST_SENTENCES or words < LEAST_WORDS):
-            words += parts[end][3]
+            words += counts[end]
             end += 1
         if end - i < LEAST_SENTENCES or words < LEAST_WORDS:
             break
-        text = " ".join(p[2] for p in parts[i:end])
+        text = " ".join(normal[i:end])
         out.append((xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), i, end - i))
-        words -= parts[i][3]
+        words -= counts[i]
     return out
 
 
-def _text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def _schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -114,23 +132,30 @@ def _rows(batch: pa.RecordBatch):
         yield {name: col[i].as_py() for name, col in zip(batch.schema.names, batch.columns, strict=True)}
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_hash``: a document is known by its id and a hash of its text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where("text is not null")
+
+
 def sentence_runs(docs: DataFrame) -> DataFrame:
     schema = _schema(RUNS)
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = runs_of(sentences(text)) if text else []
-                if not found:
-                    continue
-                own = _text_hash(text)
-                for hashed, at, n in found:
-                    for col, x in zip(cols, (hashed, doc_id, own, at, n), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RUNS)
+            ids, hashes = batch.column(0), batch.column(2)
+            found, rows = [], []
+            for i, text in enumerate(batch.column(1)):
+                own = runs_of(sentences(text.as_py()))
+                found += own
+                rows += [i] * len(own)
+            if found:
+                taken = pa.array(rows, pa.int32())
+                hashed, at, n = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashed, pa.int64()), ids.take(taken), hashes.take(taken), pa.array(at, pa.int32()), pa.array(n, pa.int32())], schema=schema
+                )
+
+    return _named(docs).mapInArrow(run, RUNS)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -198,28 +223,28 @@ def _neighbours(text: str, at: int, side: int) -> list[re.Match]:
     return words[::-1][:FLANK]
 
 
-def _keyed(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("key", F.coalesce(col, F.lit(-1)))
+def _same(x: str, y: str, doc: str = "doc_id", text: str = "text_hash"):
+    """The document (doc_id, text_hash) of ``x`` is (doc, text) of ``y``; null ids are equal to one another."""
+    return F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.{doc}")) & (F.col(f"{x}.text_hash") == F.col(f"{y}.{text}"))
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    return keyed.join(broadcast_if_small(keys), "key", "left_semi").dropDuplicates(["doc_id", "text"])
+    """``doc_id, text, text_hash`` of the documents named in ``keys``, each once."""
+    keys = broadcast_if_small(keys.select("doc_id", "text_hash"))
+    return _named(docs).alias("x").join(keys.alias("y"), _same("x", "y"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
 
 
 def _flanks(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The words beside each asked place of the first copies."""
     schema = _schema(FLANKS)
     asked = edges.groupBy("first_doc", "first_text").agg(F.collect_set(F.struct("place", "side")).alias("places"))
-    asked = shared_table(_keyed(asked, "first_doc"), "asked-places")
-    texts = _texts_of(docs, asked.select("key").distinct()).select("key", "text")
+    asked = shared_table(asked, "asked-places")
+    texts = _texts_of(docs, asked.select(F.col("first_doc").alias("doc_id"), F.col("first_text").alias("text_hash")))
 
     def run(batches):
         for batch in batches:
             rows = []
             for r in _rows(batch):
-                if r["text"] is None or _text_hash(r["text"]) != r["first_text"]:
-                    continue  # another text under the same id
                 parts = sentences(r["text"])
                 for p in r["places"]:
                     at = parts[p["place"] - 1][1] if p["side"] > 0 else parts[p["place"]][0]
@@ -228,16 +253,18 @@ def _flanks(docs: DataFrame, edges: DataFrame) -> DataFrame:
                         rows.append({"first_doc": r["first_doc"], "first_text": r["first_text"], "place": p["place"], "side": p["side"], "words": words})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return texts.join(asked, "key").select("text", "first_doc", "first_text", "places").mapInArrow(run, FLANKS)
+    met = texts.alias("x").join(asked.alias("y"), _same("x", "y", "first_doc", "first_text"))
+    return met.select("x.text", "y.first_doc", "y.first_text", "y.places").mapInArrow(run, FLANKS)
 
 
 def extensions(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Per document with covered sentences: ``(doc_id, text_hash, beside array<struct<own,side,words>>)``."""
     edges = shared_table(_edges(found), "span-edges")
     flanks = shared_table(_flanks(docs, edges), "span-flanks")
-    flanks = _keyed(flanks, "first_doc").drop("first_doc")
-    met = _keyed(edges, "first_doc").join(broadcast_if_small(flanks, BROADCAST_FLANKS), ["key", "first_text", "place", "side"])
-    return met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("own", "side", "words")).alias("beside"))
+    x, y = edges.alias("x"), broadcast_if_small(flanks, BROADCAST_FLANKS).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("first_text", "place", "side")]
+    met = x.join(y, [F.col("x.first_doc").eqNullSafe(F.col("y.first_doc")), *same])
+    return met.groupBy("x.doc_id", "x.text_hash").agg(F.collect_set(F.struct("x.own", "x.side", "y.words")).alias("beside"))
 
 
 def _cut(text: str, ranges: list[dict], beside: list[dict]) -> tuple[int, list[tuple[int, int]], str]:
@@ -281,20 +308,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     schema = _schema(CUTS + ", first_doc_ids array<long>")
     found = shared_table(covered(docs), "covered-sentences")
-    texts = _texts_of(docs, _keyed(found, "doc_id").select("key").distinct())
-    beside = extensions(docs, found).withColumnRenamed("doc_id", "own_doc").withColumnRenamed("text_hash", "own_text")
-    whole = found.join(beside, F.col("doc_id").eqNullSafe(F.col("own_doc")) & (F.col("text_hash") == F.col("own_text")), "left")
-    small = texts.join(_keyed(whole, "doc_id").drop("doc_id"), "key")
+    beside = extensions(docs, found)
+    whole = found.alias("f").join(beside.alias("b"), _same("f", "b"), "left").select("f.*", "b.beside")
+    small = _texts_of(docs, found).alias("x").join(whole.alias("y"), _same("x", "y"))
 
     def run(batches):
         for batch in batches:
             rows = []
             for r in _rows(batch):
-                if r["text"] is None or _text_hash(r["text"]) != r["text_hash"]:
-                    continue  # another text under the same id
                 n, spans, left = _cut(r["text"], r["ranges"], r["beside"] or [])
                 gone = len({i for x in r["ranges"] for i in range(x["at"], x["at"] + x["n"])})
                 rows.append({"doc_id": r["doc_id"], "n_sentences": n, "n_removed": gone, "removed": ",".join(f"{a}-{b}" for a, b in spans), "text": left, "first_doc_ids": r["first_doc_ids"]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return small.select("doc_id", "text", "text_hash", F.transform("ranges", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"))).alias("ranges"), "beside", "first_doc_ids").mapInArrow(run, CUTS + ", first_doc_ids array<long>")
+    ranges = F.transform("y.ranges", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n")))
+    return small.select("x.doc_id", "x.text", ranges.alias("ranges"), "y.beside", "y.first_doc_ids").mapInArrow(run, CUTS + ", first_doc_ids array<long>")
