@@ -12,12 +12,14 @@ Defined cases
 -------------
 * Null text counts as empty; an empty text has no paragraphs and a fingerprint of zeros. Two empty
   ones have likeness 1, an empty one and another 0.
-* Documents are ordered by (doc_id, text), null ids first; repeated rows follow one another.
+* Documents are ordered by (doc_id, xxhash64 of the text), null ids first; repeated rows follow one another.
 * A table of one row is its own next document. An empty table gives no rows.
 * Further columns are ignored. Texts of any length are taken whole.
 
-The next document is found without a global sort in one task: rows are dealt into ranges of ids,
-sorted there, and each range also receives the head of the following range. One shuffle.
+The next document is found by one range shuffle, with as many ranges as the data's size asks for:
+within a range it is the next row. Each range also gives its first and its last text, and only
+these few rows meet in a second, small join. A hot id is divided by the texts' hashes, and many
+equal rows by the partitions that they come from.
 """
 
 from __future__ import annotations
@@ -30,16 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_table
+
 LANES = 512
 LONGEST = 400
 _SENTENCE_END = re.compile(r"(?<=[.!?])[^\S\n]+")
-_FIRST = -(2**63)
-_LAST = 2**63 - 1
-SCHEMA = (
-    "doc_id long, n_chars long, edited_sha256 string, vector binary, edited_vector binary, "
-    "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-)
-
+#: Bytes of text that a range holds, about.
+RANGE_BYTES = 64 << 20
+RESULT = "doc_id long, n_chars long, edited_sha256 string, vector binary, edited_fingerprint string, near_edited double, near_next double"
+ROWS = RESULT + ", part int, seam int, text string"
 
 def paragraphs(text: str) -> list[str]:
     out = []
@@ -90,8 +91,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return min(1.0, max(0.0, 1.0 - float(apart @ apart) / whole)) if whole else 0.0
 
 
+def as_bytes(fp: np.ndarray) -> bytes:
+    """The stored form of a fingerprint, which ``from_bytes`` reads: little-endian unsigned 16-bit entries."""
+    return fp.astype("<u2").tobytes()
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u2").astype(np.uint16)
+
+
 def digest(fp: np.ndarray) -> str:
-    return hashlib.blake2b(fp.astype("<u2").tobytes(), digest_size=16).hexdigest()
+    """A short name of a fingerprint: md5 of its stored form."""
+    return hashlib.md5(as_bytes(fp), usedforsecurity=False).hexdigest()
 
 
 def edit(text: str, following: str) -> str:
@@ -100,73 +111,85 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def ranges_with_heads(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (part, tail, k, doc_id, text) in which each range of ids also holds the head of the next range.
-
-    The bounds of the ranges are quantiles, and one head id per range goes over the driver: both
-    bounded by ``ranges``.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(_FIRST)))
-    cuts = docs.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    docs = docs.withColumn("part", _bucket(F.col("k"), cuts, 0))
-    heads = sorted((r[0], r[1]) for r in docs.groupBy("part").agg(F.min("k")).collect())
-    wanted = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]  # the head goes to the range before; the first to the last
-    if not wanted:
-        return docs.select("part", F.lit(0).alias("tail"), "k", "doc_id", "text")
-    to = F.broadcast(spark.createDataFrame(wanted, "k long, part int"))
-    tails = docs.drop("part").join(to, "k").groupBy("part").agg(F.min("text").alias("text"))
-    return docs.select("part", F.lit(0).alias("tail"), "k", "doc_id", "text").unionByName(
-        tails.select("part", F.lit(1).alias("tail"), F.lit(_LAST).alias("k"), F.lit(None).cast("long").alias("doc_id"), "text")
-    )
+def _result(doc_id: int | None, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
+    """A row of ``RESULT`` for a text and the next one, with their fingerprints."""
+    new = edit(text, following)
+    kept = fingerprint_of(new)
+    sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), sha, as_bytes(own), digest(kept), likeness(own, kept), likeness(own, after)
 
 
-def _bucket(k, cuts: list[int], base: int):
-    """Index of the range of ``k`` by nested comparisons, log2(len(cuts)) deep."""
-    if not cuts:
-        return F.lit(base)
-    mid = len(cuts) // 2
-    return F.when(k < cuts[mid], _bucket(k, cuts[:mid], base)).otherwise(_bucket(k, cuts[mid + 1 :], base + mid + 1))
-
-
-def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Fingerprints of every text, of its edited form, and their likenesses."""
+def _schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    spark = docs.sparkSession
-    ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = ranges_with_heads(docs, ranges)
-    rows = rows.repartition(ranges, "part").sortWithinPartitions("part", "tail", "k", "text")
-    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """``doc_id, text`` in ``ranges`` partitions that follow one another, each sorted."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("source"))
+    return rows.repartitionByRange(ranges, "doc_id", "h", "source").sortWithinPartitions("doc_id", "h", "source").select("doc_id", "text")
+
+
+def _within_ranges(ranged: DataFrame) -> DataFrame:
+    """``ROWS``: results of all rows but the ranges' last ones; each range's first (seam 0) and last (seam 1) text."""
+    schema = _schema(ROWS)
+    nothing = (None,) * 6
 
     def run(batches):
-        held = None  # (part, doc_id, text, fingerprint) that waits for its next document
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        held = None  # (doc_id, text, fingerprint) that waits for its next document
         for batch in batches:
-            out = []
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for part, tail, _, doc_id, text in zip(*cols, strict=True):
+            rows = []
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc_id, text = doc_id.as_py(), text.as_py()
                 fp = fingerprint_of(text)
-                if held is not None and held[0] == part:
-                    old = held[2]
-                    new = edit(old, text)
-                    kept = fingerprint_of(new)
-                    out.append(
-                        {
-                            "doc_id": held[1],
-                            "n_chars": len(old),
-                            "edited_sha256": hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(),
-                            "vector": held[3].astype("<u2").tobytes(),
-                            "edited_vector": kept.astype("<u2").tobytes(),
-                            "fingerprint": digest(held[3]),
-                            "edited_fingerprint": digest(kept),
-                            "near_edited": likeness(held[3], kept),
-                            "near_next": likeness(held[3], fp),
-                        }
-                    )
-                held = None if tail else (part, doc_id, text, fp)
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return rows.mapInArrow(run, SCHEMA)
+                if held is None:
+                    rows.append((doc_id, *nothing, part, 0, text))
+                else:
+                    rows.append((*_result(*held, text, fp), None, None, None))
+                held = doc_id, text, fp
+            yield _batch(rows, schema)
+        if held is not None:
+            yield _batch([(held[0], *nothing, part, 1, held[1])], schema)
+
+    return ranged.mapInArrow(run, ROWS)
+
+
+def _across_ranges(seams: DataFrame) -> DataFrame:
+    """``RESULT`` of each range's last row, whose next text is the first of the following range that has rows."""
+    spark = seams.sparkSession
+    parts = sorted(r[0] for r in seams.where("seam = 1").select("part").collect())  # a number per range
+    order = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    first = seams.where("seam = 0").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    met = seams.where("seam = 1").select("part", "doc_id", "text").join(order, "part").join(first, "next")
+    schema = _schema(RESULT)
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(3)]
+            yield _batch([_result(d, t, fingerprint_of(t), f, fingerprint_of(f)) for d, t, f in zip(*cols, strict=True)], schema)
+
+    return met.select("doc_id", "text", "following").mapInArrow(run, RESULT)
+
+
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Fingerprints of every text (``vector``, and its digest), of its edited form, and their likenesses."""
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    rows = shared_table(_within_ranges(in_ranges(docs, ranges)), "fingerprints", compression="zstd")
+    names = RESULT.replace(",", " ").split()[::2]
+    done = rows.where("seam is null").select(*names).unionByName(_across_ranges(rows.where("seam is not null")))
+    return done.select(
+        "doc_id", "n_chars", "edited_sha256", F.md5("vector").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "vector"
+    )

@@ -58,8 +58,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
