@@ -16,12 +16,18 @@ left, and all of them are verified, in blocks of bounded size. No link between g
 those inside a group need not be found. Pairs are ruled out first by their sizes and by a parity
 sketch of 512 bits, whose distance never exceeds the sets'; the rest compare whole sets.
 
+Hot buckets. Signatures that many classes of a small sample share are dealt into salted parts, so
+that no task sorts a whole bucket. A bucket of many classes in different groups is refined: its
+classes get the signatures of another hash of the domain, and linked ones share one of those too,
+so a bucket falls into smaller ones that lose no link; only what stays large is compared in blocks.
+
 Defined cases
 -------------
 * Words are maximal runs outside white space (tab to carriage return, and blank), A-Z lower-cased.
 * One or two words are one shingle; without words or text the set is empty and links with nothing.
 * Rows with a null id take part; a group's name is its smallest id, null if it has none.
-* Repeated rows are equal sets. Further columns are ignored. An empty table gives no rows.
+* Repeated rows are equal sets. ``one_of_each_group`` keeps one row of each group, also of repeated
+  rows and of rows without an id, and every row whose set is empty. Further columns are ignored. An empty table gives no rows.
 
 Classes are known by a 64-bit hash of the set and by its size. Texts are never shuffled while the
 ids to verify fit the broadcast bound. Nothing of the corpus is collected.
@@ -46,9 +52,13 @@ SHINGLE = 3
 SKETCH = 8
 #: Members of a bucket that are compared in one task.
 BLOCK = 1024
+#: Times that a bucket with more classes than ``BLOCK`` is refined.
+REFINED = 3
+#: A class of ``SAMPLE`` is looked at to find hot signatures: those of ``HOT`` such classes, dealt in ``SALTS`` parts.
+SAMPLE, HOT, SALTS = 64, 64, 64
 _NO_ID = 2**63 - 1
 
-DIGEST = "doc_id long, n long, class long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
+DIGEST = "doc_id long, text_hash long, n long, class long, " + ", ".join(f"s{i} long" for i in range(SKETCH))
 SIGNATURES = "sig long, class long"
 SETS = "class long, shingles array<long>"
 
@@ -101,10 +111,10 @@ def bands_for(size: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def signatures_of(h: np.ndarray) -> np.ndarray:
-    """Every signature of one set."""
+def signatures_of(h: np.ndarray, level: int = 0) -> np.ndarray:
+    """Every signature of one set; another ``level`` hashes the domain anew."""
     out = []
-    spread = _mix(h + _M[4]) >> np.uint64(32)
+    spread = _mix(h + _M[4] * np.uint64(2 * level + 1)) >> np.uint64(32)
     low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.float64), (h >> np.uint64(32)).astype(np.float64)
     for band, k in bands_for(len(h)):
         parts = (k + 2) // 2
@@ -124,23 +134,28 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``key, text_hash, text``: a row is known by its id (a large number for null) and a hash of its text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """One row per document: size, class and sketch of its set."""
     schema = _schema(DIGEST)
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingles(text)
-                for col, x in zip(cols, (doc_id, len(h), class_of(h), *sketch_of(h)), strict=True):
+            cols: list[list] = [[] for _ in range(len(schema) - 2)]
+            for text in batch.column(2):
+                h = shingles(text.as_py())
+                for col, x in zip(cols, (len(h), class_of(h), *sketch_of(h)), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, DIGEST)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, level: int = 0) -> DataFrame:
     """(sig, class) of every set; a task gives those of equal sets once as long as it remembers them."""
     schema = _schema(SIGNATURES)
 
@@ -148,15 +163,15 @@ def signatures(docs: DataFrame) -> DataFrame:
         met: set[int] = set()
         for batch in batches:
             sigs, classes, counts = [], [], []
-            for text in batch.column(0).to_pylist():
-                h = shingles(text)
+            for text in batch.column(0):
+                h = shingles(text.as_py())
                 name = class_of(h)
                 if name in met:
                     continue
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(name)
-                own = signatures_of(h)
+                own = signatures_of(h, level)
                 if len(own):
                     sigs.append(own)
                     classes.append(name)
@@ -170,21 +185,35 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(class, shingles) of every document given."""
+    """(class, shingles) of every document given, in batches of about a million shingles."""
     schema = _schema(SETS)
 
+    def batch_of(sets: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        values = pa.array(np.concatenate(sets).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], schema=schema)
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = shingles(text)
-                values = pa.array(h.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(h)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), values)], schema=schema
-                )
+            for text in batch.column(0):
+                held.append(shingles(text.as_py()))
+                n += len(held[-1])
+                if n > 1_000_000:
+                    yield batch_of(held)
+                    held, n = [], 0
+        if held:
+            yield batch_of(held)
 
     return docs.select("text").mapInArrow(run, SETS)
 
 
+def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text of each class in ``wanted``, or a few where rows are repeated."""
+    rows = shared_table(classes.join(wanted, "class", "left_semi").select("key", "text_hash"), "asked-texts")
+    return _keyed(docs).join(broadcast_if_small(rows), ["key", "text_hash"], "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node reachable as the label; edges (a, b) of longs.
 
@@ -215,11 +244,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     """The pairs (a, b) of classes whose whole sets link; the sets are made again from one text of each class."""
     pairs = shared_table(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    ids = classes.join(wanted, "class", "left_semi").select("key").distinct()
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), "text")
-    sets = sets_of(keyed.join(broadcast_if_small(shared_table(ids, "ids")), "key", "left_semi"))
-    # Rows of one id with other texts, and null ids, may give classes that nobody asked for or one twice.
-    sets = shared_table(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
+    sets = shared_table(sets_of(texts_of(docs, classes, wanted)).dropDuplicates(["class"]), "sets")
     left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
     met = pairs.join(right, "b").join(left, "a")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -227,28 +252,66 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def classes_of(digest: DataFrame) -> DataFrame:
-    """One row per distinct non-empty set, with the smallest id that has it as ``key``."""
-    return (
-        digest.where("n > 0")
-        .groupBy("class", "n")
-        .agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("key"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(SKETCH)))
+    """One row per distinct non-empty set, with the row of the smallest id that has it as ``key`` and ``text_hash``."""
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash")).alias("f")
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    return digest.where("n > 0").groupBy("class", "n").agg(first, *(F.first(c).alias(c) for c in sketch)).select("class", "n", "f.key", "f.text_hash", *sketch)
+
+
+def bucket_members(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(sig, class, before, leader) of every class that shares a signature, or the salted part of a hot one."""
+    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    common = shared_table(signatures(few).distinct().groupBy("sig").count().where(F.col("count") >= hot).select("sig", F.lit(SALTS).alias("salts")), "hot-signatures")
+    dealt = signatures(docs).join(broadcast_if_small(common), "sig", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("class"), F.col("salts"))).otherwise(F.lit(0)))
+    dealt = dealt.select("sig", "class", "salt", F.col("salts").isNotNull().alias("hot")).repartition("sig", "salt").dropDuplicates(["sig", "salt", "class"])
+    part = Window.partitionBy("sig", "salt").orderBy("class")
+    members = dealt.select(
+        "sig", "class", "hot", F.lag("class").over(part).alias("before"), F.lead("class").over(part).alias("after"), F.first("class").over(part).alias("leader")
     )
+    return shared_table(members.where("before is not null or after is not null or hot").select("sig", "class", "before", "leader", "hot"), "buckets")
+
+
+def few_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): each class with its part's first class and the one before it, and the parts' first classes with the first of all."""
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    inside = members.where("before is not null").select(F.explode(F.array(pair("leader", "class"), pair("before", "class"))).alias("p"))
+    leaders = members.where("hot and before is null")
+    first = leaders.groupBy("sig").agg(F.min("class").alias("least"))
+    across = leaders.join(first, "sig").where("least != class").select(pair("least", "class").alias("p"))
+    return inside.unionByName(across).select("p.a", "p.b").distinct()
+
 
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """(sig, m) of the buckets with classes of different groups."""
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    return shared_table(sizes.where("lo != hi").select("sig", "m"), "mixed-buckets")
 
-def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+
+def refined(rows: DataFrame, docs: DataFrame, classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(sig, class, group) and the mixed buckets, where those of more than ``block`` classes are divided by further signatures."""
+    mixed = mixed_buckets(rows)
+    for level in range(1, REFINED + 1):
+        large = mixed.where(F.col("m") > block)
+        if not large.limit(1).count():
+            break
+        big = shared_table(rows.join(large, "sig").select("sig", "class", "group"), "large-buckets")
+        more = signatures(texts_of(docs, classes, big.select("class").distinct()), level).withColumnRenamed("sig", "further").distinct()
+        parts = big.join(more, "class").select(F.xxhash64("sig", "further").alias("sig"), "class", "group")
+        rows = shared_table(rows.join(mixed.where(F.col("m") <= block), "sig").select("sig", "class", "group").unionByName(parts), "refined-buckets")
+        mixed = mixed_buckets(rows)
+    return rows, mixed
+
+
+def class_links(docs: DataFrame, classes: DataFrame, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect each group."""
-    dealt = signatures(docs).repartition("sig").dropDuplicates(["sig", "class"])
-    in_bucket = Window.partitionBy("sig").orderBy("class")
-    members = dealt.select(
-        "sig", "class", F.lag("class").over(in_bucket).alias("before"), F.lead("class").over(in_bucket).alias("after"), F.first("class").over(in_bucket).alias("leader")
-    )
-    members = shared_table(members.where("before is not null or after is not null").select("sig", "class", "before", "leader"), "buckets")
+    members = bucket_members(docs, hot)
     sketches = classes.select("class", "n", *(f"s{i}" for i in range(SKETCH)))
 
     # Few pairs of each bucket first.
-    few = members.where("before is not null").select(F.explode(F.array(F.struct(F.col("leader").alias("a"), F.col("class").alias("b")), F.struct(F.col("before").alias("a"), F.col("class").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
     few = (
-        few.join(sketches.alias("x"), F.col("a") == F.col("x.class"))
+        few_pairs(members)
+        .join(sketches.alias("x"), F.col("a") == F.col("x.class"))
         .join(sketches.alias("y"), F.col("b") == F.col("y.class"))
         .where(_may_link("x", "y"))
         .select("a", "b")
@@ -258,10 +321,8 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     # Then whatever is left between groups.
     rows = members.select("sig", "class").join(grouped, members["class"] == grouped["node"], "left").select("sig", "class", F.coalesce("label", "class").alias("group"))
-    rows = shared_table(rows, "grouped-buckets")
-    mixed = rows.groupBy("sig").agg(F.count("*").alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo != hi")
-    mixed = shared_table(mixed.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-    rows = rows.join(mixed, "sig").join(sketches, "class")
+    rows, mixed = refined(shared_table(rows, "grouped-buckets"), docs, classes, block)
+    rows = rows.join(mixed.select("sig", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "sig").join(sketches, "class")
     own = F.pmod(F.hash("class"), F.col("blocks"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = rows.withColumn("i", own).select("*", every.alias("j"))
@@ -272,23 +333,37 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return first.unionByName(shared_table(second, "links-2"))
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
-    digest = shared_table(digests(docs), "set-digests")
+def labelled_classes(digest: DataFrame, docs: DataFrame, **kw) -> DataFrame:
+    """Each class with its own first row and the group's: ``class, n, key, text_hash, first_key, first_hash``."""
     classes = shared_table(classes_of(digest), "set-classes")
-    label = components(class_links(docs, classes))
-    named = classes.select("class", "n", "key").join(label, classes["class"] == label["node"], "left").select("class", "n", "key", F.coalesce("label", "class").alias("label"))
+    label = components(class_links(docs, classes, **kw))
+    named = classes.select("class", "n", "key", "text_hash").join(label, classes["class"] == label["node"], "left").select("class", "n", "key", "text_hash", F.coalesce("label", "class").alias("label"))
     named = shared_table(named, "class-labels")
-    smallest = named.groupBy("label").agg(F.min("key").alias("smallest"))
-    by_class = shared_table(named.join(smallest, "label").select("class", "n", "smallest"), "class-names")
-    joined = digest.select("doc_id", "n", "class").join(by_class, ["class", "n"], "left")
+    smallest = named.groupBy("label").agg(F.min(F.struct("key", "text_hash")).alias("f"))
+    return shared_table(named.join(smallest, "label").select("class", "n", "key", "text_hash", F.col("f.key").alias("first_key"), F.col("f.text_hash").alias("first_hash")), "class-names")
+
+
+def jaccard_groups(docs: DataFrame, **kw) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    digest = shared_table(digests(docs), "set-digests")
+    names = labelled_classes(digest, docs, **kw).select("class", "n", "first_key")
+    joined = digest.select("doc_id", "n", "class").join(names, ["class", "n"], "left")
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("smallest", F.lit(_NO_ID))).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif("first_key", F.lit(_NO_ID))).alias("component_id")
     )
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest id of each group; rows of one id and rows without one stay as they are, but for exact groups' other ids."""
-    gone = jaccard_groups(docs).where("component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    gone = broadcast_if_small(shared_table(gone, "near-copies"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def one_of_each_group(docs: DataFrame, **kw) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, then of the smallest hash of its text."""
+    digest = shared_table(digests(docs), "set-digests")
+    names = labelled_classes(digest, docs, **kw)
+    rows = digest.where("n > 0").select("class", "n", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), "text_hash").groupBy("class", "n", "key", "text_hash").agg(F.count("*").alias("copies"))
+    fate = rows.join(names.select("class", "n", "first_key", "first_hash"), ["class", "n"])
+    stays = (F.col("key") == F.col("first_key")) & (F.col("text_hash") == F.col("first_hash"))
+    fate = shared_table(fate.select("key", "text_hash", stays.alias("stays"), "copies").where("not stays or copies > 1"), "near-copies")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.xxhash64("text").alias("text_hash"))
+    met = keyed.join(broadcast_if_small(fate), ["key", "text_hash"], "left")
+    # Repeated rows of one that stays are few and meet by their name; all others never leave their place.
+    alone = met.where("stays is null").select("row")
+    repeated = met.where("stays").groupBy("key", "text_hash").agg(F.first("row").alias("row")).select("row")
+    return alone.unionByName(repeated).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
