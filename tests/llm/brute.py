@@ -45,38 +45,51 @@ def plain_words(text):
     return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
 
 
-def overlaps(docs, items, masks, span, flank, shortest, like):
+def overlaps(docs, items, span=11, flank=4):
     """(doc_id, item_id) -> words that agree on the best diagonal; docs and items are (id, text)."""
     first = {}
     for item, text in items:
         words = tuple(plain_words(text))
-        if text is not None and len(words) >= shortest:
-            first[words] = item if words not in first or first[words] is None else first[words] if item is None else min(first[words], item)
-    seeds = defaultdict(list)
+        if words:
+            first[words] = item if first.get(words) is None else first[words] if item is None else min(first[words], item)
+
+    def near(words, i):
+        return tuple(words[j] if 0 <= j < len(words) else None for j in range(i - flank, i + span + flank))
+
+    def masks(n):
+        cells = [[j for j in range(n) if j % (n // 5 + 2) == c] for c in range(n // 5 + 2)]
+        return [tuple(sorted(a + b)) for a, b in combinations(cells, 2)]
+
+    # The same window of several items counts for the smallest.
+    window = {}
     for words, item in first.items():
-        n = len(words)
-        whole = [tuple(range(n))] if n < span else []
-        for mask, width in [*((m, span) for m in masks), *((w, n) for w in whole)]:
-            for j in range(n - width + 1):
-                seeds[mask, tuple(words[j + o] for o in mask)].append((item, words, j))
+        n = min(span, len(words))
+        for j in range(len(words) - n + 1):
+            key, value = (n, near(words, j)), (item is None, item or 0, j, item, words)
+            window[key] = min(window.get(key, value), value)
+    seeds = defaultdict(set)
+    for (n, seen), (_, _, j, item, words) in window.items():
+        for mask in masks(n):
+            seeds[n, mask, tuple(words[j + o] for o in mask)].add((item, words, j))
+    sizes = {n for n, _ in window}
     out = {}
-    shapes = {m for m, _ in seeds}
     for doc_id, text in docs:
         words = plain_words(text)
+        starts = {(n, i) for n in sizes if n >= 5 for i in range(len(words) - n + 1)}
+        at = 0
+        for line in (text or "").split("\n"):
+            n = len(plain_words(line))
+            starts |= {(n, at)} if 0 < n < 5 else set()
+            at += n
+        starts |= {(at, 0)} if 0 < at < 5 else set()
         met = defaultdict(set)
-        for mask in shapes:
-            width = span if mask in masks else len(mask)
-            for i in range(len(words) - width + 1):
-                for item, other, j in seeds.get((mask, tuple(words[i + o] for o in mask)), ()):
-                    same, compared = set(), 0
-                    for o in range(-flank, span + flank):
-                        if 0 <= i + o < len(words) and 0 <= j + o < len(other):
-                            compared += 1
-                            if words[i + o] == other[j + o]:
-                                same.add(j + o)
-                    least = min(compared, len(other))
-                    if len(same) >= -(-int(round(like * 100)) * least // 100):
-                        met[item, i - j] |= same
+        for n, i in starts:
+            for mask in masks(n):
+                for item, other, j in seeds.get((n, mask, tuple(words[i + o] for o in mask)), ()):
+                    pairs = [(o, x == y) for o, x, y in zip(range(-flank, span + flank), near(words, i), near(other, j), strict=True) if None not in (x, y)]
+                    inner = [s for o, s in pairs if 0 <= o < span]
+                    if any(5 * sum(p) >= 4 * len(p) for p in ([s for _, s in pairs], inner)):
+                        met[item, i - j] |= {j + o for o, s in pairs if s}
         for (item, _), places in met.items():
             out[doc_id, item] = max(out.get((doc_id, item), 0), len(places))
     return out

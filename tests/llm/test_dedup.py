@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -45,15 +46,45 @@ def test_jaccard_groups_near_the_threshold(spark):
     assert 40 < len({w[2] for w in want}) < len(rows)
 
 
+@pytest.mark.parametrize(("block", "hot"), [(4, 2), (16, 1)])
+def test_jaccard_groups_in_hot_buckets(spark, block, hot):
+    """Unequal sets with a common part, some near one another: buckets are salted and refined, and nothing is lost."""
+    rng = random.Random(block)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for g in range(150):
+        own = [f"g{g}w{i}" for i in range(rng.choice((4, 8, 25)))]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(common + own)))
+            own = own[:-1] + [f"z{rng.randrange(10**6)}"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_groups(df, block=block, hot=hot)
+    assert by_text(map(tuple, got.collect())) == by_text(brute.jaccard_groups(rows))
+
+
 def test_jaccard_odd_rows(odd, odd_rows, nothing):
     got = jaccard_join.jaccard_groups(odd)
     assert by_text(map(tuple, got.collect())) == by_text(brute.jaccard_groups(odd_rows))
     assert jaccard_join.jaccard_groups(nothing).count() == 0
+    assert jaccard_join.one_of_each_group(nothing).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, odd, odd_rows):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (0, b), (None, a), (None, a), (None, c), (None, c), (5, None), (5, None), (6, " "), (7, a + " more")]
+    kept = jaccard_join.one_of_each_group(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int"))
+    assert kept.columns == ["doc_id", "text", "place"]
+    assert by_text((r.doc_id, r.text) for r in kept.collect()) == by_text([(1, a), (0, b), (None, c), (5, None), (5, None), (6, " ")])
     kept = jaccard_join.one_of_each_group(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert 7 in ids and 8 not in ids and 9 not in ids and 4 in ids and 5 not in ids and 11 not in ids
-    assert ids.count(None) == 2 and {1, 2, 3, 10, 12} <= set(ids)
+    # By brute force: groups of rows, numbered apart from their ids.
+    groups = brute.jaccard_groups([(i, t) for i, (_, t) in enumerate(odd_rows)])
+    want = []
+    for g in sorted({c for _, n, c in groups if n}):
+        ids = [odd_rows[i][0] for i, n, c in groups if n and c == g]
+        want.append(min((d for d in ids if d is not None), default=None))
+    want += [odd_rows[i][0] for i, n, _ in groups if not n]
+    assert by_text(r.doc_id for r in kept.collect()) == by_text(want)
 
 
 def test_span_dedup_on_documents(spark, documents):
@@ -86,6 +117,40 @@ def test_span_dedup_passage_inside_long_sentences(spark, before):
     assert got[0].text.split() == f"{around(3, 30 + before)} {around(4, 30)}".split()
 
 
+def plain_sentences(text):
+    """Sentences of up to twelve words, split character by character; None where one is longer."""
+    out, start = [], 0
+    for i, c in enumerate(text):
+        if c == "\n" or (c in ".!?" and i + 1 < len(text) and text[i + 1].isspace()):
+            out.append(text[start : i + (c != "\n")])
+            start = i + 1
+    return [" ".join(s.split()).lower() for s in [*out, text[start:]] if s.split()]
+
+
+def test_sentences(documents):
+    for _, text in pairs(documents):
+        parts, end = span_dedup.sentences(text), 0
+        for a, b, words, n in parts:
+            assert a >= end and " ".join(text[a:b].split()).lower() == words and n == len(words.split()) <= span_dedup.LONGEST
+            end = b
+        assert " ".join(p[2] for p in parts) == " ".join(text.split()).lower()
+        whole = plain_sentences(text)
+        assert {p for p in whole if len(p.split()) <= span_dedup.LONGEST} <= {p[2] for p in parts}
+
+
+def test_span_dedup_hard_texts_are_fast(harsh):
+    began = time.monotonic()
+    assert {r.doc_id for r in span_dedup.deduplicate(harsh).collect()} == {1, 2, 8, 9, 10}
+    assert time.monotonic() - began < 60
+
+
+def test_span_dedup_rows_of_one_id(spark):
+    passage = ". ".join(f"shared{i} one two three four five" for i in range(8)) + "."
+    rows = [(None, f"First text {i} stands here.\n{passage}") for i in range(30)] + [(-1, f"First text 3 stands here.\n{passage}")]
+    got = span_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["-1"] + ["None"] * 29 and all("shared3" not in r.text for r in got)
+
+
 def test_span_dedup_odd_rows(odd, odd_rows, nothing):
     got = {r.doc_id for r in span_dedup.deduplicate(odd).collect()}
     assert {8, 9} <= got and not got & {1, 2, 3, 4, 5, 6, 7, 10}
@@ -93,11 +158,46 @@ def test_span_dedup_odd_rows(odd, odd_rows, nothing):
 
 
 def test_overlaps_on_documents(spark, documents):
-    d = decontaminate
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = brute.overlaps(pairs(documents), items, d.MASKS, d.SPAN, d.FLANK, d.SHORTEST, d.LIKE)
     got = {(r.doc_id, r.item_id): r.n_matched for r in queries.op6_decontaminate(spark, SF).collect()}
-    assert got == want and want
+    assert got == brute.overlaps(pairs(documents), items) and got
+
+
+def leaks(n_items=60, seed=9):
+    """Items of 1 to 40 words with a shared preamble for some, and documents that hold them with up to a fifth of the words changed."""
+    rng = random.Random(seed)
+    words = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    preamble = words(16)
+    items = [(i, " ".join((preamble if i % 7 == 0 else []) + words(rng.choice((1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 16, 20, 40))))) for i in range(n_items)]
+    docs = []
+    for i, text in items:
+        leak = text.split()
+        for at in rng.sample(range(len(leak)), len(leak) // 5):
+            leak[at] = f"changed{at}"
+        before, after = " ".join(words(rng.randrange(12))), " ".join(words(rng.randrange(12)))
+        docs.append((i, f"{before}\n{' '.join(leak)}\n{after}" if i % 2 else f"{before} {' '.join(leak)} {after}"))
+    return docs, items
+
+
+def test_overlaps_of_items_of_all_lengths(spark):
+    docs, items = leaks()
+    table = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    assert got == brute.overlaps(docs, items)
+    found = {d for d, _ in got}
+    lengths = {i: len(t.split()) for i, t in items}
+    assert {i for i, n in lengths.items() if 5 <= n <= 15 or n >= 30 or (n < 5 and i % 2)} <= found
+    assert not {i for i, n in lengths.items() if n < 5 and i % 2 == 0} & found  # inside a running line
+    assert sum(lengths[i] > 4 for i in found) >= 0.95 * sum(n > 4 for n in lengths.values())
+
+
+def test_short_items_are_whole_lines(spark):
+    docs = [(1, "four words of it"), (2, "so, FOUR words of it follow"), (3, "first\nFour; words, of it!\nlast"), (4, "four\nwords of\nit"), (None, "one"), (5, "one two")]
+    items = [(7, "Four words of it"), (8, "one"), (9, "..."), (10, None)]
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in found.collect()} == {(1, 7, 4), (3, 7, 4), (4, 7, 4), (None, 8, 1)}
+    kept = decontaminate.drop_contaminated(spark.createDataFrame([*docs, (1, "another text")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [docs[1], docs[5], (1, "another text")]))
 
 
 @pytest.mark.parametrize("at", [2, 5, 9])
@@ -114,5 +214,7 @@ def test_decontaminate_odd_rows(spark, odd, nothing):
     items = spark.createDataFrame([(1, "the end of the ids is here"), (None, None), (2, "")], "item_id long, text string")
     kept = decontaminate.drop_contaminated(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    clash = items.selectExpr("item_id", "text", "1 as doc_id", "2 as text_hash", "3 as seed")
+    assert decontaminate.drop_contaminated(odd, clash).count() == odd.count() - 1
     assert decontaminate.drop_contaminated(nothing, items).count() == 0
     assert decontaminate.drop_contaminated(odd, items.limit(0)).count() == odd.count()

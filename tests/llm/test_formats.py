@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -153,50 +155,149 @@ def test_license_phrases(spark, documents, odd, odd_rows, nothing):
     assert license_scan.license_scan(nothing).count() == 0
 
 
+def as_expression(template):
+    """The template as a regular expression over words that each end with a blank."""
+    out = []
+    for mark in re.findall(r"\[\[|\]\]|\{\{\w+:\d+\}\}|\||[^\s\[\]{}|]+", template):
+        if mark in ("[[", "]]", "|"):
+            out.append({"[[": "(?:(?:", "]]": "))?", "|": ")|(?:"}[mark])
+        elif mark.startswith("{{"):
+            out.append(f"(?:\\S+ ){{1,{mark[2:-2].split(':')[1]}}}")
+        else:
+            out += [w.decode() + " " for w in license_scan.words_of(mark)]
+    return re.compile("(?:^|(?<= ))" + "".join(out))
+
+
+def template_labels(text, templates=license_scan.TEMPLATES):
+    line = "".join(w.decode() + " " for w in license_scan.words_of(text))
+    return {label for label, t in templates if as_expression(t).search(line)}
+
+
+def filled(template, rng):
+    """A text that the template accepts: each optional region there or not, each replaceable one filled."""
+    text = template
+    while "[[" in text:
+        text = re.sub(r"\[\[([^\[\]]*)\]\]", lambda m: rng.choice(["", *m.group(1).split("|")]), text)
+    return re.sub(r"\{\{\w+:(\d+)\}\}", lambda m: " ".join(f"N{rng.randrange(99)}" for _ in range(rng.randint(1, int(m.group(1))))), text)
+
+
+def test_license_labels_and_score(spark, documents, odd, odd_rows):
+    rng = random.Random(4)
+    made = []
+    for label, template in license_scan.TEMPLATES:
+        for _ in range(6):
+            text = filled(template, rng)
+            made.append((len(made), f"Some words. {text} More words."))
+            words = text.split()
+            at = rng.randrange(len(words))
+            words[at] = "altered"
+            made.append((len(made), " ".join(words)))
+        assert label in template_labels(made[-2][1])
+    for df, rows in ((documents, pairs(documents)), (odd, odd_rows), (spark.createDataFrame(made, "doc_id long, text string"), made)):
+        want = sorted((str(d), ",".join(sorted(template_labels(t) | set(filter(None, phrases(t)[4].split(","))))), bool(template_labels(t))) for d, t in rows)
+        got = license_scan.license_scan(df).collect()
+        assert sorted((str(r.doc_id), r.labels, r.score == 1) for r in got) == want
+        assert all(0 <= r.score <= 1 and (r.n_base == 0 or r.score >= 0.5) for r in got)
+
+
+def test_license_texts_need_their_whole_wording():
+    mit = dict(license_scan.TEMPLATES)["mit"].replace("{{holders:8}}", "the authors").replace("[[(including the next paragraph)]]", "")
+    scan = lambda t: license_scan.scan_words(license_scan.words_of(t))
+    assert [p[0] for p in scan(mit)[1]] == ["mit"] and scan(mit)[2] == 1
+    altered = mit.replace("OTHER DEALINGS", "NO DEALINGS")
+    assert scan(altered)[1] == [] and 0.9 < scan(altered)[2] < 1
+
+
+def test_license_hard_texts_are_fast(harsh, harsh_rows):
+    began = time.monotonic()
+    got = sorted(map(str, (tuple(r)[:6] for r in license_scan.license_scan(harsh).collect())))
+    notices = [(90, "copyright 2020 " * 100_000 + "all rights reserved"), (91, "this is licensed under the gnu general public license " * 20_000)]
+    found = [license_scan.scan_words(license_scan.words_of(t)) for _, t in notices]
+    assert time.monotonic() - began < 60 and len(found[0][1]) == 3 and len(found[1][0]) == 20_000
+    assert got == sorted(str((d, *phrases(t))) for d, t in harsh_rows)
+
+
 def test_license_templates():
     a = license_scan.TokenAutomaton("copyright [[c]] {{year:2}} {{holder:3}} all rights reserved")
-    run = lambda t: a.longest([w.encode() for w in t.split()], 0)
-    assert run("copyright c 2020 me all rights reserved") == 7
-    assert run("copyright 2020 me and you all rights reserved") == 8
-    assert run("copyright 2020 me and you and more all rights reserved") is None
-    assert run("copyright 2020 me all rights") is None
+    run = lambda t: a.run([w.encode() for w in t.split()], 0)
+    assert run("copyright c 2020 me all rights reserved") == (7, 1)
+    assert run("copyright 2020 me and you all rights reserved") == (8, 1)
+    assert run("copyright 2020 me and you and more all rights reserved")[0] is None
+    assert run("copyright 2020 me all rights") == (None, 0.75)
     b = license_scan.TokenAutomaton("under [[the|a]] mit license")
-    assert b.longest(b"under a mit license now".split(), 0) == 4 and b.longest(b"under mit license".split(), 0) == 3
-    assert b.longest(b"under an mit license".split(), 0) is None
+    assert b.run(b"under a mit license now".split(), 0) == (4, 1) and b.run(b"under mit license".split(), 0) == (3, 1)
+    assert b.run(b"under an mit license".split(), 0)[0] is None
 
 
 # ---------------------------------------------------------------- fingerprints
-def check_fingerprints(df, rows, ranges):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+def plain_fingerprint(text):
+    """Sums of +1 and -1 over the paragraphs, one lane at a time; entry 0 counts them."""
+    parts = [p.strip() for line in text.split("\n") for p in re.split(r"(?<=[.!?])[^\S\n]+", line)]
+    parts = [p[i : i + 400] for p in parts for i in range(0, len(p), 400)]
+    total = [len(parts)] + [0] * fingerprint.LANES
+    for p in parts:
+        bits = int.from_bytes(hashlib.blake2b(p.encode(), digest_size=fingerprint.LANES // 8).digest(), "big")
+        for lane in range(fingerprint.LANES):
+            total[lane + 1] += 1 if bits >> (fingerprint.LANES - 1 - lane) & 1 else -1
+    return total
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    square = lambda v: sum(e * e for e in v[1:])
+    whole = square(x) + square(y)
+    return min(1.0, max(0.0, 1 - square([a - b for a, b in zip(x, y, strict=True)]) / whole)) if whole else 0.0
+
+
+def check_fingerprints(spark, df, rows, ranges):
+    hashes = spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) as h").distinct().collect()
+    order = {r.t: r.h for r in hashes}
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r[1] or ""]))
     got = fingerprint.fingerprints(df, ranges).collect()
     want = []
     for i, (doc_id, text) in enumerate(rows):
         old, after = text or "", rows[(i + 1) % len(rows)][1] or ""
         half = len(old) // 2
         new = old[: len(old) - half] + after[:half]
-        want.append(str((doc_id, len(old), hashlib.sha256(new.encode()).hexdigest())))
-    assert sorted(str(tuple(r)[:3]) for r in got) == sorted(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        a, b, c = map(plain_fingerprint, (old, new, after))
+        sha = hashlib.sha256(new.encode()).hexdigest()
+        vector = b"".join((x % 2**16).to_bytes(2, "little") for x in a)
+        name = lambda v: hashlib.md5(b"".join((x % 2**16).to_bytes(2, "little") for x in v)).hexdigest()
+        want.append(str((doc_id, len(old), sha, name(a), name(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9), vector)))
+    assert sorted(str((*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9), bytes(r.vector))) for r in got) == sorted(want)
     return got
 
 
 def test_fingerprints_on_documents(spark, documents):
-    got = check_fingerprints(documents, pairs(documents), 5)
+    got = check_fingerprints(spark, documents, pairs(documents), 5)
     texts = dict(pairs(documents))
     by_text = {}
     for r in got:
         assert by_text.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint
     assert queries.op9_fingerprint(spark, SF).count() == len(texts)
+    # What is returned takes paragraphs in and gives them back.
+    stored = fingerprint.from_bytes(bytes(got[0].vector))
+    grown = fingerprint.insert(stored, "One more.")
+    assert (grown == fingerprint.fingerprint_of(texts[got[0].doc_id] + "\nOne more.")).all() and (fingerprint.delete(grown, "One more.") == stored).all()
+
+
+def test_fingerprints_of_one_hot_id(spark):
+    rows = [(None, f"text {i % 50}") for i in range(400)] + [(5, "same")] * 300 + [(6, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    check_fingerprints(spark, df, rows, 9)
+    sizes = [r[0] for r in fingerprint.in_ranges(df, 9).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 250
 
 
-def test_fingerprints_odd_rows(odd, odd_rows, nothing):
-    check_fingerprints(odd, odd_rows, 3)
-    check_fingerprints(odd, odd_rows, 1)
+def test_fingerprints_odd_rows(spark, odd, odd_rows, nothing):
+    check_fingerprints(spark, odd, odd_rows, 3)
+    check_fingerprints(spark, odd, odd_rows, 1)
     assert fingerprint.fingerprints(nothing, 3).count() == 0
 
 
-def test_fingerprint_of_one_row(odd):
-    check_fingerprints(odd.where(F.col("doc_id") == 12).limit(1), [(12, odd.where("doc_id = 12").first().text)], 3)
+def test_fingerprint_of_one_row(spark, odd):
+    check_fingerprints(spark, odd.where(F.col("doc_id") == 12).limit(1), [(12, odd.where("doc_id = 12").first().text)], 3)
 
 
 def test_fingerprint_is_homomorphic():
