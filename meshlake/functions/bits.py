@@ -61,3 +61,12 @@ def screen_area(size: Column) -> Column:
 
 def screen_size(area: Column) -> Column:
     return 2 * F.sqrt(area / math.pi)
+
+
+def bytes_reversed(n: Column, width: int) -> Column:
+    """The lowest ``width`` bytes of a number in the other order, as a number."""
+    out = F.lit(0).cast("long")
+    for i in range(width):
+        byte = F.shiftrightunsigned(n.cast("long"), 8 * i).bitwiseAND(255)
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * (width - 1 - i)))
+    return out

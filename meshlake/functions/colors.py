@@ -51,3 +51,12 @@ def to_floats(c: Column) -> Column:
 
 def from_floats(c: Column) -> Column:
     return rgba(*(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(c[k] * 255.0))).cast("int") for k in "rgba"))
+
+
+def with_alpha(c: Column, alpha: Column) -> Column:
+    """A colour of three channels with a fourth."""
+    return rgba(c["r"], c["g"], c["b"], alpha)
+
+
+def without_alpha(c: Column) -> Column:
+    return F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"))

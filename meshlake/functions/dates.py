@@ -37,19 +37,30 @@ def epoch_millis(s: Column, mask: str, offset_minutes: int = 0) -> Column:
     """
     elements = parse_mask(mask)
     pattern = _pattern(elements)
+    numbers = [e for e in elements if e != "Z"]
+    if len(elements) > len(numbers):
+        tail = F.regexp_extract(s, pattern, len(numbers) + 1)
+        found = F.struct(F.split(s, "[^0-9]", len(numbers) + 1).alias("parts"), tail.alias("tail"))
+    else:
+        found = F.struct(F.split(s, "[^0-9]", len(numbers) + 1).alias("parts"), F.lit("").alias("tail"))
+    # The text is matched and split once; its parts are then named as often as it takes.
+    return F.get(F.transform(F.array(F.when(F.regexp_like(s, F.lit(pattern)), found)), lambda x: _millis(x, elements, numbers, offset_minutes)), F.lit(0))
+
+
+def _millis(x: Column, elements: list[str], numbers: list[str], offset_minutes: int) -> Column:
     part: dict[str, Column] = {}
-    ok = F.regexp_like(s, F.lit(pattern))
-    for i, e in enumerate([e for e in elements if e != "Z"], 1):
+    ok = x.isNotNull()
+    for i, e in enumerate(numbers):
         name, lo, hi = _ELEMENTS[e]
-        part[name] = F.regexp_extract(s, pattern, i).try_cast("int")
+        part[name] = F.get(x["parts"], F.lit(i)).try_cast("int")
         ok = ok & part[name].between(lo, hi)
     get = lambda name, default: part.get(name, F.lit(default))
     first = F.make_date(get("year", 1970), get("month", 1), F.lit(1))
     days = F.unix_date(first) + get("day", 1) - 1
     seconds = get("hour", 0) * 3600 + get("minute", 0) * 60 + get("second", 0)
     minutes = F.lit(offset_minutes)
-    if "Z" in elements:
-        tail = F.regexp_extract(s, pattern, len(part) + 1)
+    if len(elements) > len(numbers):
+        tail = x["tail"]
         hours = F.regexp_extract(tail, r"^[+-]([0-9]{1,2}):", 1).try_cast("int")
         mins = F.regexp_extract(tail, r":([0-9]{2})$", 1).try_cast("int")
         ok = ok & ((tail == "Z") | (hours.between(0, 14) & mins.between(0, 59)))
@@ -79,3 +90,8 @@ def leap_days_between(first: Column, last: Column) -> Column:
     """Leap days of the years from ``first`` up to, not with, ``last``."""
     before = lambda y: F.floor((y - 1) / 4) - F.floor((y - 1) / 100) + F.floor((y - 1) / 400)
     return (before(last) - before(first)).cast("int")
+
+
+def layer_timestamp(millis: Column) -> Column:
+    """A layer's time, or now where it isn't set (null, or not above 0)."""
+    return F.coalesce(F.when(millis > 0, millis), F.unix_millis(F.current_timestamp()))

@@ -94,8 +94,9 @@ def epsg_url(wkid: Column, latest: Column) -> Column:
 
 
 def is_geographic(wkid: Column, latest: Column) -> Column:
-    """One of the two well-known geographic systems, by either id."""
-    return wkid.isin(4326, 4490) | latest.isin(4326, 4490)
+    """Exactly one of the two well-known geographic systems is named, by either id."""
+    named = lambda k: F.coalesce(wkid == k, F.lit(False)) | F.coalesce(latest == k, F.lit(False))
+    return named(4326) != named(4490)
 
 
 def version_number(s: Column) -> Column:
@@ -130,3 +131,13 @@ def texture_name(fmt: Column, semantic: Column) -> Column:
 
 def gzip_wanted(mime: Column) -> Column:
     return ~mime.isin(*NEVER_GZIPPED)
+
+
+def variant_text(v: Column) -> Column:
+    """A simple value as text; ``<Null>`` for nothing."""
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("<Null>"))
+
+
+def variant_number(v: Column) -> Column:
+    """A simple value as a number; 0 for nothing and for a text that is none."""
+    return F.coalesce(F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "boolean").cast("double"), F.lit(0.0))

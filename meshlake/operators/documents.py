@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import numbered, staged
+from ..functions.text import path_key
+from .staging import numbered, range_offsets, ranged
 
 # What stands for null in a buffer, by type. Texts keep null (it isn't the empty text).
 NULL_SENTINELS = {
@@ -29,9 +30,6 @@ DROPPABLE = ("normal", "color", "region")
 
 FEATURES = "array<struct<id:bigint,x:bigint,y:bigint>>"
 KEEP_NULLS = {"ignoreNullFields": "false"}
-#: Resources of one block when offsets are summed.
-BLOCK = 4096
-
 
 def with_sentinel(value: Column, kind: str) -> Column:
     """``value`` as it goes into a buffer of type ``kind``."""
@@ -138,15 +136,27 @@ def read_documents(df: DataFrame, column: str, fields: dict[str, str]) -> DataFr
 def archive_index(resources: DataFrame, order: list[str]) -> DataFrame:
     """(key, start, size and the columns of ``order``) of resources (path, size, ...) laid one after the other.
 
-    Sizes are summed within blocks of consecutive resources, then over the blocks' totals.
+    Sizes are summed within the ranges that number the rows, then over the ranges' totals, one row a range.
     """
-    rows = numbered(resources, order).withColumn("_block", F.floor(F.col("number") / BLOCK))
-    within = Window.partitionBy("_block").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    rows = staged(rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0))), "archive-rows")
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_block").agg(F.sum("size").alias("_total")).select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    placed = rows.join(totals, "_block")
-    return placed.select(*order, F.md5("path").alias("key"), (F.col("_before") + F.col("_within")).alias("start"), "size")
+    rows = ranged(resources, order)
+    within = Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    totals = range_offsets(rows, F.sum("size"))
+    placed = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(F.broadcast(totals), "_range")
+    return placed.select(*order, F.md5("path").alias("key"), (F.col("_offset") + F.col("_within")).alias("start"), "size")
+
+
+def index_by_key(index: DataFrame) -> DataFrame:
+    """(place, key, start, size) of an archive's index in the order of the 128-bit keys, as it is stored for searching.
+
+    A key that several resources share is an error of the archive; ``archive_duplicates`` finds it.
+    """
+    return numbered(index.select("key", "start", "size"), ["key", "start"], "place")
+
+
+def archive_lookup(index: DataFrame, asked: DataFrame, path: str) -> DataFrame:
+    """``asked`` with ``start`` and ``size`` of the resource at ``path``; null where the archive has none."""
+    found = index.groupBy("key").agg(F.min(F.struct("start", "size")).alias("at"))
+    return asked.withColumn("key", path_key(F.col(path))).join(found, "key", "left").select(*asked.columns, "at.start", "at.size")
 
 
 def archive_duplicates(resources: DataFrame) -> DataFrame:

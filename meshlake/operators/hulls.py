@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import obb_corners
+
 #: Axes, edge and corner diagonals of a cube: 13 directions.
 DIRECTIONS = tuple(
     tuple(x / math.sqrt(sum(v * v for v in d)) for x in d)
@@ -21,6 +23,18 @@ DIRECTIONS = tuple(
 )
 
 
+_GOLDEN = (1 + math.sqrt(5)) / 2
+#: The ten axes of a dodecahedron's corners and the six of an icosahedron's: 16 directions, the finer set.
+ROUND_DIRECTIONS = tuple(
+    tuple(x / math.sqrt(sum(v * v for v in d)) for x in d)
+    for d in (
+        *((x, y, 1.0) for x in (-1.0, 1.0) for y in (-1.0, 1.0)),
+        *((0.0, s / _GOLDEN, _GOLDEN)[k:] + (0.0, s / _GOLDEN, _GOLDEN)[:k] for k in range(3) for s in (-1, 1)),
+        *((0.0, 1.0, s * _GOLDEN)[k:] + (0.0, 1.0, s * _GOLDEN)[:k] for k in range(3) for s in (-1, 1)),
+    )
+)
+
+
 def hull(points: DataFrame, by: list[str], directions=DIRECTIONS) -> DataFrame:
     """(by, n, lo, hi): arrays of the intervals along the directions."""
     along = [F.col("x") * d[0] + F.col("y") * d[1] + F.col("z") * d[2] for d in directions]
@@ -32,6 +46,33 @@ def merge_hulls(hulls: DataFrame, by: list[str], directions=DIRECTIONS) -> DataF
     return hulls.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*(F.min(F.col("lo")[i]) for i in k)).alias("lo"), F.array(*(F.max(F.col("hi")[i]) for i in k)).alias("hi"))
 
 
+def common_widths(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """Widths of the hull that holds both, by direction."""
+    low, high = F.zip_with(lo1, lo2, lambda a, b: F.least(a, b)), F.zip_with(hi1, hi2, lambda a, b: F.greatest(a, b))
+    return F.zip_with(low, high, lambda a, b: b - a)
+
+
+def cluster_distances(widths: Column) -> Column:
+    """How far two clusters are apart, by the widths of their common hull over ``DIRECTIONS``.
+
+    ``mean`` is the sum of squared widths, ``largest`` the largest one; over the fixed frames
+    ``area`` is half the least surface and ``diagonal`` the mean diagonal.
+    """
+    index = {tuple(round(x, 9) for x in d): i for i, d in enumerate(DIRECTIONS)}
+
+    def at(axis) -> int:
+        key = tuple(round(x, 9) for x in axis)
+        return index[key] if key in index else index[tuple(-x + 0.0 for x in key)]
+
+    sides = [[F.get(widths, F.lit(at(a))) for a in axes] for axes in frames()]
+    area = F.least(*(x * y + y * z + z * x for x, y, z in sides))
+    squares = [x * x + y * y + z * z for x, y, z in sides]
+    return F.struct(
+        F.aggregate(widths, F.lit(0.0), lambda s, w: s + w * w).alias("mean"), F.array_max(widths).alias("largest"),
+        area.alias("area"), F.sqrt(sum(squares[1:], squares[0]) / float(len(squares))).alias("diagonal"),
+    )
+
+
 def widest_direction(lo: Column, hi: Column) -> Column:
     """Index of the direction with the largest extent; the first of equals."""
     width = F.zip_with(lo, hi, lambda a, b: b - a)
@@ -73,6 +114,34 @@ def oriented_boxes(points: DataFrame, by: list[str], metric: str = "volume") ->
     return best.select(*by, "n", "b.frame", "b.center", "b.extents", "b.volume")
 
 
+def frame_quats() -> list[tuple]:
+    """The frames' orientations as quaternions (x, y, z, w)."""
+    c, s = math.cos(math.pi / 8), math.sin(math.pi / 8)
+    return [(0.0, 0.0, 0.0, 1.0), (0.0, 0.0, s, c), (0.0, -s, 0.0, c), (s, 0.0, 0.0, c)]
+
+
+def node_volumes(points: DataFrame, by: str) -> DataFrame:
+    """(by, n, box, radius): a node's oriented box, and the sphere about its centre that reaches all its points.
+
+    A node whose points are all one place has extents and radius 1.
+    """
+    boxes = oriented_boxes(points, [by])
+    quats = F.array(*(F.struct(*(F.lit(float(v)).alias(k) for k, v in zip("xyzw", q, strict=True))) for q in frame_quats()))
+    point = (F.col("extents.x") == 0) & (F.col("extents.y") == 0) & (F.col("extents.z") == 0)
+    one = F.struct(*(F.lit(1.0).alias(k) for k in "xyz"))
+    box = F.struct("center", F.when(point, one).otherwise(F.col("extents")).alias("extents"), F.get(quats, F.col("frame")).alias("quat"))
+    boxes = boxes.select(by, "n", box.alias("box"), point.alias("point"))
+    d = [F.col(k) - F.col(f"box.center.{k}") for k in "xyz"]
+    far = points.select(by, "x", "y", "z").join(boxes.select(by, "box"), by).groupBy(by).agg(F.max(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("radius"))
+    return boxes.join(far, by).select(by, "n", "box", F.when(F.col("point"), 1.0).otherwise(F.col("radius")).alias("radius"))
+
+
+def parent_volumes(children: DataFrame, by: str) -> DataFrame:
+    """(by, n, box, radius) from the corners of the children's boxes (column ``box``); ``n`` is the number of children."""
+    corners = children.select(by, F.explode(obb_corners(F.col("box"))).alias("c")).select(by, "c.x", "c.y", "c.z")
+    return node_volumes(corners, by).withColumn("n", (F.col("n") / 8).cast("long"))
+
+
 def bounding_spheres(boxes: DataFrame) -> DataFrame:
     """Adds ``radius``: half the box's diagonal, so that the sphere holds all of it."""
     return boxes.withColumn("radius", F.sqrt(F.col("extents.x") ** 2 + F.col("extents.y") ** 2 + F.col("extents.z") ** 2))

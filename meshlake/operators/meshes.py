@@ -30,6 +30,34 @@ def ingest_issues(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("node_id").agg(F.count("*").alias("n_vertices")).where("n_vertices % 3 != 0")
 
 
+def gathered(indices: DataFrame, values: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(node_id, vtx, x, y, z): a vertex for each entry of an index (node_id, vtx, idx), from values (node_id, idx, x, y, z), scaled.
+
+    Entries beyond the values are errors; they have no vertex here (``gather_issues``).
+    """
+    met = indices.join(values.select("node_id", "idx", "x", "y", "z"), ["node_id", "idx"])
+    return met.select("node_id", "vtx", *((F.col(c) * float(scale)).alias(c) for c in "xyz"))
+
+
+def gather_issues(indices: DataFrame, values: DataFrame) -> DataFrame:
+    """Entries of an index that name no value."""
+    return indices.join(values.select("node_id", "idx"), ["node_id", "idx"], "left_anti").select("node_id", "vtx", "idx")
+
+
+def ingest_points(points: DataFrame) -> DataFrame:
+    """Points (node_id, fid, x, y, z) as an origin per node, single-precision differences, and the half widths of their box, 1 for a single place."""
+    ends = points.groupBy("node_id").agg(*(((F.min(c) + F.max(c)) / 2).alias(f"o{c}") for c in "xyz"), *(((F.max(c) - F.min(c)) / 2).alias(f"e{c}") for c in "xyz"))
+    point = (F.col("ex") == 0) & (F.col("ey") == 0) & (F.col("ez") == 0)
+    ends = ends.withColumn("point", point).withColumns({f"e{c}": F.when(F.col("point"), 1.0).otherwise(F.col(f"e{c}")) for c in "xyz"}).drop("point")
+    return points.join(ends, "node_id").withColumns({f"r{c}": (F.col(c) - F.col(f"o{c}")).cast("float") for c in "xyz"})
+
+
+def without(df: DataFrame, *attributes: str) -> DataFrame:
+    """Vertices without normals, colours, regions or feature ids, whichever of them there are."""
+    columns = {"normals": ("nx", "ny", "nz"), "colors": ("r", "g", "b", "a"), "regions": ("u0", "v0", "u1", "v1"), "fids": ("fid",)}
+    return df.drop(*(c for a in attributes for c in columns[a]))
+
+
 def absolute(relative: DataFrame) -> DataFrame:
     return relative.withColumns({c: F.col(f"o{c}") + F.col(f"r{c}").cast("double") for c in "xyz"})
 
@@ -51,7 +79,7 @@ def uv_wrap(vertices: DataFrame) -> DataFrame:
 
 
 def without_regions(uv: Column, lo: Column, hi: Column) -> Column:
-    """A coordinate within a region of an atlas, in sixty-five thousand five hundred thirty-fifths, as an absolute one."""
+    """A coordinate within a region of an atlas, whose ends are in units of 1/65535, as an absolute one."""
     return uv * (hi - lo) / 65535.0 + lo / 65535.0
 
 

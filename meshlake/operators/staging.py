@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``)."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); one is made only for a local master without it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="meshlake-")  # only where no cluster names a folder
         spark.conf.set("spark.checkpoint.dir", at)
@@ -26,17 +28,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, keys: list[str], name: str = "number", partitions: int | None = None) -> DataFrame:
-    """Rows numbered from 0 in the order of ``keys``, without bringing them to one task.
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if a count proves that it has at most ``rows`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
-    Rows are dealt into ranges and sorted there; the ranges' sizes, one row per range, give the
-    offsets. The sorted rows are written once, since the ranges of a second run could differ.
+def ranged(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows in the order of ``keys``, dealt into ranges: ``_range`` and the row's place in it, ``_row``.
+
+    The sorted rows are written once, since the ranges of a second run could differ.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
-    rows = staged(rows.withColumns({"_range": F.shiftright(at, 33), "_row": at.bitwiseAND((1 << 33) - 1)}), "numbered")
+    return staged(rows.withColumns({"_range": F.shiftright(at, 33), "_row": at.bitwiseAND((1 << 33) - 1)}), "ranged")
+
+
+def range_offsets(rows: DataFrame, total) -> DataFrame:
+    """(_range, _offset): the aggregate ``total`` of all ranges before each; one row a range."""
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    return rows.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_offset") + F.col("_row")).drop("_range", "_row", "_offset")
+    sizes = rows.groupBy("_range").agg(total.alias("_size"))
+    return sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+
+
+def numbered(df: DataFrame, keys: list[str], name: str = "number", partitions: int | None = None) -> DataFrame:
+    """Rows numbered from 0 in the order of ``keys``, without bringing them to one task: the ranges' sizes give the offsets."""
+    rows = ranged(df, keys, partitions)
+    placed = rows.join(F.broadcast(range_offsets(rows, F.count("*"))), "_range")
+    return placed.withColumn(name, F.col("_offset") + F.col("_row")).drop("_range", "_row", "_offset")

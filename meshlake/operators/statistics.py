@@ -73,29 +73,26 @@ def quantized_histogram(df: DataFrame, value: str, bins: int, sigma: float = 4.0
     return df.where(v.isNotNull()).join(F.broadcast(span)).groupBy(k.alias("bin"), "low", "high").agg(F.count("*").alias("n"))
 
 
-def bin_percentile(histo: DataFrame, bins: int, percent: float) -> DataFrame:
-    """Percentile of a quantized histogram, linear inside the bin that holds it.
+def bin_percentiles(histo: DataFrame, bins: int, percents: list[float]) -> DataFrame:
+    """(percent, value): percentiles of a quantized histogram, linear inside the bin that holds them.
 
-    The bins, at most ``bins`` rows, are made dense and accumulated in order.
+    The histogram, at most ``bins`` rows, becomes one row of arrays, and every percentile is read from it.
     """
-    spark = histo.sparkSession
-    span = histo.select("low", "high").distinct()
-    dense = spark.range(bins).select(F.col("id").cast("int").alias("bin")).join(histo.select("bin", "n"), "bin", "left").fillna(0, ["n"])
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy()
-    run = dense.select("bin", "n", F.sum("n").over(upto).alias("acc"), F.sum("n").over(total).alias("total"))
-    limit = F.col("total") * (percent / 100.0)
+    counts = F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int"), F.col("n").cast("long"))))
+    whole = histo.groupBy("low", "high").agg(counts.alias("counts"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("counts", i), F.lit(0).cast("long")))
+    whole = whole.select("low", "high", dense.alias("n"))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.aggregate(F.slice("n", 1, k), F.lit(0).cast("long"), lambda a, x: a + x))
+    whole = whole.select("low", "high", "n", upto.alias("acc"), F.explode(F.array(*(F.lit(float(p)) for p in percents))).alias("percent"))
+    lim = F.col("acc")[bins - 1] * (F.col("percent") / 100.0)
     # The position steps past the first bin whose running count reaches the limit.
-    hit = run.where(F.col("acc") >= limit).agg(F.min("bin").alias("hit"), F.first("total").alias("total"))
-    at = hit.select(F.least(F.col("hit") + 1, F.lit(bins - 1)).alias("at"), "hit", (F.col("total") * (percent / 100.0)).alias("lim"))
-    both = at.join(run.select("bin", F.col("acc"), F.col("n")), F.col("bin") == F.col("hit")).select("at", "lim", F.col("acc").alias("y2"), F.col("n").alias("n_hit"))
-    there = both.join(run.select(F.col("bin").alias("at"), F.col("n").alias("n_at")), "at")
-    y1 = F.col("y2") - F.col("n_at")
-    alpha = F.when(y1 < F.col("y2"), (F.col("lim") - y1) / (F.col("y2") - y1)).otherwise(1.0)
-    alpha = F.greatest(F.lit(0.0), F.least(F.lit(1.0), alpha))
-    x1 = F.greatest(F.col("at") - 1, F.lit(0))
-    pos = (1 - alpha) * x1 + alpha * F.col("at")
-    return there.join(F.broadcast(span)).select(F.lit(float(percent)).alias("percent"), (F.col("low") + pos * (F.col("high") - F.col("low")) / bins).alias("value"))
+    hit = whole.withColumn("lim", lim).withColumn("hit", F.least(F.size(F.filter("acc", lambda a: a < F.col("lim"))), F.lit(bins - 1)))
+    at = F.least(F.col("hit") + 1, F.lit(bins - 1))
+    y2 = F.get("acc", F.col("hit"))
+    y1 = y2 - F.get("n", at)
+    alpha = F.when(y1 < y2, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("lim") - y1) / (y2 - y1)))).otherwise(1.0)
+    pos = (1 - alpha) * F.greatest(at - 1, F.lit(0)) + alpha * at
+    return hit.select("percent", (F.col("low") + pos * (F.col("high") - F.col("low")) / bins).alias("value"))
 
 
 def histogram_quality(histo: DataFrame, bins: int, ideal: float) -> DataFrame:

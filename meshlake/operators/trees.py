@@ -6,10 +6,7 @@ aggregate each; levels are staged so that plans don't grow with the depth.
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import numbered, staged
@@ -17,6 +14,11 @@ from .staging import numbered, staged
 PAGE = 64
 
 
+def valid_children(links: DataFrame) -> DataFrame:
+    """Links (node_id, child_id) without those to no child (-1 or null)."""
+    return links.where("child_id is not null and child_id != -1")
+
+
 def tree_issues(tree: DataFrame) -> DataFrame:
     """(code, node_id): several roots, a node with several parents, a parent that is missing."""
     roots = tree.where("parent_id is null").select(F.lit("root").alias("code"), "node_id")
@@ -101,43 +103,49 @@ def dive_statistics(paged: DataFrame) -> DataFrame:
     return pages.agg(F.avg("depth").alias("avg_leaf_depth"), F.avg("pages").alias("avg_pages"), F.count("*").alias("n_leaves"))
 
 
-def local_subtree_pages(tree: DataFrame, root_of: str, priority: str, page: int = PAGE) -> DataFrame:
-    """Pages that keep subtrees together; one group per value of ``root_of``, which should name trees of bounded size.
+def _pushed(key, rank):
+    """A node's place in best-first order, from its parent's: the ranks that are largest of all that follow them on the way down.
 
-    A page starts at the pending node of largest priority and takes nodes below it, largest
-    priority first, until it is full; children that found no room start pages of their own.
-    Greedy, so each tree is one task; breadth-first pages are for trees of any size.
+    Best first, a node comes when the largest rank on its way has come, then when the largest rank
+    after that has, and so on: these ranks, compared in turn, order all nodes.
     """
+    return F.array_append(F.filter(key, lambda r: r > rank), rank)
 
-    def pages(pdf: pd.DataFrame) -> pd.DataFrame:
-        kids: dict[int, list] = {}
-        rank = {}
-        ids = set(pdf["node_id"])
-        starts = []
-        for row in pdf.itertuples(index=False):
-            rank[row.node_id] = (-getattr(row, priority), row.node_id)
-            if pd.isna(row.parent_id) or row.parent_id not in ids:
-                starts.append(row.node_id)
-            else:
-                kids.setdefault(int(row.parent_id), []).append(row.node_id)
-        pending = [(rank[n], n) for n in starts]
-        heapq.heapify(pending)
-        place, number = {}, 0
-        while pending:
-            front, slot = [heapq.heappop(pending)], 0
-            while front and slot < page:
-                _, node = heapq.heappop(front)
-                place[node] = (number, slot)
-                slot += 1
-                for k in kids.get(node, ()):
-                    heapq.heappush(front, (rank[k], k))
-            for item in front:
-                heapq.heappush(pending, item)
-            number += 1
-        out = pdf[["node_id", root_of]].copy()
-        out["page_id"] = [place[n][0] for n in out["node_id"]]
-        out["slot"] = [place[n][1] for n in out["node_id"]]
-        return out
-
-    kind = dict(tree.dtypes)[root_of]
-    return tree.groupBy(root_of).applyInPandas(pages, f"node_id long, {root_of} {kind}, page_id long, slot long")
+
+def local_subtree_pages(tree: DataFrame, root_of: str, priority: str, page: int = PAGE) -> DataFrame:
+    """(node_id, root_of, page_id, slot): pages that keep subtrees together, numbered within each tree ``root_of``.
+
+    A page starts at the pending node of largest priority (of equal ones the smallest id) and takes
+    nodes below it, largest priority first, until it is full; children that found no room start
+    pages of their own. All pages whose start is known grow at once, level by level: a page keeps
+    the ``page`` first of its nodes and of their children, a top-k that is cut before the shuffle.
+    Trees of any size and nodes with any number of children are spread over tasks.
+    """
+    rank = F.struct((-F.col(priority)).cast("double").alias("p"), F.col("node_id").alias("id"))
+    nodes = staged(tree.select("node_id", "parent_id", root_of, rank.alias("rank")), "ranked-nodes")
+    starts = nodes.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti")
+    starts = starts.select(root_of, F.col("node_id").alias("start"), F.array("rank").alias("order"))
+    kids = nodes.select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id"), F.col("rank").alias("child_rank"))
+    first = Window.partitionBy("start").orderBy("key")
+    pages, placed = None, None
+    while True:
+        starts = staged(starts, "page-starts")
+        if not starts.limit(1).count():
+            break
+        pages = starts if pages is None else pages.unionByName(starts)
+        none = F.filter(F.col("order"), lambda r: F.lit(False))
+        own = staged(starts.select("start", F.col("start").alias("node_id"), none.alias("key"), F.lit(True).alias("new")), "page-nodes")
+        while own.where("new").limit(1).count():
+            below = own.where("new").join(kids, "node_id").select("start", F.col("child").alias("node_id"), _pushed(F.col("key"), F.col("child_rank")).alias("key"), F.lit(True).alias("new"))
+            both = own.withColumn("new", F.lit(False)).unionByName(below).withColumn("k", F.row_number().over(first))
+            own = staged(both.where(F.col("k") <= page).drop("k"), "page-nodes")
+        slots = staged(own.select("start", "node_id", (F.row_number().over(first) - 1).cast("long").alias("slot")), "page-slots")
+        placed = slots if placed is None else placed.unionByName(slots)
+        left = slots.join(kids, "node_id").join(slots.select(F.col("node_id").alias("child")), "child", "left_anti")
+        starts = left.join(starts, "start").select(root_of, F.col("child").alias("start"), _pushed(F.col("order"), F.col("child_rank")).alias("order"))
+    if pages is None:
+        return nodes.select("node_id", root_of, F.lit(0).cast("long").alias("page_id"), F.lit(0).cast("long").alias("slot"))
+    in_order = numbered(pages, [root_of, "order"])
+    zero = in_order.groupBy(root_of).agg(F.min("number").alias("zero"))
+    ids = in_order.join(zero, root_of).select(root_of, "start", (F.col("number") - F.col("zero")).alias("page_id"))
+    return placed.join(ids, "start").select("node_id", root_of, "page_id", "slot")

@@ -54,6 +54,103 @@ def archive_index(spark, sf):
     return doc.archive_index(resources, ["path", "page_id"])
 
 
+@query("with " + _RESOURCES + """, i as (select md5(path) as key, coalesce(sum(size) over (order by path, page_id rows between unbounded preceding and 1 preceding), 0)::bigint as start, size from r)
+select row_number() over (order by key, start) - 1 as place, key, start, size from i""")
+def archive_index_by_key(spark, sf):
+    """The index as it is stored: in the order of the keys."""
+    return doc.index_by_key(archive_index(spark, sf))
+
+
+@query("with " + _RESOURCES + """, i as (select md5(path) as key, coalesce(sum(size) over (order by path, page_id rows between unbounded preceding and 1 preceding), 0)::bigint as start, size from r),
+f as (select key, min(start) as start, arg_min(size, start) as size from i group by key), a as (select page_id, case when page_id % 3 = 0 then path || '.gz' else '/' || path end as path from r)
+select page_id, path, start, size from a left join f on f.key = md5(regexp_replace(path, '^/', ''))""")
+def archive_lookup(spark, sf):
+    """Paths with a leading slash are found, and those with another ending are not."""
+    from ..functions import text
+
+    path = text.archive_path(F.col("url"))
+    asked = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.concat(path, F.lit(".gz"))).otherwise(F.concat(F.lit("/"), path)).alias("path"))
+    return doc.archive_lookup(archive_index(spark, sf), asked, "path")
+
+
+# ---------------------------------------------------------------- typed reading
+_TYPED = """t as (select event_id, event_id % 12 as k, '{"a": {"b": ' || case event_id % 12 when 0 then 'null' when 1 then '"x"' when 2 then '[1, 2]' else event_id::varchar end ||
+  '}, "u": ' || case event_id % 6 when 0 then '"Meters"' when 1 then '"foot_us"' when 2 then '"furlong"' when 3 then '7' when 4 then 'null' else '"us-foot"' end ||
+  ', "x": ' || case event_id % 5 when 0 then '"+inf"' when 1 then '"-inf"' when 2 then '"other"' when 3 then '1.5' else '[0]' end ||
+  ', "l": ' || case event_id % 4 when 0 then '[1, 2, 3]' when 1 then '[1, 2]' when 2 then '[]' else '"no"' end ||
+  case when event_id % 7 = 0 then '' else ', "o": ' || case event_id % 7 when 1 then 'true' when 2 then '12' when 3 then '0.5' when 4 then '"s"' when 5 then '[1]' else '{"z": 1}' end end || '}' as whole from events),
+d as (select event_id, k, case when k = 11 then substr(whole, 1, 9) else whole end as text from t)"""
+
+
+def _typed(spark, sf):
+    """Texts that hold every kind of value in each of five fields, right ones and wrong ones."""
+    from ..operators import typed_documents as typed
+
+    e = F.col("event_id")
+    pick = lambda n, *values: F.get(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (e % n).cast("int"))
+    b = F.when(e % 12 == 0, "null").when(e % 12 == 1, '"x"').when(e % 12 == 2, "[1, 2]").otherwise(e.cast("string"))
+    o = F.when(e % 7 == 0, "").otherwise(F.concat(F.lit(', "o": '), pick(7, "", "true", "12", "0.5", '"s"', "[1]", '{"z": 1}')))
+    whole = F.concat(
+        F.lit('{"a": {"b": '), b, F.lit('}, "u": '), pick(6, '"Meters"', '"foot_us"', '"furlong"', "7", "null", '"us-foot"'),
+        F.lit(', "x": '), pick(5, '"+inf"', '"-inf"', '"other"', "1.5", "[0]"), F.lit(', "l": '), pick(4, "[1, 2, 3]", "[1, 2]", "[]", '"no"'), o, F.lit("}"))
+    texts = table(spark, sf, "events").select("event_id", F.when(e % 12 == 11, F.substring(whole, 1, 9)).otherwise(whole).alias("text"))
+    fields = [typed.Field("a.b", "bigint"), typed.Field("u", "enum:height_unit", required=False, default="meter"), typed.Field("x", "number"), typed.Field("l", "array<int>", most=2), typed.Field("o", "dynamic", required=False)]
+    return typed.read_typed(texts, "text", fields)
+
+
+@query("with " + _TYPED + """select event_id, case when k > 2 and k < 11 then event_id end as a_b, case when k < 11 then case event_id % 6 when 0 then 'meter' when 1 then 'us-foot' when 4 then 'meter' when 5 then 'us-foot' end end as u,
+  case when k < 11 then case event_id % 5 when 0 then 'Infinity' when 1 then '-Infinity' when 2 then 'NaN' when 3 then '1.5' end end as x, case when k < 11 and event_id % 4 in (1, 2) then case event_id % 4 when 1 then '1,2' else '' end end as l,
+  case when k < 11 then case event_id % 7 when 1 then 'bool' when 2 then 'int' when 3 then 'double' when 4 then 'string' end end as o_kind, case when k < 11 then case event_id % 7 when 1 then 'true' when 2 then '12' when 3 then '0.5' when 4 then 's' end end as o_value from d""")
+def typed_values(spark, sf):
+    out = _typed(spark, sf)
+    return out.select("event_id", "a_b", "u", F.col("x").cast("string").alias("x"), F.array_join(F.transform("l", lambda v: v.cast("string")), ",").alias("l"), F.col("o.kind").alias("o_kind"), F.col("o.value").alias("o_value"))
+
+
+@query("with " + _TYPED + """, i as (select event_id, case when k = 11 then [{'path': '', 'code': 'malformed'}] else list_filter([
+  case k when 0 then {'path': 'a.b', 'code': 'missing'} when 1 then {'path': 'a.b', 'code': 'not convertible'} when 2 then {'path': 'a.b', 'code': 'not convertible'} end,
+  case event_id % 6 when 2 then {'path': 'u', 'code': 'unknown name'} when 3 then {'path': 'u', 'code': 'not convertible'} end,
+  case event_id % 5 when 4 then {'path': 'x', 'code': 'not convertible'} end,
+  case event_id % 4 when 0 then {'path': 'l', 'code': 'too many values'} when 3 then {'path': 'l', 'code': 'not convertible'} end,
+  case event_id % 7 when 5 then {'path': 'o', 'code': 'unexpected array'} when 6 then {'path': 'o', 'code': 'unexpected object'} end], lambda x: x is not null) end as found from d), r as (select event_id, unnest(found) as x from i)
+select event_id, x.path as path, x.code as code from r""")
+def typed_issues(spark, sf):
+    return _typed(spark, sf).select("event_id", F.explode("issues").alias("i")).select("event_id", "i.path", "i.code")
+
+
+@query("select event_id, case event_id % 4 when 0 then '\"nan\"' when 1 then '\"+inf\"' when 2 then '\"-inf\"' else (event_id % 100 + 0.5)::double::varchar end as written from events")
+def non_finite_numbers(spark, sf):
+    """Numbers as they are written."""
+    from ..operators.typed_documents import number_text
+
+    k = F.col("event_id") % 4
+    x = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf")).otherwise(F.col("event_id") % 100 + 0.5)
+    return table(spark, sf, "events").select("event_id", number_text(x).alias("written"))
+
+
+def _enum_sql() -> str:
+    from ..functions import enums
+
+    rows = [(e, s, c, enums.NAMES[e].index(c)) for e in enums.NAMES for s, c in enums.spellings(e).items()]
+    return "(values " + ", ".join(f"('{e}', '{s}', '{c}', {i})" for e, s, c, i in rows) + ") e(enumeration, spelled, name, number)"
+
+
+@query("select event_id, enumeration, case when event_id % 2 = 0 then name end as name, case when event_id % 2 = 0 then number end as number from (select *, row_number() over (order by enumeration, spelled) - 1 as r from " + _enum_sql() + ") e join (select event_id, event_id % (select count(*) from " + _enum_sql() + ") as r from events) using (r)")
+def enum_names(spark, sf):
+    """Every spelling of every enumeration, and for odd ids the same text with a mark, which is none."""
+    from ..functions import enums
+
+    pairs = sorted((e, s) for e in enums.NAMES for s in enums.spellings(e))
+    at = (F.col("event_id") % len(pairs)).cast("int")
+    given = F.get(F.array(*(F.struct(F.lit(e).alias("e"), F.lit(s).alias("s")) for e, s in pairs)), at)
+    rows = table(spark, sf, "events").select("event_id", given.alias("g"))
+    text = F.when(F.col("event_id") % 2 == 0, F.col("g.s")).otherwise(F.concat("g.s", F.lit("?")))
+    name, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for e in enums.NAMES:
+        name = F.when(F.col("g.e") == e, enums.canonical(text, e)).otherwise(name)
+        number = F.when(F.col("g.e") == e, enums.number_of(text, e)).otherwise(number)
+    return rows.select("event_id", F.col("g.e").alias("enumeration"), name.alias("name"), number.alias("number"))
+
+
 @query("select md5('nodes/' || o_custkey) as key, count(*) as n from orders group by 1 having count(*) > 1")
 def archive_duplicates(spark, sf):
     from ..functions import text

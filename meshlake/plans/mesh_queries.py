@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..operators import hulls, joins, meshes, rasters
 from .inputs import BOXES, PTS, boxes, points, table
 from .registry import query
@@ -74,6 +77,55 @@ def mesh_ingest(spark, sf):
     return out.select("node_id", "vtx", "n_vertices", "ox", "oy", "oz", *(F.col(f"r{c}").cast("double").alias(f"r{c}") for c in "xyz"))
 
 
+@query("with " + VERTICES + """, i as (select node_id, vtx, vtx * 7 % 33 as idx from v) select i.node_id, i.vtx, w.x * 2.5::double as x, w.y * 2.5::double as y, w.z * 2.5::double as z from i join v w on w.node_id = i.node_id and w.vtx = i.idx""")
+def mesh_gathered(spark, sf):
+    """Vertices by an index, some entries of which name none."""
+    v = _vertices(spark, sf)
+    return meshes.gathered(v.select("node_id", "vtx", (F.col("vtx") * 7 % 33).alias("idx")), v.withColumnRenamed("vtx", "idx"), 2.5)
+
+
+@query("with " + VERTICES + " select node_id, vtx, vtx * 7 % 33 as idx from v where vtx * 7 % 33 > 29")
+def mesh_gather_issues(spark, sf):
+    v = _vertices(spark, sf)
+    return meshes.gather_issues(v.select("node_id", "vtx", (F.col("vtx") * 7 % 33).alias("idx")), v.withColumnRenamed("vtx", "idx"))
+
+
+@query("with " + VERTICES + """, o as (select node_id, (min(x) + max(x)) / 2 as ox, (min(y) + max(y)) / 2 as oy, (min(z) + max(z)) / 2 as oz, (max(x) - min(x)) / 2 as ex, (max(y) - min(y)) / 2 as ey, (max(z) - min(z)) / 2 as ez from v group by 1)
+select node_id, event_id as fid, x - ox as rx, y - oy as ry, z - oz as rz, ox, oy, oz, case when ex + ey + ez = 0 then 1.0::double else ex end as ex, case when ex + ey + ez = 0 then 1.0::double else ey end as ey, case when ex + ey + ez = 0 then 1.0::double else ez end as ez from v join o using (node_id)""")
+def point_ingest(spark, sf):
+    out = meshes.ingest_points(_vertices(spark, sf).withColumnRenamed("event_id", "fid"))
+    return out.select("node_id", "fid", *(F.col(f"r{c}").cast("double").alias(f"r{c}") for c in "xyz"), *(f"{k}{c}" for k in "oe" for c in "xyz"))
+
+
+@query("select event_id // 31 as node_id, count(*) as n_vertices from events group by 1 having count(*) % 3 <> 0")
+def mesh_ingest_issues(spark, sf):
+    """Nodes of 31 vertices, which are no triangles."""
+    return meshes.ingest_issues(table(spark, sf, "events").select(F.floor(F.col("event_id") / 31).alias("node_id")))
+
+
+@query("select event_id, (event_id % 100) / 100.0::double * (40000 - 20000) / 65535.0::double + 20000 / 65535.0::double as u from events")
+def mesh_absolute_uv(spark, sf):
+    """Coordinates within a region of an atlas."""
+    u = meshes.without_regions((F.col("event_id") % 100) / F.lit(100.0), F.lit(20000), F.lit(40000))
+    return table(spark, sf, "events").select("event_id", u.alias("u"))
+
+
+@query("with " + _FACES + """, n as (select node_id, abs((b_y - a_y) * (c_z - a_z) - (b_z - a_z) * (c_y - a_y)) + abs((b_z - a_z) * (c_x - a_x) - (b_x - a_x) * (c_z - a_z)) + abs((b_x - a_x) * (c_y - a_y) - (b_y - a_y) * (c_x - a_x)) as size from t)
+select node_id, bool_and(size > 0) and node_id % 5 <> 2 as implicit from n where node_id % 7 <> 0 group by node_id""")
+def mesh_implicit_normals(spark, sf):
+    """Nodes whose stored normals are about their faces', every fifth with one that leans by two degrees; a face without area has none."""
+    v = _vertices(spark, sf).where("not flat")
+    face = F.floor(F.col("vtx") / 3)
+    faces = meshes.face_normals(v)
+    rows = v.withColumn("face", face).join(faces, ["node_id", "face"])
+    n = F.col("normal")
+    # A vector square to the normal, to lean towards.
+    aside = g.let(F.when(F.abs(n["x"]) < 0.9, g.cross(n, g.vec(F.lit(1.0), F.lit(0.0), F.lit(0.0)))).otherwise(g.cross(n, g.vec(F.lit(0.0), F.lit(1.0), F.lit(0.0)))), g.normalised)
+    tilt = F.when((F.col("node_id") % 5 == 2) & (F.col("vtx") == 0), math.tan(math.radians(2))).otherwise(math.tan(math.radians(0.5)))
+    rows = rows.select("node_id", "vtx", "x", "y", "z", g.add(n, g.scaled(aside, tilt)).alias("s"))
+    return meshes.implicit_normals(rows.select("node_id", "vtx", "x", "y", "z", F.col("s.x").alias("nx"), F.col("s.y").alias("ny"), F.col("s.z").alias("nz")))
+
+
 @query("select event_id as id, case when event_id % 11 = 0 then 1.0::double when abs(value * 100) > 16365 then 1.0 else value * 100 end as u, greatest(0.01::double, least(0.99::double, value / 250)) as clamped from events")
 def mesh_uv_sanitize(spark, sf):
     raw = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value") * 100)
@@ -197,6 +249,17 @@ def nearest_cluster(spark, sf):
     return joins.nearest_cluster(items, centres).withColumn("distance", F.round("distance", 6))
 
 
+@query("""with i as (select event_id as id, event_id % 61 as x, event_id * 7 % 53 as y, event_id % 11 as z from events), c as (select s_suppkey as centre, s_suppkey * 17 % 50 as cx, s_suppkey * 13 % 41 as cy, s_suppkey % 9 as cz from supplier),
+d as (select id, centre, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) as distance, row_number() over (partition by id order by (x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz), centre) as k from i, c)
+select id, centre, round(distance, 6) as distance from d where k = 1""")
+def nearest_cluster_by_cells(spark, sf):
+    """More centres than the bound that is given here: they are sought in grid cells."""
+    k, n = F.col("event_id"), F.col("s_suppkey")
+    items = table(spark, sf, "events").select(k.alias("id"), (k % 61).alias("x"), (k * 7 % 53).alias("y"), (k % 11).alias("z"))
+    centres = table(spark, sf, "supplier").select(n.alias("id"), (n * 17 % 50).alias("x"), (n * 13 % 41).alias("y"), (n % 9).alias("z"))
+    return joins.nearest_cluster(items, centres, most=8).withColumn("distance", F.round("distance", 6))
+
+
 # ---------------------------------------------------------------- hulls
 _HULL = """, s as (select a, b, c, sqrt(a * a + b * b + c * c) as l from range(-1, 2) t(a), range(-1, 2) u(b), range(-1, 2) w(c) where a > 0 or (a = 0 and (b > 0 or (b = 0 and c > 0)))),
 dirs as (select cast(row_number() over (order by a, b, c) - 1 as integer) as direction, a / l as dx, b / l as dy, c / l as dz from s)
@@ -220,6 +283,80 @@ def directional_hull_merge(spark, sf):
     return _by_direction(hulls.merge_hulls(parts, ["grp"]))
 
 
+_ROUND = "dirs as (select * from (values " + ", ".join(f"({i}, {d[0]!r}::double, {d[1]!r}::double, {d[2]!r}::double)" for i, d in enumerate(hulls.ROUND_DIRECTIONS)) + ") t(direction, dx, dy, dz))"
+
+
+@query("with " + _XYZ + ", " + _ROUND + " select grp, count(*) as n, direction, round(min(x * dx + y * dy + z * dz), 5) + 0.0 as lo, round(max(x * dx + y * dy + z * dz), 5) + 0.0 as hi from pts, dirs group by grp, direction")
+def directional_hull_round(spark, sf):
+    """The finer set of 16 directions."""
+    return _by_direction(hulls.hull(_xyz(spark, sf), ["grp"], hulls.ROUND_DIRECTIONS))
+
+
+_WIDTHS = "w as (select grp, direction, dx, dy, dz, max(x * dx + y * dy + z * dz) - min(x * dx + y * dy + z * dz) as w from pts, dirs group by grp, direction, dx, dy, dz)"
+_SAME = "abs(dx * {0} + dy * {1} + dz * {2}) > 0.999999"
+_FRAME_AXES = "a as (select * from (values " + ", ".join(f"({f}, {k}, {float(v[0])!r}::double, {float(v[1])!r}::double, {float(v[2])!r}::double)" for f, axes in enumerate(hulls.frames()) for k, v in enumerate(axes)) + ") t(frame, axis, ax, ay, az))"
+
+
+@query("with " + _XYZ + _HULL.split("select grp, count")[0].replace(", s as", ", s as", 1) + ", " + _WIDTHS + ", " + _FRAME_AXES + """, e as (select grp, frame, max(case when axis = 0 then w end) as p, max(case when axis = 1 then w end) as q, max(case when axis = 2 then w end) as r from w join a on """ + _SAME.format("ax", "ay", "az") + """ group by 1, 2),
+f as (select grp, min(p * q + q * r + r * p) as area, sqrt(sum(p * p + q * q + r * r) / 4) as diagonal from e group by 1), m as (select grp, sum(w * w) as mean, max(w) as largest from w group by 1)
+select grp, round(mean, 3) as mean, round(largest, 5) as largest, round(area, 3) as area, round(diagonal, 5) as diagonal from m join f using (grp)""")
+def cluster_distances(spark, sf):
+    """Each group's points are two clusters, of even and of odd ids."""
+    h = hulls.hull(_xyz(spark, sf).withColumn("half", F.col("fid") % 2), ["grp", "half"])
+    a, b = (h.where(f"half = {t}").select("grp", F.col("lo").alias(f"lo{t}"), F.col("hi").alias(f"hi{t}")) for t in (0, 1))
+    both = a.join(b, "grp").select("grp", hulls.common_widths(*(F.col(c) for c in ("lo0", "hi0", "lo1", "hi1"))).alias("w"))
+    out = both.select("grp", hulls.cluster_distances(F.col("w")).alias("d"))
+    return out.select("grp", F.round("d.mean", 3).alias("mean"), F.round("d.largest", 5).alias("largest"), F.round("d.area", 3).alias("area"), F.round("d.diagonal", 5).alias("diagonal"))
+
+
+@query("with " + _XYZ + _HULL.split("select grp, count")[0] + ", w as (select grp, direction, max(x * dx + y * dy + z * dz) - min(x * dx + y * dy + z * dz) as w from pts, dirs group by grp, direction) select grp, direction, round(w, 5) as width from (select *, row_number() over (partition by grp order by round(w, 9) desc, direction) as k from w) where k = 1")
+def widest_direction(spark, sf):
+    h = hulls.hull(_xyz(spark, sf), ["grp"]).select("grp", "lo", "hi", hulls.widest_direction(F.col("lo"), F.col("hi")).alias("direction"))
+    return h.select("grp", "direction", F.round(F.get("hi", F.col("direction")) - F.get("lo", F.col("direction")), 5).alias("width"))
+
+
+def _volume_sql(name: str, points: str, by: str) -> str:
+    """CTEs that end in ``name`` (by, n, frame, centre, extents, axes, radius) of ``points`` (by, x, y, z)."""
+    q = hulls.frame_quats()
+    axes = {f: [tuple(float(x) for x in a) for a in axes] for f, axes in enumerate(hulls.frames())}
+    rows = ", ".join("(" + ", ".join([str(f), *(f"{x!r}::double" for a in axes[f] for x in a), *(f"{x!r}::double" for x in q[f])]) + ")" for f in axes)
+    frame = ", ".join(f"{a}{c}" for a in "uvw" for c in "xyz")
+    ends = ", ".join(f"min({a}x * x + {a}y * y + {a}z * z) as {a}l, max({a}x * x + {a}y * y + {a}z * z) as {a}h" for a in "uvw")
+    centre = ", ".join(f"(ul + uh) / 2 * u{c} + (vl + vh) / 2 * v{c} + (wl + wh) / 2 * w{c} as c{c}" for c in "xyz")
+    return f"""{name}_f as (select * from (values {rows}) t(frame, {frame}, qx, qy, qz, qw)),
+{name}_e as (select {by}, frame, {frame}, qx, qy, qz, qw, count(*) as n, {ends} from {points}, {name}_f group by {by}, frame, {frame}, qx, qy, qz, qw),
+{name}_b as (select *, row_number() over (partition by {by} order by (uh - ul) / 2 * ((vh - vl) / 2) * ((wh - wl) / 2), frame) as k from {name}_e),
+{name}_c as (select {by}, n, frame, {frame}, qx, qy, qz, qw, {centre}, (uh - ul) / 2 as eu, (vh - vl) / 2 as ev, (wh - wl) / 2 as ew from {name}_b where k = 1),
+{name}_r as (select {by}, max(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz))) as radius from {points} join {name}_c using ({by}) group by {by}),
+{name} as (select c.*, radius, eu = 0 and ev = 0 and ew = 0 as point from {name}_c c join {name}_r using ({by}))"""
+
+
+_VOLUME = ", ".join(f"round(c{k}, 5) + 0.0 as c{k}" for k in "xyz") + ", case when point then 1.0 else round(eu, 5) end as ex, case when point then 1.0 else round(ev, 5) end as ey, case when point then 1.0 else round(ew, 5) end as ez, " + ", ".join(f"round(q{k}, 5) as q{k}" for k in "xyzw") + ", case when point then 1.0 else round(radius, 5) end as radius"
+
+
+def _volume_columns(by: str, df):
+    part = lambda c, k: (F.round(F.col(f"box.{c}.{k}"), 5) + 0.0).alias(f"{c[0]}{k}")
+    return df.select(by, "n", *(part("center", k) for k in "xyz"), *(part("extents", k) for k in "xyz"), *(part("quat", k) for k in "xyzw"), F.round("radius", 5).alias("radius"))
+
+
+@query("with " + VERTICES + ", " + _volume_sql("o", "v", "node_id") + f" select node_id, n, {_VOLUME} from o")
+def node_volumes(spark, sf):
+    """Oriented box and sphere of each node; a node of one place has extents of 1."""
+    return _volume_columns("node_id", hulls.node_volumes(_vertices(spark, sf), "node_id"))
+
+
+_CHILD_CORNERS = "k as (select node_id // 4 as parent_id, " + ", ".join(f"c{c} + (i % 2 * 2 - 1) * case when point then 1.0 else eu end * u{c} + (i // 2 % 2 * 2 - 1) * case when point then 1.0 else ev end * v{c} + (i // 4 * 2 - 1) * case when point then 1.0 else ew end * w{c} as {c}" for c in "xyz") + " from o, range(8) t(i))"
+
+
+@query("with " + VERTICES + ", " + _volume_sql("o", "v", "node_id") + ", " + _CHILD_CORNERS + ", s as (select parent_id, count(*) // 8 as children from k group by 1), " + _volume_sql("p", "k", "parent_id") + " select parent_id, children as n, round(radius, 4) as radius, round(eu * ev * ew, 1) as volume from p join s using (parent_id)")
+def parent_volumes(spark, sf):
+    """Four nodes to a parent, whose volumes hold the corners of its children's boxes."""
+    children = hulls.node_volumes(_vertices(spark, sf), "node_id").select(F.floor(F.col("node_id") / 4).alias("parent_id"), "box")
+    out = hulls.parent_volumes(children, "parent_id")
+    e = F.col("box.extents")
+    return out.select("parent_id", "n", F.round("radius", 4).alias("radius"), F.round(e["x"] * e["y"] * e["z"], 1).alias("volume"))
+
+
 @query("with " + _XYZ + """, q as (select grp, x, y, z, sqrt(0.5) * (x + y) as xy, sqrt(0.5) * (y - x) as yx, sqrt(0.5) * (x + z) as xz, sqrt(0.5) * (z - x) as zx, sqrt(0.5) * (y + z) as yz, sqrt(0.5) * (z - y) as zy from pts),
 e as (select grp, count(*) as n, """ + ", ".join(f"max({c}) - min({c}) as {c}" for c in ("x", "y", "z", "xy", "yx", "xz", "zx", "yz", "zy")) + """ from q group by 1)
 select grp, n, round(least(x * y * z, xy * yx * z, xz * y * zx, x * yz * zy), 1) as volume from e""")
@@ -275,3 +412,33 @@ def elevation(spark, sf):
 select level, i, j, case when level > 0 then level - 1 end as p_level, case when level > 0 then i // 2 end as p_i, case when level > 0 then j // 2 end as p_j from n""")
 def raster_quadtree(spark, sf):
     return spark.sql(rasters.quadtree(4)).select("level", "i", "j", "p_level", F.col("p_i").cast("int").alias("p_i"), F.col("p_j").cast("int").alias("p_j"))
+
+
+_BILINEAR = """t as (select (id % 48)::int as x, (id // 48)::int as y from range(48 * 24) r(id)),
+a as (select x, y, greatest(0.0::double, least(63.0::double, (x + 0.5::double) * {sx!r}::double - 0.5::double)) as px, greatest(0.0::double, least(63.0::double, (y + 0.5::double) * {sy!r}::double - 0.5::double)) as py from t),
+f as (select x, y, floor(px)::int as x0, floor(py)::int as y0, px - floor(px) as fx, py - floor(py) as fy from a)""".format(sx=64 / 48, sy=64 / 24)
+
+
+@query("with " + PIXELS + ", " + _BILINEAR + " select f.x, f.y, " + ", ".join(f"cast(floor(p.{c} * ((1 - fx) * (1 - fy)) + q.{c} * (fx * (1 - fy)) + r.{c} * ((1 - fx) * fy) + s.{c} * (fx * fy) + 1e-9::double) as integer) as {c}" for c in "rgb") + """ from f
+  join px p on p.x = x0 and p.y = y0 join px q on q.x = least(x0 + 1, 63) and q.y = y0 join px r on r.x = x0 and r.y = least(y0 + 1, 63) join px s on s.x = least(x0 + 1, 63) and s.y = least(y0 + 1, 63)""")
+def raster_resample(spark, sf):
+    """64 x 64 pixels as 48 x 24."""
+    return rasters.resample_bilinear(_pixels(spark), 64, 64, 48, 24)
+
+
+@query("select unnest(case when (select count(*) from events) // 64 = 64 then [] else ['not square'] end) as code")
+def raster_issues(spark, sf):
+    """Rows of 64 pixels, as many as there are."""
+    k = F.col("event_id")
+    whole = table(spark, sf, "events").select((k % 64).cast("int").alias("x"), F.floor(k / 64).cast("int").alias("y"))
+    return rasters.raster_issues(whole)
+
+
+@query("with " + GRID + """, c as (select a.x as cx, a.y as cy, a.z as z00, b.z as z10, c.z as z11, d.z as z01 from gr a join gr b on b.x = a.x + 1 and b.y = a.y join gr c on c.x = a.x + 1 and c.y = a.y + 1 join gr d on d.x = a.x and d.y = a.y + 1),
+w as (select *, case when cy = 0 then [z00, z10] else [] end as s0, case when cx = 63 then [z10, z11] else [] end as s1, case when cy = 63 then [z11, z01] else [] end as s2, case when cx = 0 then [z01, z00] else [] end as s3 from c),
+k as (select *, list_concat(list_concat(s0, s1), list_concat(s2, s3)) as walls from w)
+select cx, cy, 6 + 3 * len(walls) as n, least(z00, z10, z11, z01, coalesce(list_min(walls) - 5, 1000)) as low, greatest(z00, z10, z11, z01) as high, round(2 * z00 + z10 + 2 * z11 + z01 + """ + " + ".join(f"coalesce(3 * {s}[1] + 3 * {s}[2] - 15, 0)" for s in ("s0", "s1", "s2", "s3")) + """, 6) as total from k""")
+def tile_mesh_cells(spark, sf):
+    """Corners of each cell's triangles and walls: how many, lowest, highest and the sum of heights."""
+    out = rasters.tile_mesh(_grid(spark), 10.0, 5.0)
+    return out.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), F.round(F.sum("z"), 6).alias("total"))

@@ -47,14 +47,13 @@ def utf16_round_trip(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", (F.decode(raw, "UTF-16LE") == F.col("c_name")).alias("ok"), F.octet_length(raw).cast("long").alias("n_utf16"))
 
 
-@query("""select page_id, replace(replace(replace(replace(replace(substr(html, 1, 400), '\\', '\\\\'), '"', '\\"'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as escaped from pages""")
+@query("""select page_id, replace(replace(replace(replace(replace(html, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as escaped from pages""")
 def json_escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.json_escaped(F.substring("html", 1, 400)).alias("escaped"))
+    return table(spark, sf, "pages").select("page_id", text.json_escaped(F.col("html")).alias("escaped"))
 
 
 @query("""select page_id, replace(replace(replace(replace(replace(html, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r') as escaped from pages""")
 def json_escape_whole(spark, sf):
-    """Whole pages; ``json_escape`` has their first 400 characters."""
     return table(spark, sf, "pages").select("page_id", text.json_escaped(F.col("html")).alias("escaped"))
 
 
@@ -69,12 +68,13 @@ def resource_paths(spark, sf):
 
 
 @query("""select fid, case fid % 5 when 0 then 'http://www.opengis.net/def/crs/EPSG/0/4326' when 1 then 'http://www.opengis.net/def/crs/EPSG/0/4490'
-   when 2 then 'http://www.opengis.net/def/crs/EPSG/0/3857' when 3 then 'http://www.opengis.net/def/crs/EPSG/0/102100' else null end as url, fid % 5 in (0, 1) as geographic
+   when 2 then 'http://www.opengis.net/def/crs/EPSG/0/3857' when 3 then case when fid % 2 = 0 then 'http://www.opengis.net/def/crs/EPSG/0/102100' else 'http://www.opengis.net/def/crs/EPSG/0/4490' end else null end as url, fid % 5 in (0, 1) as geographic
    from (select event_id as fid from events)""")
 def spatial_reference_urls(spark, sf):
-    k = F.col("event_id") % 5
-    wkid = F.when(k == 0, 4326).when(k == 1, -1).when(k == 2, 102100).when(k == 3, 102100).otherwise(-1)
-    latest = F.when(k == 1, 4490).when(k == 2, 3857).otherwise(-1)
+    """Where both geographic systems are named, neither holds."""
+    k, odd = F.col("event_id") % 5, F.col("event_id") % 2 == 1
+    wkid = F.when(k == 0, 4326).when(k == 1, -1).when(k == 2, 102100).when(k == 3, F.when(odd, 4326).otherwise(102100)).otherwise(-1)
+    latest = F.when(k == 1, 4490).when(k == 2, 3857).when((k == 3) & odd, 4490).otherwise(-1)
     return table(spark, sf, "events").select(F.col("event_id").alias("fid"), text.epsg_url(wkid, latest).alias("url"), text.is_geographic(wkid, latest).alias("geographic"))
 
 
@@ -138,16 +138,18 @@ def leap_years(spark, sf):
 
 
 # ---------------------------------------------------------------- bits and sizes
-@query("""select p_partkey, p_partkey & (p_partkey - 1) = 0 as is_power, cast(floor(log2(p_partkey)) + 1 as integer) as first_bit, cast(pow(2, ceil(log2(p_partkey))) as bigint) as up,
-  cast(pow(2, floor(log2(p_partkey))) as bigint) as down, list_filter(range(32), lambda b: (p_partkey >> b) & 1 = 1)::integer[] as bits,
-  cast(bit_count(p_partkey & 15) as integer) as below,
-  case when p_partkey - pow(2, ceil(log2(p_partkey)) - 1) < pow(2, ceil(log2(p_partkey))) - p_partkey then cast(pow(2, ceil(log2(p_partkey)) - 1) as bigint) else cast(pow(2, ceil(log2(p_partkey))) as bigint) end as nearest
-  from part where p_partkey > 1""")
+@query("""with p as (select p_partkey as n, log2(greatest(p_partkey, 1)) as l from part)
+select n as p_partkey, n & (n - 1) = 0 as is_power, cast(case when n = 0 then 0 else floor(l) + 1 end as integer) as first_bit, cast(case when n = 0 then 0 else pow(2, ceil(l)) end as bigint) as up,
+  cast(case when n = 0 then 0 else pow(2, floor(l)) end as bigint) as down, list_filter(range(32), lambda b: (n >> b) & 1 = 1)::integer[] as bits,
+  cast(bit_count(n & 15) as integer) as below,
+  case when n < 2 then n when n - pow(2, ceil(l) - 1) < pow(2, ceil(l)) - n then cast(pow(2, ceil(l) - 1) as bigint) else cast(pow(2, ceil(l)) as bigint) end as nearest,
+  cast(coalesce(list_filter(range(32), lambda b: (n >> b) & 1 = 1)[2], -1) as integer) as second_bit from p""")
 def bit_functions(spark, sf):
     n = F.col("p_partkey")
-    return table(spark, sf, "part").where("p_partkey > 1").select(
+    return table(spark, sf, "part").select(
         "p_partkey", bits.is_power_of_two(n).alias("is_power"), bits.first_bit_set(n).alias("first_bit"), bits.round_up_power(n).alias("up"),
-        bits.round_down_power(n).alias("down"), bits.bits_set(n).alias("bits"), bits.bits_below(n, F.lit(4)).alias("below"), bits.nearest_power(n).alias("nearest"))
+        bits.round_down_power(n).alias("down"), bits.bits_set(n).alias("bits"), bits.bits_below(n, F.lit(4)).alias("below"), bits.nearest_power(n).alias("nearest"),
+        bits.nth_bit_set(n, F.lit(2)).alias("second_bit"))
 
 
 @query("""select p_partkey, least(p_partkey, 512) as side, cast(case when p_partkey > 512 then 512 when p_partkey & (p_partkey - 1) = 0 then p_partkey
@@ -170,12 +172,33 @@ def color_ramps(spark, sf):
     return table(spark, sf, "events").select("event_id", colors.lod_color(F.col("event_id"))["r"].alias("lod_red_or_so"), m["r"].alias("grad_r"), m["b"].alias("grad_b"))
 
 
-@query("""select p_partkey, cast(case when p_size % 51 <= 10 then 255 when p_size % 51 >= 40 then 255 else null end as integer) as known_red, p_size % 256 as back from part where p_size % 51 <= 10 or p_size % 51 >= 50""")
+def _spectrum_sql(channel: int) -> str:
+    """The channel between the two stops around ``u``, as the Spark side mixes it."""
+    out = ""
+    for (p1, c1), (p2, c2) in zip(colors.SPECTRUM, colors.SPECTRUM[1:]):
+        t = f"((u - {p1}::double) / {p2 - p1!r}::double)"
+        out += f" when u <= {p2}::double then floor({c1[channel]} * (1 - {t}) + {c2[channel]} * {t})"
+    return f"cast(case{out} end as integer)"
+
+
+@query("with c as (select p_partkey, p_size, (p_size % 51) / 50.0::double as u from part) select p_partkey, " + ", ".join(f"{_spectrum_sql(i)} as {n}" for i, n in enumerate(("red", "green", "blue"))) + ", p_size % 256 as back, cast(floor(p_size * (1 - 0.25::double) + 200 * 0.25::double) as integer) as mixed from c")
 def color_map(spark, sf):
+    """Every colour of the map, a way through floats and back with red and blue exchanged, and the second of five gradient colours."""
     k = F.col("p_size")
     c = colors.colormap((k % 51) / F.lit(50.0))
     back = colors.from_floats(colors.to_floats(colors.swap_red_blue(colors.rgba(k % 256, F.lit(1), F.lit(2)))))["b"]
-    return table(spark, sf, "part").where("p_size % 51 <= 10 or p_size % 51 >= 50").select("p_partkey", c["r"].alias("known_red"), back.alias("back"))
+    mixed = colors.gradient(F.lit(1), 5, colors.rgba(k, F.lit(0), F.lit(0)), colors.rgba(F.lit(200), F.lit(0), F.lit(0)))["r"]
+    parts = table(spark, sf, "part").select("p_partkey", c.alias("c"), back.alias("back"), mixed.alias("mixed"))
+    return parts.select("p_partkey", F.col("c.r").alias("red"), F.col("c.g").alias("green"), F.col("c.b").alias("blue"), "back", "mixed")
+
+
+@query("select p_partkey, p_size % 256 as r, p_size * 3 % 256 as g, p_size * 7 % 256 as b, 255 as a, true as same from part")
+def alpha_channel(spark, sf):
+    """Alpha added to bytes of three channels and taken off again."""
+    k = F.col("p_size")
+    rgb = F.struct((k % 256).alias("r"), (k * 3 % 256).alias("g"), (k * 7 % 256).alias("b"))
+    parts = table(spark, sf, "part").select("p_partkey", rgb.alias("rgb"), colors.with_alpha(rgb, F.lit(255)).alias("c"))
+    return parts.select("p_partkey", "c.r", "c.g", "c.b", "c.a", (colors.without_alpha(F.col("c")) == F.col("rgb")).alias("same"))
 
 
 # ---------------------------------------------------------------- vectors and quaternions
@@ -203,9 +226,25 @@ def segment_distance(spark, sf):
 def matrix_ops(spark, sf):
     v = F.col("value")
     m = F.array(v, F.lit(0.0), F.lit(0.0), F.lit(3.0), v + 1, F.lit(0.0), F.lit(5.0), F.lit(7.0), F.lit(2.0))
-    i = g.mat_inverse(m)
-    one = g.mat_product(m, i)
-    return table(spark, sf, "events").select("event_id", _r(g.mat_det(m), 4).alias("det"), _r(one[4], 6).alias("unit"), _r(F.abs(one[1]), 6).alias("off"), _r(i[0]).alias("inv0"))
+    rows = table(spark, sf, "events").select("event_id", m.alias("m"))
+    rows = rows.select("event_id", "m", g.mat_inverse(F.col("m")).alias("i"))
+    rows = rows.select("event_id", "m", "i", g.mat_product(F.col("m"), F.col("i")).alias("one"))
+    one, i = F.col("one"), F.col("i")
+    return rows.select("event_id", _r(g.mat_det(F.col("m")), 4).alias("det"), _r(one[4], 6).alias("unit"), _r(F.abs(one[1]), 6).alias("off"), _r(i[0]).alias("inv0"))
+
+
+@query("""with e as (select event_id, value as v, (event_id % 7)::double as x, (event_id % 11)::double as y, (event_id % 13)::double as z from events)
+select event_id, round(v * x, 6) + 0.0 as x, round(3 * x + (v + 1) * y, 6) + 0.0 as y, round(5 * x + 7 * y + 2 * z, 6) + 0.0 as z, round(v * x + 3 * y + 5 * z, 6) + 0.0 as tx, round((v + 1) * y + 7 * z, 6) + 0.0 as ty, round(2 * z, 6) + 0.0 as tz,
+  round(v * v, 4) as p0, round(3 * v + (v + 1) * 3, 4) as p3, round((v + 1) * (v + 1), 4) as p4, round(5 * v + 21 + 10, 4) as p6, round(7 * (v + 1) + 14, 4) as p7 from e""")
+def matrix_apply(spark, sf):
+    """A matrix and its transpose on a point, and the matrix' square."""
+    v, k = F.col("value"), F.col("event_id")
+    m = F.array(v, F.lit(0.0), F.lit(0.0), F.lit(3.0), v + 1, F.lit(0.0), F.lit(5.0), F.lit(7.0), F.lit(2.0))
+    p = g.vec(*((k % n).cast("double") for n in (7, 11, 13)))
+    rows = table(spark, sf, "events").select("event_id", m.alias("m"), p.alias("p"))
+    a, t = g.mat_apply(F.col("m"), F.col("p")), g.mat_apply(g.mat_transpose(F.col("m")), F.col("p"))
+    rows = rows.select("event_id", a.alias("a"), t.alias("t"), g.mat_product(F.col("m"), F.col("m")).alias("s"))
+    return rows.select("event_id", *(_r(F.col(f"a.{c}")).alias(c) for c in "xyz"), *(_r(F.col(f"t.{c}")).alias(f"t{c}") for c in "xyz"), *(_r(F.col("s")[i], 4).alias(f"p{i}") for i in (0, 3, 4, 6, 7)))
 
 
 _TURN = "radians(fid % 360)"
@@ -218,10 +257,11 @@ def quat_rotate(spark, sf):
     up = g.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))
     q = g.axis_angle(up, F.radians(F.col("fid") % 360))
     p = g.vec(F.col("lon"), F.col("lat"), F.col("h"))
-    r = g.rotate(p, q)
-    again = g.rotate(r, g.conjugate(q))
-    w = F.abs(g.matrix_quat(g.quat_matrix(q))["w"])
-    return points(spark, sf).select("fid", _r(r["x"]).alias("x"), _r(r["y"]).alias("y"), _r(r["z"]).alias("z"), (g.distance_max(again, p) < 1e-9).alias("back"), _r(w).alias("w"))
+    rows = points(spark, sf).select("fid", p.alias("p"), q.alias("q"))
+    p, q, r = F.col("p"), F.col("q"), F.col("r")
+    rows = rows.select("fid", "p", "q", g.rotate(p, q).alias("r"))
+    rows = rows.select("fid", "p", "r", g.rotate(r, g.conjugate(q)).alias("again"), g.matrix_quat(g.quat_matrix(q)).alias("m"))
+    return rows.select("fid", *(_r(r[c]).alias(c) for c in "xyz"), (g.distance_max(F.col("again"), p) < 1e-9).alias("back"), _r(F.abs(F.col("m.w"))).alias("w"))
 
 
 @query("with " + PTS + """select fid, round(cos(radians(fid % 90)), 6) + 0.0 as w from pts""")
@@ -244,17 +284,17 @@ def ecef(spark, sf):
     return points(spark, sf).select("fid", *(_r(p[c], 3).alias(c) for c in "xyz"))
 
 
-@query("with " + PTS + "select fid, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat, round(h, 3) as h from pts where abs(lat) < 89")
+@query("with " + PTS + "select fid, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat, round(h, 3) as h from pts")
 def geodetic_roundtrip(spark, sf):
     back = g.ecef_to_geodetic(g.geodetic_to_ecef(F.col("lon"), F.col("lat"), F.col("h")))
-    return points(spark, sf).where("abs(lat) < 89").select("fid", _r(back["x"], 7).alias("lon"), _r(back["y"], 7).alias("lat"), _r(back["z"], 3).alias("h"))
+    return points(spark, sf).select("fid", back.alias("b")).select("fid", _r(F.col("b.x"), 7).alias("lon"), _r(F.col("b.y"), 7).alias("lat"), _r(F.col("b.z"), 3).alias("h"))
 
 
-@query("with " + PTS + "select fid, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat, round(h, 3) as h, round(sin(radians(lat)) * (6378137.0 + h), 3) + 0.0 as z from pts where abs(lat) < 89")
+@query("with " + PTS + "select fid, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat, round(h, 3) as h, round(sin(radians(lat)) * (6378137.0 + h), 3) + 0.0 as z from pts")
 def spherical_roundtrip(spark, sf):
     c = g.spherical_to_cartesian(F.col("lon"), F.col("lat"), F.col("h"))
     back = g.cartesian_to_spherical(c)
-    return points(spark, sf).where("abs(lat) < 89").select("fid", _r(back["x"], 7).alias("lon"), _r(back["y"], 7).alias("lat"), _r(back["z"], 3).alias("h"), _r(c["z"], 3).alias("z"))
+    return points(spark, sf).select("fid", _r(back["x"], 7).alias("lon"), _r(back["y"], 7).alias("lat"), _r(back["z"], 3).alias("h"), _r(c["z"], 3).alias("z"))
 
 
 @query("with " + PTS + """select fid, round(-sin(radians(lon)) * 100 + cos(radians(lon)) * 50, 6) + 0.0 as e,
@@ -265,19 +305,26 @@ def enu(spark, sf):
     return points(spark, sf).select("fid", *(_r(v[a]).alias(b) for a, b in zip("xyz", "enu")))
 
 
-@query("with " + PTS + """select fid, round(lon + 1000 / (6378137.0::double * pi() / 180 * cos(radians(lat))), 8) + 0.0 as lon, round(lat + h / (6378137.0::double * pi() / 180), 8) + 0.0 as lat from pts where abs(lat) < 80""")
+@query("with " + PTS + """select fid, case when cos(radians(lat)) > 1e-9 then round(lon + 1000 / (6378137.0::double * pi() / 180 * cos(radians(lat))), 8) + 0.0 end as lon, round(lat + h / (6378137.0::double * pi() / 180), 8) + 0.0 as lat from pts""")
 def metres_to_degrees(spark, sf):
     p = g.metres_to_degrees(F.lit(1000.0), F.col("h"), F.col("lon"), F.col("lat"))
-    return points(spark, sf).where("abs(lat) < 80").select("fid", _r(p["lon"], 8).alias("lon"), _r(p["lat"], 8).alias("lat"))
+    return points(spark, sf).select("fid", _r(p["lon"], 8).alias("lon"), _r(p["lat"], 8).alias("lat"))
+
+
+def _ecef_sql(lon: str, lat: str) -> list[str]:
+    n = f"(6378137.0::double / sqrt(1 - 0.0818191908426215::double * 0.0818191908426215::double * sin(radians({lat})) * sin(radians({lat}))))"
+    return [f"({n} * cos(radians({lat})) * cos(radians({lon})))", f"({n} * cos(radians({lat})) * sin(radians({lon})))", f"({n} * (1 - 0.0818191908426215::double * 0.0818191908426215::double) * sin(radians({lat})))"]
 
 
-@query("with " + PTS + "select grp, true as x_ok, true as y_ok from pts group by grp")
+def _step_sql(lon: str, lat: str) -> str:
+    return "round(sqrt(" + " + ".join(f"pow({a} - {b}, 2)" for a, b in zip(_ecef_sql(lon, lat), _ecef_sql("lon", "lat"))) + ") / 0.001::double) + 0.0"
+
+
+@query("with " + PTS + f"select fid, {_step_sql('lon + 0.001::double', 'lat')} as x, {_step_sql('lon', 'lat + 0.001::double')} as y from pts")
 def degree_scale(spark, sf):
-    """A degree is about 111 km in latitude, and that times the cosine of it in longitude."""
+    """Whole metres of a degree along each axis, at every place up to the poles."""
     s = g.degree_scale(F.col("lon"), F.col("lat"))
-    y = s["y"].between(110_400, 111_800)
-    x = F.abs(s["x"] - 111_320 * F.cos(F.radians("lat"))) < 450
-    return points(spark, sf).where("abs(lat) < 88").groupBy("grp").agg(F.bool_and(x).alias("x_ok"), F.bool_and(y).alias("y_ok"))
+    return points(spark, sf).select("fid", s.alias("s")).select("fid", _r(F.col("s.x"), 0).alias("x"), _r(F.col("s.y"), 0).alias("y"))
 
 
 # ---------------------------------------------------------------- longitude ranges and boxes
@@ -329,13 +376,13 @@ def box_corners(spark, sf):
     return boxes(spark, sf).select("id", F.posexplode(g.box_corners(_box_struct())).alias("i", "c")).select("id", "i", "c.x", "c.y", "c.z")
 
 
-def _obbs(spark, sf):
+def _obbs(spark, sf, *more):
     """An oriented box about each point, turned about z by its id in degrees."""
     up = g.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))
     o = F.struct(
         g.vec(F.col("lon"), F.col("lat"), F.lit(0.0)).alias("center"), g.vec(F.lit(20.0), F.lit(10.0), F.col("h")).alias("extents"),
         g.axis_angle(up, F.radians(F.col("fid") % 360)).alias("quat"))
-    return points(spark, sf).select("fid", o.alias("o"))
+    return points(spark, sf).select("fid", o.alias("o"), *more)
 
 
 _OBB = ", o as (select fid, lon, lat, h, radians(fid % 360) as a from pts), l as (select *, -lon * cos(a) - lat * sin(a) as px, lon * sin(a) - lat * cos(a) as py from o)"
@@ -357,12 +404,42 @@ def obb_to_aabb(spark, sf):
 @query("with " + PTS + "select grp, count(*) as n, true as inside, true as reaches from pts group by grp")
 def obb_corner_invariants(spark, sf):
     """Corners lie in the axis-aligned box and at the radius from the centre."""
-    o, c = F.col("o"), F.col("c")
-    b, pad = g.obb_to_box(o), 1e-9
-    rows = points(spark, sf).select("fid", "grp").join(_obbs(spark, sf), "fid").select("grp", "o", "fid", F.explode(g.obb_corners(o)).alias("c"))
-    inside = (c["x"] >= b["left"] - pad) & (c["x"] <= b["right"] + pad) & (c["y"] >= b["bottom"] - pad) & (c["y"] <= b["top"] + pad)
-    away = F.abs(g.length(g.sub(c, o["center"])) - g.obb_radius(o)) < 1e-6
-    return rows.groupBy("grp").agg(F.countDistinct("fid").alias("n"), F.bool_and(inside).alias("inside"), F.bool_and(away).alias("reaches"))
+    pad = 1e-9
+    rows = _obbs(spark, sf, "grp").select("grp", "o", g.obb_to_box(F.col("o")).alias("b"), g.obb_corners(F.col("o")).alias("corners"), g.obb_radius(F.col("o")).alias("radius"))
+    b, o = F.col("b"), F.col("o")
+    inside = F.forall("corners", lambda c: (c["x"] >= b["left"] - pad) & (c["x"] <= b["right"] + pad) & (c["y"] >= b["bottom"] - pad) & (c["y"] <= b["top"] + pad))
+    away = F.forall("corners", lambda c: F.abs(g.length(g.sub(c, o["center"])) - F.col("radius")) < 1e-6)
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.bool_and(inside).alias("inside"), F.bool_and(away).alias("reaches"))
+
+
+@query("with " + PTS + _OBB + """select fid, i, round(lon + sx * 20 * cos(a) - sy * 10 * sin(a), 6) + 0.0 as x, round(lat + sx * 20 * sin(a) + sy * 10 * cos(a), 6) + 0.0 as y, round(sz * h, 6) + 0.0 as z
+  from l, (select i::integer as i, i % 2 * 2 - 1 as sx, i // 2 % 2 * 2 - 1 as sy, i // 4 * 2 - 1 as sz from range(8) t(i))""")
+def obb_corners(spark, sf):
+    rows = _obbs(spark, sf).select("fid", F.posexplode(g.obb_corners(F.col("o"))).alias("i", "c"))
+    return rows.select("fid", "i", *(_r(F.col(f"c.{k}")).alias(k) for k in "xyz"))
+
+
+def _box_columns(o):
+    """Centre and extents of an oriented box, and its x axis, which tells the orientation but for the sign of the quaternion."""
+    axis = g.obb_axes(F.col(o))[0]
+    return [*(_r(F.col(f"{o}.center.{k}"), 5).alias(f"c{k}") for k in "xyz"), *(_r(F.col(f"{o}.extents.{k}"), 5).alias(f"e{k}") for k in "xyz"), _r(axis["x"], 5).alias("ax"), _r(axis["y"], 5).alias("ay")]
+
+
+@query("with " + PTS + _OBB + """select fid, round(lon, 5) + 0.0 as cx, round(lat, 5) + 0.0 as cy, 0.0::double as cz, 20.0::double as ex, 10.0::double as ey, round(h, 5) as ez, round(cos(a), 5) + 0.0 as ax, round(sin(a), 5) + 0.0 as ay from l""")
+def obb_of_corners(spark, sf):
+    """Eight corners give their box again."""
+    rows = _obbs(spark, sf).select("fid", g.obb_corners(F.col("o")).alias("corners"))
+    return rows.select("fid", g.obb_of_corners(F.col("corners")).alias("o")).select("fid", *_box_columns("o"))
+
+
+@query("with " + PTS + _OBB + """, m as (select fid, a, h, -- the far corner is moved out by 5 along the box's own x axis
+  lon * cos(a) + lat * sin(a) as u, lat * cos(a) - lon * sin(a) as v from l)
+select fid, round((u + 2.5) * cos(a) - v * sin(a), 5) + 0.0 as cx, round((u + 2.5) * sin(a) + v * cos(a), 5) + 0.0 as cy, 0.0::double as cz, 22.5::double as ex, 10.0::double as ey, round(h, 5) as ez, round(cos(a), 5) + 0.0 as ax, round(sin(a), 5) + 0.0 as ay from m""")
+def obb_of_points(spark, sf):
+    """The box of points in a given orientation: corners of a box and one point outside of it."""
+    rows = _obbs(spark, sf).select("fid", "o", g.obb_corners(F.col("o")).alias("corners"))
+    out = g.add(F.col("o.center"), g.scaled(g.obb_axes(F.col("o"))[0], 25.0))
+    return rows.select("fid", g.obb_of_points(F.concat("corners", F.array(out)), F.col("o.quat")).alias("o")).select("fid", *_box_columns("o"))
 
 
 @query("with " + PTS + _OBB + """select fid, abs(px) + abs(1 * cos(a)) + abs(1 * sin(a)) <= 20 and abs(py) + abs(1 * sin(a)) + abs(1 * cos(a)) <= 10 and h >= 1 as contains from l""")
@@ -377,3 +454,57 @@ def obb_intersects(spark, sf):
     """Upright boxes separate on the four axes of the plane alone; the general test must agree."""
     other = F.struct(g.vec(*(F.lit(0.0),) * 3).alias("center"), g.vec(*(F.lit(15.0),) * 3).alias("extents"), g.quat(*(F.lit(0.0),) * 3, F.lit(1.0)).alias("quat"))
     return _obbs(spark, sf).select("fid", g.obb_intersects(F.col("o"), other).alias("meets"))
+
+
+_CORNERS = """c as (select fid, big, i, x + (i % 2 * 2 - 1) * e as x, y + (i // 2 % 2 * 2 - 1) * e as y, z + (i // 4 * 2 - 1) * e as z
+  from (select fid, x, y, z, fid % 10 = 0 as big, case when fid % 10 = 0 then 7000000.0::double else 1000.0::double end as e from x) b, range(8) t(i)),
+d as (select *, sqrt(x * x + y * y) as r, atan2(z * 6378137.0::double, sqrt(x * x + y * y) * 6356752.314245::double) as theta from c),
+f as (select *, atan2(z + (6378137.0::double * 6378137.0::double - 6356752.314245::double * 6356752.314245::double) / (6356752.314245::double * 6356752.314245::double) * 6356752.314245::double * pow(sin(theta), 3), r - 0.0818191908426215::double * 0.0818191908426215::double * 6378137.0::double * pow(cos(theta), 3)) as phi from d),
+k as (select *, 6378137.0::double / sqrt(1 - 0.0818191908426215::double * 0.0818191908426215::double * sin(phi) * sin(phi)) as n from f),
+p as (select fid, big, degrees(atan2(y, x)) as lon, degrees(phi) as lat, case when cos(phi) > 0.5 then r / cos(phi) - n else z / sin(phi) - n * (1 - 0.0818191908426215::double * 0.0818191908426215::double) end as h from k)"""
+
+
+@query("with " + PTS + ", " + _ECEF + ", " + _CORNERS + """ select fid, case when big then -180.0::double else round(min(lon), 5) + 0.0 end as "left", case when big then 180.0::double else round(max(lon), 5) + 0.0 end as "right",
+  case when big then -90.0::double else round(min(lat), 5) + 0.0 end as bottom, case when big then 90.0::double else round(max(lat), 5) + 0.0 end as top, case when big then 0.0::double else round(min(h), 2) + 0.0 end as front, round(max(h), 2) + 0.0 as back from p group by fid, big""")
+def obb_full_extent(spark, sf):
+    """Boxes of a kilometre on the globe, and every tenth so large that it holds the earth's centre."""
+    e = F.when(F.col("fid") % 10 == 0, 7_000_000.0).otherwise(1000.0)
+    o = F.struct(g.geodetic_to_ecef(F.col("lon"), F.col("lat"), F.col("h")).alias("center"), g.vec(e, e, e).alias("extents"), g.quat(*(F.lit(0.0),) * 3, F.lit(1.0)).alias("quat"))
+    out = points(spark, sf).select("fid", o.alias("o")).select("fid", g.full_extent(F.col("o")).alias("b"))
+    return out.select("fid", *(_r(F.col(f"b.{k}"), 2 if k in ("front", "back") else 5).alias(k) for k in ("left", "right", "bottom", "top", "front", "back")))
+
+
+# ---------------------------------------------------------------- values of any type
+@query("""select event_id, ((event_id & 255) << 24) | ((event_id >> 8 & 255) << 16) | ((event_id >> 16 & 255) << 8) | (event_id >> 24 & 255) as swapped, event_id as back from events""")
+def endian_reverse(spark, sf):
+    """Four bytes in the other order, and again."""
+    rows = table(spark, sf, "events").select("event_id", bits.bytes_reversed(F.col("event_id"), 4).alias("swapped"))
+    return rows.select("event_id", "swapped", bits.bytes_reversed(F.col("swapped"), 4).alias("back"))
+
+
+@query("""select event_id, case event_id % 5 when 0 then 1.0::double when 1 then event_id when 2 then 2.5 when 3 then 0.0 else 0.0 end as number,
+  case event_id % 5 when 0 then 'true' when 1 then event_id::varchar when 2 then '2.5' when 3 then 'text' else '<Null>' end as shown from events""")
+def variant_values(spark, sf):
+    """Truth values, integers, fractions, texts and nothing, each as a number and as a text."""
+    k = F.col("event_id") % 5
+    raw = F.when(k == 0, "true").when(k == 1, F.col("event_id").cast("string")).when(k == 2, "2.5").when(k == 3, '"text"').otherwise("null")
+    rows = table(spark, sf, "events").select("event_id", F.parse_json(raw).alias("v"))
+    return rows.select("event_id", text.variant_number(F.col("v")).alias("number"), text.variant_text(F.col("v")).alias("shown"))
+
+
+@query("select event_id, case when event_id % 4 = 0 then null else event_id * 1000 end as given, event_id % 4 = 0 as is_now from events")
+def layer_timestamps(spark, sf):
+    """A layer's time in milliseconds; where none is set it is the time of the run."""
+    ts = dates.layer_timestamp(F.when(F.col("event_id") % 4 != 0, F.col("event_id") * 1000))
+    now = F.abs(ts - F.unix_millis(F.current_timestamp())) < 86_400_000
+    return table(spark, sf, "events").select("event_id", F.when(~now, ts).alias("given"), now.alias("is_now"))
+
+
+@query("""select page_id, true as same, page_id % 3 = 0 as other, case page_id % 3 when 0 then 'jpeg' when 1 then 'ktx' end as mime from pages""")
+def resource_names(spark, sf):
+    """Paths that differ by slashes and case are one resource; an ending names its kind."""
+    url, k = F.col("url"), F.col("page_id") % 3
+    return table(spark, sf, "pages").select(
+        "page_id", text.same_resource(url, F.concat(F.lit("\\"), F.upper(F.replace(url, F.lit("/"), F.lit("\\"))))).alias("same"),
+        text.same_resource(url, F.when(k == 0, url).otherwise(F.concat(url, F.lit("x")))).alias("other"),
+        text.mime_of_extension(F.when(k == 0, "jpg").when(k == 1, "bin.ktx").otherwise("none")).alias("mime"))

@@ -142,3 +142,20 @@ def tree_local_pages(spark, sf):
     n_nations = nations.groupBy("region").agg(F.count("*").alias("nations"))
     out = per.groupBy("region").agg(F.sum("k").alias("k"), F.bool_and(F.col("k") <= 64).alias("pages_fit"), F.bool_and((F.col("s") == F.col("k")) & (F.col("m") == F.col("k") - 1)).alias("whole"))
     return out.join(n_nations, "region").select("region", (F.col("k") - F.col("nations")).alias("n"), "pages_fit", "whole")
+
+
+@query("with " + TREE + """, c as (select node_id, parent_id, row_number() over (partition by parent_id order by node_id * 7919 % 1009 desc, node_id) as k from tree where depth = 3),
+p as (select node_id, case when k <= 63 then parent_id else node_id end as start, case when k <= 63 then k else 0 end as slot from c union all select node_id, node_id, 0 from tree where depth = 2)
+select node_id, start, slot::bigint as slot from p""")
+def tree_local_page_slots(spark, sf):
+    """Every node's page, named by the node that starts it, and its slot: a nation's page has its 63 foremost customers, the others stand alone."""
+    t = tree(spark, sf).where("depth >= 2").select("node_id", "parent_id", F.lit(0).alias("tree"), (F.col("node_id") * 7919 % 1009).cast("double").alias("priority"))
+    paged = trees.local_subtree_pages(t, "tree", "priority", 64)
+    starts = paged.where("slot = 0").select("page_id", F.col("node_id").alias("start"))
+    return paged.join(starts, "page_id").select("node_id", "start", "slot")
+
+
+@query("with " + TREE + ", l as (select parent_id as node_id, case when node_id % 3 = 0 then -1 else node_id end as child_id from tree where parent_id is not null) select node_id, child_id from l where child_id <> -1")
+def tree_valid_children(spark, sf):
+    child = F.when(F.col("node_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("node_id"))
+    return trees.valid_children(tree(spark, sf).where("parent_id is not null").select(F.col("parent_id").alias("node_id"), child.alias("child_id")))

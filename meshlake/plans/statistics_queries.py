@@ -84,8 +84,7 @@ z as (select percent, pos, case when y1 < y2 then greatest(0.0, least(1.0, (lim
 select percent, round(low + ((1 - alpha) * greatest(pos - 1, 0) + alpha * pos) * (high - low) / 64, 4) as value from z, b""")
 def histo_percentile(spark, sf):
     histo = st.quantized_histogram(table(spark, sf, "lineitem"), "l_extendedprice", 64)
-    out = [st.bin_percentile(histo, 64, p) for p in (10.0, 50.0, 90.0)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("percent", _R("value", 4))
+    return st.bin_percentiles(histo, 64, [10.0, 50.0, 90.0]).select("percent", _R("value", 4))
 
 
 @query("with " + _QUANT + " select round(sum(n) / (sum(abs((bin + 0.5) * (high - low) / 64 + low - 30000.0) * n) + 1.0), 9) as quality from h")
