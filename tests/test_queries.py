@@ -35,6 +35,14 @@ def test_json_escape_takes_whole_pages(spark):
     assert {k: json.loads(f'"{v}"', strict=False) for k, v in got.items()} == pages
 
 
+def test_path_crc(spark):
+    import zlib
+
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.crc for r in catalogue.QUERIES["path_crc"](spark, SF).collect()}
+    assert got == {k: zlib.crc32(v.encode()) for k, v in urls.items()}
+
+
 def test_every_sql_has_its_query():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
 
