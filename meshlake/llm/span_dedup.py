@@ -23,11 +23,10 @@ Defined cases
 from __future__ import annotations
 
 import re
-import zlib
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,75 +47,128 @@ RUNS = "hash long, doc_id long, text_hash long, at int, n int"
 EDGES = "doc_id long, text_hash long, own int, side int, first_doc long, first_text long, place int"
 FLANKS = "first_doc long, first_text long, place int, side int, words string"
 CUTS = "doc_id long, n_sentences long, n_removed long, removed string, text string"
-#: One character that ends a sentence: nothing is ever scanned twice, however long a run of marks is.
-_END = re.compile(r"[.!?\n](?:(?<=\n)|(?=\s))")
-_WORD = re.compile(r"\S+")
-
-
-def _pieces(words: list[bytes]) -> list[tuple[int, int]]:
-    """Where a long sentence is cut: (first word, end) of each piece; ``words`` are lower-cased."""
-    n = len(words)
-    h = [*[-1] * NEAR, *map(zlib.crc32, words), *[-1] * NEAR]
-    out, start = [], 0
-    for i in range(1, n):
-        x = h[i + NEAR]
-        if x < h[i + NEAR - 1] and x <= h[i + NEAR + 1] and x < min(h[i : i + NEAR]) and x <= min(h[i + NEAR + 1 : i + 2 * NEAR + 1]):
-            out += [(j, min(j + LONGEST, i)) for j in range(start, i, LONGEST)]
-            start = i
-    return [*out, *((j, min(j + LONGEST, n)) for j in range(start, n, LONGEST))]
-
-
-def _add(out: list, text: str, start: int, end: int) -> None:
-    part = text[start:end]
-    words = part.split()
-    n = len(words)
-    if n <= LONGEST:
-        if n:
-            out.append((start, end, " ".join(words).lower(), n))
-        return
-    joined = " ".join(words)
-    lower = joined.lower()
-    low = lower.split(" ")
-    cuts = _pieces(lower.encode("utf-8", "surrogatepass").split(b" "))
-    # Between single blanks the words' places follow from their lengths.
-    at = part.find(words[0])
-    if part.startswith(joined, at):
-        places = [x + k for k, x in enumerate(accumulate(map(len, words), initial=start + at))]
-        spans = [(places[i], places[j] - 1) for i, j in cuts]
-    else:
-        found = [m.span() for m in _WORD.finditer(text, start, end)]
-        spans = [(found[i][0], found[j - 1][1]) for i, j in cuts]
-    for (a, b), (i, j) in zip(spans, cuts, strict=True):
-        out.append((a, b, " ".join(low[i:j]), j - i))
+#: Words are runs without ASCII white space.
+_WORD = re.compile(r"[^\x09-\x0d\x1c-\x20]+")
+_WHITE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_MARK[[ord(c) for c in ".!?"]] = True
+#: Bytes of texts that are cut at a time; one longer text is a block of its own.
+_BLOCK = 2 << 20
+#: Base of the polynomials over a word's bytes and over a run's words, modulo 2**64, and its inverse, which takes a part out of a running sum.
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    global _powers
+    if len(_powers[0]) < n:
+        _powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, x, np.uint64)], dtype=np.uint64) for x in (_BASE, _UNBASE))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _polynomials(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each slice [first, end) of ``x``, whatever its place, from one running sum."""
+    up, down = _powers_to(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up[:-1], out=total[1:])
+    h = (total[end] - total[first]) * down[first]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASE) + (end - first).astype(np.uint64)
+    return h ^ (h >> np.uint64(29))
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """First and last byte of each word, its text's number, and whether a line ends before it."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    white = _WHITE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    begins, ends = ~white, ~white
+    begins[1:] &= white[:-1] | edge[1:-1]
+    ends[:-1] &= white[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    text = np.searchsorted(offsets, first, "right") - 1
+    lines = np.cumsum(raw == 10)
+    fresh = np.ones(len(first), bool)
+    if len(first):
+        fresh[1:] = lines[first[1:]] > lines[last[:-1]]
+    return raw, first, last, text, fresh
+
+
+def _cut_texts(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of lower-cased texts: the words' hashes, the first word of each sentence with the number of words behind, and the sentences' texts."""
+    raw, first, last, text, fresh = _words_of(texts)
+    n = len(first)
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64)
+    h = _polynomials(raw.astype(np.uint64) + np.uint64(1), first, last + 1)
+    starts = np.ones(n + 1, bool)
+    starts[1:n] = fresh[1:] | _MARK[raw[last[:-1]]] | (text[1:] != text[:-1])
+    at = np.flatnonzero(starts)
+    size = np.diff(at)
+    if (size > LONGEST).any():
+        # Words whose hash is the least of NEAR to both sides, away from the ends of a long sentence.
+        place, size = np.arange(n) - np.repeat(at[:-1], size), np.repeat(size, size)
+        least = (place >= NEAR) & (size - place > NEAR) & (size > LONGEST)
+        some = np.flatnonzero(least)
+        for k in range(1, NEAR + 1):
+            some = some[(h[some] < h[some - k]) & (h[some] <= h[some + k])]
+        starts[some] = True
+        at = np.flatnonzero(starts)
+        size = np.diff(at)
+        starts[:n] |= (np.arange(n) - np.repeat(at[:-1], size)) % LONGEST == 0
+        at = np.flatnonzero(starts)
+    return h, at, text[at[:-1]]
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, words in normal form, number of words) of each sentence."""
-    out: list[tuple[int, int, str, int]] = []
-    start = 0
-    for m in _END.finditer(text):
-        at, end = m.span()
-        _add(out, text, start, at if text[at] == "\n" else end)
-        start = end
-    _add(out, text, start, len(text))
+    out = []
+    for start, end in next(places_of(pa.array([text], pa.string()))):
+        words = _WORD.findall(text, start, end)
+        out.append((start, end, " ".join(words).lower(), len(words)))
     return out
 
 
-def runs_of(parts: list[tuple[int, int, str, int]]) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, number of sentences) of each run that has enough words."""
-    out, end, words, n = [], 0, 0, len(parts)
-    normal, counts = [p[2] for p in parts], [p[3] for p in parts]
-    for i in range(n):
-        end = max(end, i)
-        while end < n and (end - i < LEAST_SENTENCES or words < LEAST_WORDS):
-            words += counts[end]
-            end += 1
-        if end - i < LEAST_SENTENCES or words < LEAST_WORDS:
-            break
-        text = " ".join(normal[i:end])
-        out.append((xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), i, end - i))
-        words -= counts[i]
-    return out
+def runs_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(hash, text's number, first sentence, number of sentences) of each run that has enough words, in lower-cased texts."""
+    h, at, text = _cut_texts(texts)
+    i = np.arange(len(text))
+    end = np.maximum(np.searchsorted(at, at[:-1] + LEAST_WORDS), i + LEAST_SENTENCES)
+    whole = end <= np.searchsorted(text, text, "right")
+    place = i - np.searchsorted(text, text, "left")
+    i, end = i[whole], end[whole]
+    return _polynomials(h, at[i], at[end]), text[whole], place[whole], end - i
+
+
+def _blocks(texts: pa.Array):
+    """(first row, slice) of about ``_BLOCK`` bytes, or of one longer text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+    lo = 0
+    while lo < len(texts):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + _BLOCK, "right")))
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def places_of(texts: pa.Array):
+    """For each text the (start, end) of its sentences in code points."""
+    for _, some in _blocks(texts):
+        _, at, text = _cut_texts(pc.utf8_lower(some))
+        raw, first, last, _, _ = _words_of(some)
+        points = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
+        sizes = np.asarray(pc.binary_length(some), np.int64)
+        zero = points[np.cumsum(sizes) - sizes][text]
+        starts = (points[first[at[:-1]]] - zero).tolist()
+        ends = (points[last[at[1:] - 1] + 1] - zero).tolist()
+        bounds = np.searchsorted(text, np.arange(len(some) + 1)).tolist()
+        for i, j in zip(bounds, bounds[1:]):
+            yield list(zip(starts[i:j], ends[i:j]))
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -126,10 +178,16 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def _rows(batch: pa.RecordBatch):
-    """The rows one at a time: nested values of a whole batch take much memory in Python."""
-    for i in range(batch.num_rows):
-        yield {name: col[i].as_py() for name, col in zip(batch.schema.names, batch.columns, strict=True)}
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[list[int], pa.StructArray | pa.Array]:
+    """Offsets and flat values of a list column; a null list is empty."""
+    column = batch.column(name)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))]).tolist()
+    return ends, column.flatten()
+
+
+def _fields(values: pa.StructArray, *names: str) -> list[list]:
+    """Python values of fields of a struct array; whole columns at a time."""
+    return [values.field(n).to_pylist() for n in names]
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -142,18 +200,11 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, hashes = batch.column(0), batch.column(2)
-            found, rows = [], []
-            for i, text in enumerate(batch.column(1)):
-                own = runs_of(sentences(text.as_py()))
-                found += own
-                rows += [i] * len(own)
-            if found:
-                taken = pa.array(rows, pa.int32())
-                hashed, at, n = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed, pa.int64()), ids.take(taken), hashes.take(taken), pa.array(at, pa.int32()), pa.array(n, pa.int32())], schema=schema
-                )
+            for lo, texts in _blocks(batch.column("text")):
+                hashes, text, place, size = runs_of(pc.utf8_lower(texts))
+                rows = pa.array(text + lo)
+                columns = [hashes.view(np.int64), batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), place.astype(np.int32), size.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return _named(docs).mapInArrow(run, RUNS)
 
@@ -174,15 +225,15 @@ def covered(docs: DataFrame) -> DataFrame:
     )
 
 
-def _stretches(ranges: list[dict]) -> list[tuple[int, int]]:
-    """(first sentence, end) of each stretch of covered sentences."""
+def _stretches(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    """[first sentence, end] of each stretch of covered sentences (at, number)."""
     out: list[list[int]] = []
-    for at, end in sorted((r["at"], r["at"] + r["n"]) for r in ranges):
+    for at, n in sorted(ranges):
         if out and at <= out[-1][1]:
-            out[-1][1] = max(end, out[-1][1])
+            out[-1][1] = max(at + n, out[-1][1])
         else:
-            out.append([at, end])
-    return [(a, b) for a, b in out]
+            out.append([at, at + n])
+    return out
 
 
 def _edges(found: DataFrame) -> DataFrame:
@@ -191,19 +242,22 @@ def _edges(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in schema]
-            for r in _rows(batch):
-                ends = _stretches(r["ranges"])
-                starts, stops = {a for a, _ in ends}, {b for _, b in ends}
-                for x in r["ranges"]:
-                    first, stop = x["first"], x["at"] + x["n"]
-                    rows = [(x["at"], -1, first["at"])] if x["at"] in starts else []
-                    if stop in stops:
-                        rows.append((stop, 1, first["at"] + first["n"]))
-                    for own, side, place in rows:
-                        for col, v in zip(cols, (r["doc_id"], r["text_hash"], own, side, first["doc_id"], first["text_hash"], place), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            ends, flat = _lists(batch, "ranges")
+            ats, ns = _fields(flat, "at", "n")
+            first = flat.field("first")
+            first_at, first_n = _fields(first, "at", "n")
+            rows, taken, own, side, place = [], [], [], [], []
+            for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
+                stretches = _stretches(list(zip(ats[lo:hi], ns[lo:hi])))
+                starts, stops = {a for a, _ in stretches}, {b for _, b in stretches}
+                for k in range(lo, hi):
+                    if ats[k] in starts:
+                        rows.append(i), taken.append(k), own.append(ats[k]), side.append(-1), place.append(first_at[k])
+                    if ats[k] + ns[k] in stops:
+                        rows.append(i), taken.append(k), own.append(ats[k] + ns[k]), side.append(1), place.append(first_at[k] + first_n[k])
+            rows, taken = pa.array(rows, pa.int32()), pa.array(taken, pa.int32())
+            columns = [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), own, side, first.field("doc_id").take(taken), first.field("text_hash").take(taken), place]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return found.select("doc_id", "text_hash", "ranges").mapInArrow(run, EDGES)
 
@@ -243,15 +297,17 @@ def _flanks(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in _rows(batch):
-                parts = sentences(r["text"])
-                for p in r["places"]:
-                    at = parts[p["place"] - 1][1] if p["side"] > 0 else parts[p["place"]][0]
-                    words = " ".join(m.group().lower() for m in _neighbours(r["text"], at, p["side"]))
-                    if words:
-                        rows.append({"first_doc": r["first_doc"], "first_text": r["first_text"], "place": p["place"], "side": p["side"], "words": words})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            ends, flat = _lists(batch, "places")
+            places, sides = _fields(flat, "place", "side")
+            rows, where, which, words = [], [], [], []
+            for i, (text, parts) in enumerate(zip(batch.column("text"), places_of(batch.column("text")), strict=True)):
+                text = text.as_py()
+                for place, side in zip(places[ends[i] : ends[i + 1]], sides[ends[i] : ends[i + 1]]):
+                    near = _neighbours(text, parts[place - 1][1] if side > 0 else parts[place][0], side)
+                    if near:
+                        rows.append(i), where.append(place), which.append(side), words.append(" ".join(m.group() for m in near).lower())
+            rows = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("first_doc").take(rows), batch.column("first_text").take(rows), pa.array(where, pa.int32()), pa.array(which, pa.int32()), pa.array(words, pa.string())], schema=schema)
 
     met = texts.alias("x").join(asked.alias("y"), _same("x", "y", "first_doc", "first_text"))
     return met.select("x.text", "y.first_doc", "y.first_text", "y.places").mapInArrow(run, FLANKS)
@@ -267,12 +323,11 @@ def extensions(docs: DataFrame, found: DataFrame) -> DataFrame:
     return met.groupBy("x.doc_id", "x.text_hash").agg(F.collect_set(F.struct("x.own", "x.side", "y.words")).alias("beside"))
 
 
-def _cut(text: str, ranges: list[dict], beside: list[dict]) -> tuple[int, list[tuple[int, int]], str]:
-    """Number of sentences, the removed stretches of code points, and what is left."""
-    parts = sentences(text)
+def _cut(text: str, parts: list[tuple[int, int]], ranges: list[tuple[int, int]], beside: list[tuple[int, int, str]]) -> tuple[list[list[int]], str]:
+    """The removed stretches of code points, and what is left of the text with sentences at ``parts``."""
     flanks: dict[tuple[int, int], list[str]] = {}
-    for x in beside:
-        flanks.setdefault((x["own"], x["side"]), []).append(x["words"])
+    for own, side, words in beside:
+        flanks.setdefault((own, side), []).append(words)
 
     def extended(own: int, side: int, at: int) -> int:
         best = at
@@ -297,7 +352,7 @@ def _cut(text: str, ranges: list[dict], beside: list[dict]) -> tuple[int, list[t
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return len(parts), [(a, b) for a, b in spans], "".join(kept).strip()
+    return spans, "".join(kept).strip()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -314,12 +369,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in _rows(batch):
-                n, spans, left = _cut(r["text"], r["ranges"], r["beside"] or [])
-                gone = len({i for x in r["ranges"] for i in range(x["at"], x["at"] + x["n"])})
-                rows.append({"doc_id": r["doc_id"], "n_sentences": n, "n_removed": gone, "removed": ",".join(f"{a}-{b}" for a, b in spans), "text": left, "first_doc_ids": r["first_doc_ids"]})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            r_ends, r_flat = _lists(batch, "ranges")
+            b_ends, b_flat = _lists(batch, "beside")
+            ranges = list(zip(*_fields(r_flat, "at", "n"), strict=True))
+            beside = list(zip(*_fields(b_flat, "own", "side", "words"), strict=True))
+            cols: list[list] = [[] for _ in range(4)]
+            for i, (text, parts) in enumerate(zip(batch.column("text"), places_of(batch.column("text")), strict=True)):
+                mine = ranges[r_ends[i] : r_ends[i + 1]]
+                spans, left = _cut(text.as_py(), parts, mine, beside[b_ends[i] : b_ends[i + 1]])
+                gone = sum(b - a for a, b in _stretches(mine))
+                for col, x in zip(cols, (len(parts), gone, ",".join(f"{a}-{b}" for a, b in spans), left), strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:5], strict=True)), batch.column("first_doc_ids")], schema=schema)
 
     ranges = F.transform("y.ranges", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n")))
     return small.select("x.doc_id", "x.text", ranges.alias("ranges"), "y.beside", "y.first_doc_ids").mapInArrow(run, CUTS + ", first_doc_ids array<long>")

@@ -42,6 +42,8 @@ def test_quality_cases(spark, documents, labels, odd, nothing):
     assert some.count() == odd.count() and some.where("score is null or score < 0 or score > 1").count() == 0
     assert {r.score for r in quality.quality_report(odd, labels.limit(0)).collect()} == {0.5}
     assert quality.quality_report(nothing, labels).count() == 0
+    clash = labels.selectExpr("doc_id", "quality", "toxic", "'x' as text", "1 as n_chars", "0.5 as score", "2 as row")
+    assert quality.keep_good(documents, clash).count() == quality.keep_good(documents, labels).count()
     kept = quality.keep_good(odd, labels.limit(0))
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
