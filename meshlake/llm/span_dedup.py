@@ -3,8 +3,9 @@
 From each sentence on, a run of consecutive sentences is hashed: at least ``LEAST_SENTENCES``, and
 as many as it takes for ``LEAST_WORDS`` words, so that no chance repetition of short sentences
 counts. Runs with one hash meet in a join across all documents. The first of them, by (doc_id,
-place), stays; every sentence that any other one covers is removed. Each stretch of them is then
-extended word by word to both sides, by up to ``FLANK`` words that follow in the first place too.
+place), stays; every sentence that any other one covers is in a stretch, which is then extended
+word by word to both sides, by up to ``FLANK`` words that follow in the first place too. Stretches
+of ``LEAST_SPAN`` words and more are removed.
 
 Sentences end at ``.``, ``!``, ``?`` before white space and at line ends; one of more than
 ``LONGEST`` words is cut before words whose hash is the least of ``NEAR`` words to both sides, so
@@ -13,7 +14,7 @@ from such a cut. They are compared lower-cased and by words.
 
 Defined cases
 -------------
-* ``n_removed`` counts whole sentences; ``removed`` and ``text`` also have the words of the extension.
+* ``n_removed`` counts whole sentences in the removed stretches; ``removed`` and ``text`` also have the words of the extension.
 * Null and empty texts have no sentences. A document shorter than a run is never changed.
 * Rows with one id and one text are one document; a null id sorts first and is kept.
 * Ties of place can't occur otherwise. Further columns stay as they are (in ``deduplicate``).
@@ -34,6 +35,8 @@ from .common import broadcast_if_small, shared_table
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
+#: Words of a stretch that is removed, with its extensions; shorter repetitions are ordinary (notices, greetings).
+LEAST_SPAN = 45
 LONGEST = 12
 NEAR = 3
 #: No chance repetition is as long, and a repeated passage is cut alike this far from its ends.
@@ -324,7 +327,7 @@ def extensions(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _cut(text: str, parts: list[tuple[int, int]], ranges: list[tuple[int, int]], beside: list[tuple[int, int, str]]) -> tuple[list[list[int]], str]:
-    """The removed stretches of code points, and what is left of the text with sentences at ``parts``."""
+    """The removed stretches (start, end, whole sentences) in code points, and what is left of the text with sentences at ``parts``."""
     flanks: dict[tuple[int, int], list[str]] = {}
     for own, side, words in beside:
         flanks.setdefault((own, side), []).append(words)
@@ -340,15 +343,17 @@ def _cut(text: str, parts: list[tuple[int, int]], ranges: list[tuple[int, int]],
                     best = max(best, m.end()) if side > 0 else min(best, m.start())
         return best
 
-    spans: list[list[int]] = []
+    spans: list[list[int]] = []  # start, end, sentences
     for i, j in _stretches(ranges):
         a, b = extended(i, -1, parts[i][0]), extended(j, 1, parts[j - 1][1])
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(b, spans[-1][1])
+            spans[-1][2] += j - i
         else:
-            spans.append([a, b])
+            spans.append([a, b, j - i])
+    spans = [x for x in spans if len(_WORD.findall(text, x[0], x[1])) >= LEAST_SPAN]
     kept, at = [], 0
-    for a, b in spans:
+    for a, b, _ in spans:
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
@@ -374,13 +379,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             ranges = list(zip(*_fields(r_flat, "at", "n"), strict=True))
             beside = list(zip(*_fields(b_flat, "own", "side", "words"), strict=True))
             cols: list[list] = [[] for _ in range(4)]
+            rows = []
             for i, (text, parts) in enumerate(zip(batch.column("text"), places_of(batch.column("text")), strict=True)):
-                mine = ranges[r_ends[i] : r_ends[i + 1]]
-                spans, left = _cut(text.as_py(), parts, mine, beside[b_ends[i] : b_ends[i + 1]])
-                gone = sum(b - a for a, b in _stretches(mine))
-                for col, x in zip(cols, (len(parts), gone, ",".join(f"{a}-{b}" for a, b in spans), left), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:5], strict=True)), batch.column("first_doc_ids")], schema=schema)
+                spans, left = _cut(text.as_py(), parts, ranges[r_ends[i] : r_ends[i + 1]], beside[b_ends[i] : b_ends[i + 1]])
+                if spans:
+                    rows.append(i)
+                    for col, x in zip(cols, (len(parts), sum(n for _, _, n in spans), ",".join(f"{a}-{b}" for a, b, _ in spans), left), strict=True):
+                        col.append(x)
+            taken = pa.array(rows, pa.int32())
+            made = [pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:5], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(taken), *made, batch.column("first_doc_ids").take(taken)], schema=schema)
 
     ranges = F.transform("y.ranges", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n")))
     return small.select("x.doc_id", "x.text", ranges.alias("ranges"), "y.beside", "y.first_doc_ids").mapInArrow(run, CUTS + ", first_doc_ids array<long>")

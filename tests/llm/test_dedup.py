@@ -89,14 +89,37 @@ def test_one_row_of_each_group_stays(spark, odd, odd_rows):
 
 def test_span_dedup_on_documents(spark, documents):
     want = brute.removed_sentences(pairs(documents), span_dedup.sentences, span_dedup.LEAST_SENTENCES, span_dedup.LEAST_WORDS)
-    got = queries.op7_span_dedup(spark, SF).collect()
-    assert {r.doc_id: r.n_removed for r in got} == {d: len(gone) for (d, _), gone in want.items()}
-    texts = dict(pairs(documents))
-    for r in got:
-        left = texts[r.doc_id]
-        for a, b in sorted((tuple(map(int, s.split("-"))) for s in r.removed.split(",")), reverse=True):
+    want = {d: (text, gone) for (d, text), gone in want.items()}
+    got = {r.doc_id: r for r in queries.op7_span_dedup(spark, SF).collect()}
+    assert set(got) <= set(want) and got
+    for d, (text, gone) in want.items():
+        parts = span_dedup.sentences(text)
+        removed = [tuple(map(int, s.split("-"))) for s in got[d].removed.split(",")] if d in got else []
+        assert all(len(text[a:b].split()) >= span_dedup.LEAST_SPAN for a, b in removed)
+        inside = {i for i, p in enumerate(parts) if any(a <= p[0] and p[1] <= b for a, b in removed)}
+        # Whole stretches of enough words go, and what goes is such sentences, but for a few that an extension took in.
+        stretches, edges = [], []
+        for i in sorted(gone):
+            if stretches and stretches[-1][-1] == i - 1:
+                stretches[-1].append(i)
+            else:
+                stretches.append([i])
+        for s in stretches:
+            if sum(parts[i][3] for i in s) >= span_dedup.LEAST_SPAN:
+                assert set(s) <= inside
+            edges += [s[0], s[-1]]
+        assert all(min(abs(i - e) for e in edges) <= span_dedup.FLANK for i in inside - gone)
+        assert (got[d].n_removed if d in got else 0) == len(inside & gone)
+        left = text
+        for a, b in sorted(removed, reverse=True):
             left = left[:a] + left[b:]
-        assert r.text == left.strip()
+        assert d not in got or got[d].text == left.strip()
+
+
+def test_span_dedup_leaves_short_repetitions(spark):
+    notice = "This notice stands in many documents. It is short and says little of note. Nobody would miss it much."
+    rows = [(i, f"Document {i} begins with words of its own. {notice} Then it ends as number {i * 7}.") for i in range(9)]
+    assert span_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
 def test_span_dedup_passage_at_other_sentence_bounds(spark):
@@ -145,7 +168,7 @@ def test_span_dedup_hard_texts_are_fast(harsh):
 
 
 def test_span_dedup_rows_of_one_id(spark):
-    passage = ". ".join(f"shared{i} one two three four five" for i in range(8)) + "."
+    passage = ". ".join(f"shared{i} one two three four five" for i in range(9)) + "."
     rows = [(None, f"First text {i} stands here.\n{passage}") for i in range(30)] + [(-1, f"First text 3 stands here.\n{passage}")]
     got = span_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in got) == ["-1"] + ["None"] * 29 and all("shared3" not in r.text for r in got)
