@@ -73,6 +73,49 @@ def archive_lookup(spark, sf):
     return doc.archive_lookup(archive_index(spark, sf), asked, "path")
 
 
+# ---------------------------------------------------------------- rules of a layer
+@query("""with k as (select event_id, event_id % 11 as k, event_id % 3 as t from events), i as (select event_id, t, case
+  when t = 0 then case k when 0 then ['error topology'] when 1 then ['error legacyTopology'] when 2 then ['error headers'] when 3 then ['error vertexAttributes.position.valueType'] when 4 then ['warning vertexAttributes.normal']
+    when 5 then ['error vertexAttributes.color.valuesPerElement'] when 6 then ['error featureAttributes.id.valueType'] when 7 then ['error vertexAttributes.region.valueType'] else [] end
+  when t = 1 then case when k = 0 then [] else ['error topology'] end
+  else case k when 0 then ['error vertexAttributes.position.valueType'] when 1 then ['error topology', 'error legacyTopology', 'error vertexAttributes.position.valueType'] when 3 then ['error topology']
+    when 6 then ['error topology', 'error featureAttributes.id.valueType', 'error vertexAttributes.position.valueType'] else ['error topology', 'error vertexAttributes.position.valueType'] end end as found from k), r as (select event_id, unnest(found) as x from i)
+select event_id, split_part(x, ' ', 1) as severity, split_part(x, ' ', 2) as path from r""")
+def geometry_schema_issues(spark, sf):
+    """Meshes, points and point clouds, each with one thing changed in eleven ways."""
+    from ..operators import layer_rules as rules
+
+    k, t = F.col("event_id") % 11, F.col("event_id") % 3
+    names = lambda *v: F.array(*map(F.lit, v))
+    df = table(spark, sf, "events").select(
+        "event_id", F.when(t == 0, "3DObject").when(t == 1, "Point").otherwise("PointCloud").alias("layer_type"), F.when(k == 0, "points").otherwise("triangles").alias("geometry_type"),
+        F.when(k == 1, "other").otherwise("PerAttributeArray").alias("topology"), F.when(k == 2, names("vertexCount")).otherwise(names("vertexCount", "featureCount")).alias("headers"),
+        F.when(k == 3, "Int32").otherwise("Float32").alias("position_type"), F.lit(3).alias("position_n"), F.lit("Float32").alias("normal_type"), F.when(k == 4, 0).otherwise(3).alias("normal_n"), F.lit("Float32").alias("uv0_type"), F.lit(2).alias("uv0_n"),
+        F.lit("UInt8").alias("color_type"), F.when(k == 5, 3).otherwise(4).alias("color_n"), F.when(k == 7, "UInt8").otherwise("UInt16").alias("region_type"), F.when(k == 8, 0).otherwise(4).alias("region_n"),
+        F.when(k == 6, "Int32").otherwise("UInt64").alias("id_type"), F.lit(1).alias("id_n"), F.lit("UInt32").alias("faceRange_type"), F.lit(2).alias("faceRange_n"))
+    return rules.geometry_schema_issues(df, ["event_id"])
+
+
+@query("""with k as (select event_id, event_id % 9 as k, event_id % 2 = 0 as text from events), i as (select event_id, case when text then case k when 0 then ['error header', 'error header[1].property', 'error header[1].valueType'] when 1 then ['error header[0].property']
+  when 2 then ['error header[0].valueType'] when 3 then ['error ordering'] when 4 then ['error attributeByteCounts.valueType'] when 5 then ['error attributeValues.valuesPerElement'] when 6 then ['warning attributeValues.encoding'] else [] end
+  else case k when 0 then [] when 1 then ['error header[0].property'] when 2 then ['error header[0].valueType'] when 3 then ['error ordering'] when 5 then ['error attributeValues.valuesPerElement'] when 7 then ['error objectIds.valueType'] else [] end end as found from k), r as (select event_id, unnest(found) as x from i)
+select event_id, split_part(x, ' ', 1) as severity, split_part(x, ' ', 2) as path from r""")
+def storage_rule_issues(spark, sf):
+    """Texts and numbers, each with one thing changed in nine ways."""
+    from ..operators import layer_rules as rules
+
+    k, text = F.col("event_id") % 9, F.col("event_id") % 2 == 0
+    names = lambda *v: F.array(*map(F.lit, v))
+    first = F.when(k == 1, "other").otherwise("count")
+    kind = F.when(k == 2, "Float32").otherwise("UInt32")
+    df = table(spark, sf, "events").select(
+        "event_id", F.when(text, "String").otherwise("Float64").alias("value_type"), F.when(k == 5, 2).otherwise(1).alias("values_n"), F.when(k == 6, "UTF-16").otherwise("UTF-8").alias("encoding"),
+        F.when(text & (k != 0), F.array(first, F.lit("attributeValuesByteCount"))).otherwise(F.array(first)).alias("header"), F.when(text & (k != 0), F.array(kind, F.lit("UInt32"))).otherwise(F.array(kind)).alias("header_types"),
+        F.when(k == 3, names("other")).when(text, names("attributeByteCounts", "attributeValues")).when(k == 7, names("ObjectIds")).otherwise(names("attributeValues")).alias("ordering"),
+        F.when(k == 4, "Int64").otherwise("Int32").alias("counts_type"), F.lit(1).alias("counts_n"), F.lit("Float32").alias("object_ids_type"), F.lit(1).alias("object_ids_n"))
+    return rules.storage_issues(df, ["event_id"])
+
+
 # ---------------------------------------------------------------- typed reading
 _TYPED = """t as (select event_id, event_id % 12 as k, '{"a": {"b": ' || case event_id % 12 when 0 then 'null' when 1 then '"x"' when 2 then '[1, 2]' else event_id::varchar end ||
   '}, "u": ' || case event_id % 6 when 0 then '"Meters"' when 1 then '"foot_us"' when 2 then '"furlong"' when 3 then '7' when 4 then 'null' else '"us-foot"' end ||

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bits, colors, dates, text
+from ..functions import bits, colors, dates, frames, text
 from ..functions import geometry as g
 from .inputs import BOXES, PTS, boxes, points, table
 from .registry import query
@@ -508,3 +508,18 @@ def resource_names(spark, sf):
         "page_id", text.same_resource(url, F.concat(F.lit("\\"), F.upper(F.replace(url, F.lit("/"), F.lit("\\"))))).alias("same"),
         text.same_resource(url, F.when(k == 0, url).otherwise(F.concat(url, F.lit("x")))).alias("other"),
         text.mime_of_extension(F.when(k == 0, "jpg").when(k == 1, "bin.ktx").otherwise("none")).alias("mime"))
+
+
+# ---------------------------------------------------------------- frames
+@query("with " + PTS + ", " + _ECEF + """, o as (select fid, lon, lat, h, x, y, z, (6378137.0::double / sqrt(1 - 0.0818191908426215::double * 0.0818191908426215::double * sin(radians(lat)) * sin(radians(lat)))) as n0 from x),
+d as (select *, x - n0 * cos(radians(lat)) * cos(radians(lon)) as dx, y - n0 * cos(radians(lat)) * sin(radians(lon)) as dy, z - n0 * (1 - 0.0818191908426215::double * 0.0818191908426215::double) * sin(radians(lat)) as dz from o)
+select fid, case fid % 4 when 0 then round(x, 3) + 0.0 when 1 then round(-sin(radians(lon)) * dx + cos(radians(lon)) * dy, 3) + 0.0 when 2 then round(lon, 3) + 0.0 end as x,
+  case fid % 4 when 0 then round(y, 3) + 0.0 when 1 then round(-sin(radians(lat)) * cos(radians(lon)) * dx - sin(radians(lat)) * sin(radians(lon)) * dy + cos(radians(lat)) * dz, 3) + 0.0 when 2 then round(lat, 3) + 0.0 end as y,
+  case fid % 4 when 0 then round(z, 3) + 0.0 when 1 then round(cos(radians(lat)) * cos(radians(lon)) * dx + cos(radians(lat)) * sin(radians(lon)) * dy + sin(radians(lat)) * dz, 3) + 0.0 when 2 then round(h, 3) end as z from d""")
+def normal_frames(spark, sf):
+    """Each point in one of the three frames; the origin lies below it on the ellipsoid. A fourth name is no frame."""
+    k = F.col("fid") % 4
+    frame = F.when(k == 0, "earth-centered").when(k == 1, "east-north-up").when(k == 2, "vertex-reference-frame").otherwise("other")
+    p, o = g.vec(F.col("lon"), F.col("lat"), F.col("h")), g.vec(F.col("lon"), F.col("lat"), F.lit(0.0))
+    rows = points(spark, sf).select("fid", frames.in_normal_frame(p, frame, o, frames.Geographic()).alias("v"))
+    return rows.select("fid", *(_r(F.col(f"v.{c}"), 3).alias(c) for c in "xyz"))
