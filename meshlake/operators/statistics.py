@@ -57,6 +57,14 @@ def resample_bins(histo: DataFrame, hint: int = SHOWN) -> DataFrame:
     return histo.where("n > 0").join(F.broadcast(ends)).groupBy(at.alias("bin"), "first_bin", "step").agg(F.sum("n").alias("n"))
 
 
+def bin_moments(histo: DataFrame, low, width) -> DataFrame:
+    """(n, avg_value, stddev) by the bins' centres: bin k spans ``width`` from ``low + k * width``."""
+    v, n = low + (F.col("bin") + 0.5) * width, F.col("n")
+    out = histo.agg(F.sum(n).alias("n"), F.sum(v * n).alias("s1"), F.sum(v * v * n).alias("s2"))
+    var = F.when(F.col("n") > 1, F.greatest((F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")) / (F.col("n") * (F.col("n") - 1)), F.lit(0.0))).otherwise(0.0)
+    return out.select("n", (F.col("s1") / F.col("n")).alias("avg_value"), F.sqrt(var).alias("stddev"))
+
+
 def quantized_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Bin by rounding to the nearest bin edge, clamped to the ends."""
     k = F.floor((value - low) * (F.lit(float(bins)) / (high - low)) + 0.5)
@@ -148,6 +156,11 @@ def datetime_stats(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.min(v).alias("min_time"), F.max(v).alias("max_time"), F.count(value).alias("n"), F.countDistinct(value).alias("n_distinct"))
 
 
+def frequent_times(df: DataFrame, value: str, k: int = SHOWN) -> DataFrame:
+    """The ``k`` most frequent non-empty ISO texts; ties by text."""
+    return frequent_values(df.where(F.col(value) != ""), value, k)
+
+
 def generic_histogram(df: DataFrame, value: str, integral: bool, bins: int = GENERIC_BINS, distinct: int = GENERIC_DISTINCT) -> DataFrame:
     """Exact bins for integers of few distinct values, else quantized over the mean and four deviations, resampled to be shown.
 

@@ -46,8 +46,7 @@ def with_paths(tree: DataFrame, deepest: int | None = None) -> DataFrame:
     for d in range(1, deepest + 1):
         above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
         level = tree.where(F.col("depth") == d).join(above, "parent_id").withColumn("path", F.array_append("above", F.col("ordinal"))).drop("above")
-        if d % 4 == 0:
-            level = staged(level, "tree-level")
+        level = staged(level, "tree-level")
         out = out.unionByName(level)
     return out
 
@@ -59,11 +58,15 @@ def breadth_first_pages(tree: DataFrame, page: int = PAGE, deepest: int | None =
 
 
 def remap_links(paged: DataFrame) -> DataFrame:
-    """(idx, parent_idx, child_idx array) after numbering."""
+    """(idx, parent_idx, first_child, n_children) after numbering.
+
+    In breadth-first order the children of a node follow one another, so two numbers name them all,
+    however many there are.
+    """
     parents = paged.select(F.col("node_id").alias("parent_id"), F.col("idx").alias("parent_idx"))
     linked = paged.select("idx", "parent_id").join(parents, "parent_id", "left")
-    kids = linked.where("parent_idx is not null").groupBy(F.col("parent_idx").alias("idx")).agg(F.sort_array(F.collect_list("idx")).alias("children"))
-    return linked.select("idx", "parent_idx").join(kids, "idx", "left")
+    kids = linked.where("parent_idx is not null").groupBy(F.col("parent_idx").alias("idx")).agg(F.min("idx").alias("first_child"), F.count("*").alias("n_children"))
+    return linked.select("idx", "parent_idx").join(kids, "idx", "left").fillna(0, ["n_children"])
 
 
 def roll_up(tree: DataFrame, own: DataFrame, aggregates: dict[str, str], deepest: int | None = None) -> DataFrame:
@@ -84,7 +87,7 @@ def roll_up(tree: DataFrame, own: DataFrame, aggregates: dict[str, str], deepest
             lifted = below.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), *columns)
             both = rows.select("node_id", *columns).unionByName(lifted).groupBy("node_id").agg(*(f[a](c).alias(c) for c, a in aggregates.items()))
             rows = rows.select("node_id", "parent_id", "depth").join(both, "node_id")
-        below = staged(rows, "rolled-level") if d % 4 == 0 and d else rows
+        below = staged(rows, "rolled-level") if d else rows
         done = below if done is None else done.unionByName(below)
     return done.select("node_id", "parent_id", "depth", *columns)
 
@@ -149,3 +152,20 @@ def local_subtree_pages(tree: DataFrame, root_of: str, priority: str, page: int
     zero = in_order.groupBy(root_of).agg(F.min("number").alias("zero"))
     ids = in_order.join(zero, root_of).select(root_of, "start", (F.col("number") - F.col("zero")).alias("page_id"))
     return placed.join(ids, "start").select("node_id", root_of, "page_id", "slot")
+
+
+def tile_tree(tiles: DataFrame, levels: int) -> DataFrame:
+    """(level, i, j, n_children, p_level, p_i, p_j): the quadtree over tiles (i, j) of the finest of ``levels`` levels.
+
+    A coarser tile is there where one of its four children is; the coarse levels come from the fine ones.
+    """
+    level = tiles.select("i", "j", F.lit(0).cast("long").alias("n_children")).distinct()
+    out = None
+    for k in range(levels - 1, -1, -1):
+        level = staged(level, "tiles")
+        up = lambda c: F.floor(F.col(c) / 2)
+        above = (F.lit(k - 1), up("i"), up("j")) if k else (F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+        rows = level.select(F.lit(k).alias("level"), "i", "j", "n_children", *(c.alias(n) for c, n in zip(above, ("p_level", "p_i", "p_j"), strict=True)))
+        out = rows if out is None else out.unionByName(rows)
+        level = level.groupBy(up("i").alias("i"), up("j").alias("j")).agg(F.count("*").alias("n_children"))
+    return out

@@ -523,3 +523,20 @@ def normal_frames(spark, sf):
     p, o = g.vec(F.col("lon"), F.col("lat"), F.col("h")), g.vec(F.col("lon"), F.col("lat"), F.lit(0.0))
     rows = points(spark, sf).select("fid", frames.in_normal_frame(p, frame, o, frames.Geographic()).alias("v"))
     return rows.select("fid", *(_r(F.col(f"v.{c}"), 3).alias(c) for c in "xyz"))
+
+
+@query("with " + PTS + _OBB + """select fid, round(lon + 20 * cos(a) - 10 * sin(a), 6) + 0.0 as x, round(lat + 20 * sin(a) + 10 * cos(a), 6) + 0.0 as y, round(h, 6) + 0.0 as z,
+  round(20 * cos(a) * 20 * cos(a) - 10 * sin(a) * 20 * sin(a), 4) + 0.0 as m0, round(20 * cos(a) * lon - 10 * sin(a) * lat + lon, 4) + 0.0 as m3, round(h * h, 4) as m10, round(lat, 6) + 0.0 as t13 from l""")
+def obb_matrices(spark, sf):
+    """A corner of the unit cube through a box's matrix, the matrix' square and its transpose."""
+    rows = _obbs(spark, sf).select("fid", g.obb_matrix(F.col("o")).alias("m"))
+    one = F.lit(1.0)
+    rows = rows.select("fid", g.mat4_point(F.col("m"), g.vec(one, one, one)).alias("p"), g.mat4_product(F.col("m"), F.col("m")).alias("s"), g.mat4_transpose(F.col("m")).alias("t"))
+    return rows.select("fid", *(_r(F.col(f"p.{c}")).alias(c) for c in "xyz"), *(_r(F.col("s")[i], 4).alias(f"m{i}") for i in (0, 3, 10)), _r(F.col("t")[13]).alias("t13"))
+
+
+@query("with " + BOXES + """select id, round(("left" + "right") / 2 - ("right" - "left") / 2 * 1.5 + 3, 6) + 0.0 as "left", round(("left" + "right") / 2 + ("right" - "left") / 2 * 1.5 + 3, 6) + 0.0 as "right",
+  round((bottom + top) / 2 - (top - bottom) / 2 * 1.5 - 2, 6) + 0.0 as bottom, round((bottom + top) / 2 + (top - bottom) / 2 * 1.5 - 2, 6) + 0.0 as top, round((front + back) / 2 - (back - front) / 2 * 1.5 + 1, 6) + 0.0 as front, round((front + back) / 2 + (back - front) / 2 * 1.5 + 1, 6) + 0.0 as back from boxes""")
+def box_scale_move(spark, sf):
+    out = boxes(spark, sf).select("id", g.box_moved(g.box_scaled(_box_struct(), 1.5), g.vec(*(F.lit(float(v)) for v in (3, -2, 1)))).alias("b"))
+    return out.select("id", *(_r(F.col(f"b.{k}")).alias(k) for k in ("left", "right", "bottom", "top", "front", "back")))

@@ -91,10 +91,9 @@ def tree_bfs_pages(spark, sf):
     return trees.breadth_first_pages(tree(spark, sf), 64, 3).select("node_id", "idx", "page_id", "slot")
 
 
-@query("with " + _PATHS + "select n.idx, p.idx as parent_idx, (select count(*) from n k where k.parent_id = n.node_id) as n_children from n left join n p on n.parent_id = p.node_id")
+@query("with " + _PATHS + ", k as (select parent_id, count(*) as n_children, min(idx) as first_child from n group by 1) select n.idx, p.idx as parent_idx, first_child, coalesce(n_children, 0) as n_children from n left join n p on n.parent_id = p.node_id left join k on k.parent_id = n.node_id")
 def tree_remap_links(spark, sf):
-    out = trees.remap_links(trees.breadth_first_pages(tree(spark, sf), 64, 3))
-    return out.select("idx", "parent_idx", F.coalesce(F.size("children"), F.lit(0)).cast("long").alias("n_children"))
+    return trees.remap_links(trees.breadth_first_pages(tree(spark, sf), 64, 3))
 
 
 @query("with recursive " + TREE + ", up as (select node_id as leaf, node_id, parent_id from tree union all select u.leaf, t.node_id, t.parent_id from up u join tree t on u.parent_id = t.node_id) select node_id, count(*) as subtree_size from up group by 1")
@@ -159,3 +158,24 @@ def tree_local_page_slots(spark, sf):
 def tree_valid_children(spark, sf):
     child = F.when(F.col("node_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("node_id"))
     return trees.valid_children(tree(spark, sf).where("parent_id is not null").select(F.col("parent_id").alias("node_id"), child.alias("child_id")))
+
+
+@query("with " + TREE + """, t as (select * from tree union all select 5000000, null, 1, 0 union all select c_custkey + 1000001, 1001, c_custkey, 3 from customer where c_custkey % 50 = 7)
+select 'root' as code, node_id from t where parent_id is null union all select 'shared child', node_id from t group by node_id having count(distinct parent_id) > 1
+union all select 'missing parent', node_id from t where parent_id is not null and parent_id not in (select node_id from t)""")
+def tree_checks_all(spark, sf):
+    """A second root, and customers that a second nation claims."""
+    t = tree(spark, sf)
+    root = t.where("depth = 0").select(F.lit(5_000_000).cast("long").alias("node_id"), "parent_id", F.lit(1).cast("long").alias("ordinal"), "depth")
+    again = t.where("depth = 3 and (node_id - 1000001) % 50 = 7").withColumn("parent_id", F.lit(1001).cast("long"))
+    return trees.tree_issues(t.unionByName(root).unionByName(again))
+
+
+@query("with " + PTS + """, l3 as (select distinct floor((lon + 180) / 45.1)::bigint as i, floor((lat + 90) / 22.6)::bigint as j from pts), l2 as (select i // 2 as i, j // 2 as j, count(*) as n from l3 group by 1, 2),
+l1 as (select i // 2 as i, j // 2 as j, count(*) as n from l2 group by 1, 2), l0 as (select i // 2 as i, j // 2 as j, count(*) as n from l1 group by 1, 2)
+select 3 as level, i, j, 0::bigint as n_children, 2 as p_level, i // 2 as p_i, j // 2 as p_j from l3 union all select 2, i, j, n, 1, i // 2, j // 2 from l2 union all select 1, i, j, n, 0, i // 2, j // 2 from l1 union all select 0, i, j, n, null, null, null from l0""")
+def tile_tree(spark, sf):
+    """Tiles that hold a point, and the coarser ones above them."""
+    p = points(spark, sf)
+    tiles = p.select(F.floor((F.col("lon") + 180) / 45.1).alias("i"), F.floor((F.col("lat") + 90) / 22.6).alias("j"))
+    return trees.tile_tree(tiles, 4)

@@ -56,6 +56,13 @@ def histo_unsigned_resampled(spark, sf):
     return st.resample_bins(st.unsigned_histogram(table(spark, sf, "part"), "p_size", 1), 8).select("bin", "first_bin", "step", "n")
 
 
+@query("with h as (select p_size >> 2 as bin, count(*) as n from part group by 1), m as (select sum(n) as n, sum((bin + 0.5) * 4 * n)::double as s1, sum((bin + 0.5) * 4 * ((bin + 0.5) * 4) * n)::double as s2 from h) select n::bigint as n, round(s1 / n, 6) as avg_value, round(sqrt((n * s2 - s1 * s1) / (n * (n - 1))), 6) as stddev from m")
+def histo_bin_moments(spark, sf):
+    """Mean and deviation as the bins' centres give them."""
+    out = st.bin_moments(st.unsigned_histogram(table(spark, sf, "part"), "p_size", 2), F.lit(0.0), F.lit(4.0))
+    return out.select("n", F.round("avg_value", 6).alias("avg_value"), F.round("stddev", 6).alias("stddev"))
+
+
 _QUANT = """r as (select avg(l_extendedprice) a, stddev_samp(l_extendedprice) s, min(l_extendedprice) mn, max(l_extendedprice) mx from lineitem),
 b as (select greatest(mn, a - s * 4) as low, least(mx, a + s * 4) as high from r),
 h as (select cast(greatest(0, least(63, floor((l_extendedprice - low) * (64.0::double / (high - low)) + 0.5))) as integer) as bin, low, high, count(*) as n
@@ -149,3 +156,9 @@ select min(iso) as min_time, max(iso) as max_time, count(iso) as n, count(distin
 def datetime_stats(spark, sf):
     iso = table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"))
     return st.datetime_stats(iso, "iso")
+
+
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as value, count(*) as n from events group by 1 order by n desc, value limit 5")
+def frequent_times(spark, sf):
+    """The five busiest days."""
+    return st.frequent_times(table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day")), "day", 5)
