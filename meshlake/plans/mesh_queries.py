@@ -190,7 +190,15 @@ def texture_plan(spark, sf):
   and a."left" <= b."right" + 3 and b."left" <= a."right" + 3 and a.bottom <= b.top + 3 and b.bottom <= a.top + 3""")
 def box_join(spark, sf):
     all_boxes = boxes(spark, sf).withColumns({"right": F.col("right") + 3, "top": F.col("top") + 3})
-    return joins.box_join(all_boxes.where("id % 2 = 0"), all_boxes.where("id % 2 = 1"), salts=2)
+    return joins.box_join(all_boxes.where("id % 2 = 0"), all_boxes.where("id % 2 = 1"))
+
+
+@query("with " + BOXES + """select a.id as id_a, b.id as id_b from boxes a join boxes b on a.id % 2 = 0 and b.id % 2 = 1
+  and a."left" <= b."right" and b."left" <= a."right" and a.bottom <= b.top and b.bottom <= a.top""")
+def box_join_salted(spark, sf):
+    """Given cells and salts."""
+    all_boxes = boxes(spark, sf)
+    return joins.box_join(all_boxes.where("id % 2 = 0"), all_boxes.where("id % 2 = 1"), cell=4.0, salts=3)
 
 
 @query("with f as (select event_type, min(event_id) as first_at from events group by 1), d as (select event_type, row_number() over (order by first_at) - 1 as code from f) select event_id, code from events join d using (event_type)")
