@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as doc
 from ..operators import envelopes, hulls, trees
 from ..operators.staging import shared_folder
+from ..sources.tables import table_stream
 from ..streaming import windows
 from .inputs import PTS, points, table, tree
 from .registry import query
@@ -289,8 +290,7 @@ def layer_extent(spark, sf):
 
 # ---------------------------------------------------------------- streams
 def _stream(spark, sf):
-    """The events as a stream; the pattern matches the one table, be it a file or a folder."""
-    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf, "events", "ts")
 
 
 @query("""with w as (select date_trunc('day', ts) as d, event_type, value from events), m as (select max(ts) - interval 1 hour as mark from events)
