@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, shared_table
+from .hashing import blocks, byte_table, polynomials, words_of
 
 LEAST_SENTENCES = 2
 LEAST_WORDS = 20
@@ -52,64 +53,19 @@ FLANKS = "first_doc long, first_text long, place int, side int, words string"
 CUTS = "doc_id long, n_sentences long, n_removed long, removed string, text string"
 #: Words are runs without ASCII white space.
 _WORD = re.compile(r"[^\x09-\x0d\x1c-\x20]+")
-_WHITE, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_WHITE[[*range(9, 14), *range(28, 33)]] = True
-_MARK[[ord(c) for c in ".!?"]] = True
-#: Bytes of texts that are cut at a time; one longer text is a block of its own.
-_BLOCK = 2 << 20
-#: Base of the polynomials over a word's bytes and over a run's words, modulo 2**64, and its inverse, which takes a part out of a running sum.
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    global _powers
-    if len(_powers[0]) < n:
-        _powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, x, np.uint64)], dtype=np.uint64) for x in (_BASE, _UNBASE))
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _polynomials(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each slice [first, end) of ``x``, whatever its place, from one running sum."""
-    up, down = _powers_to(len(x) + 1)
-    total = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * up[:-1], out=total[1:])
-    h = (total[end] - total[first]) * down[first]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASE) + (end - first).astype(np.uint64)
-    return h ^ (h >> np.uint64(29))
-
-
-def _words_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """First and last byte of each word, its text's number, and whether a line ends before it."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    white = _WHITE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[offsets] = True
-    begins, ends = ~white, ~white
-    begins[1:] &= white[:-1] | edge[1:-1]
-    ends[:-1] &= white[1:] | edge[1:-1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    text = np.searchsorted(offsets, first, "right") - 1
-    lines = np.cumsum(raw == 10)
-    fresh = np.ones(len(first), bool)
-    if len(first):
-        fresh[1:] = lines[first[1:]] > lines[last[:-1]]
-    return raw, first, last, text, fresh
+_WHITE = byte_table((9, 13), (28, 32))
+_MARK = byte_table(*((ord(c), ord(c)) for c in ".!?"))
 
 
 def _cut_texts(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """Of lower-cased texts: the words' hashes, the first word of each sentence with the number of words behind, and the sentences' texts."""
-    raw, first, last, text, fresh = _words_of(texts)
-    n = len(first)
+    words = words_of(texts, _WHITE)
+    n, text = len(words.first), words.text
+    h = words.hashes()
     if not n:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.int64)
-    h = _polynomials(raw.astype(np.uint64) + np.uint64(1), first, last + 1)
+        return h, np.zeros(1, np.int64), np.empty(0, np.int64)
     starts = np.ones(n + 1, bool)
-    starts[1:n] = fresh[1:] | _MARK[raw[last[:-1]]] | (text[1:] != text[:-1])
+    starts[1:n] = words.fresh[1:] | _MARK[words.raw[words.last[:-1]]]
     at = np.flatnonzero(starts)
     size = np.diff(at)
     if (size > LONGEST).any():
@@ -144,31 +100,21 @@ def runs_of(texts: pa.Array) -> tuple[np.ndarray, ...]:
     whole = end <= np.searchsorted(text, text, "right")
     place = i - np.searchsorted(text, text, "left")
     i, end = i[whole], end[whole]
-    return _polynomials(h, at[i], at[end]), text[whole], place[whole], end - i
-
-
-def _blocks(texts: pa.Array):
-    """(first row, slice) of about ``_BLOCK`` bytes, or of one longer text."""
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)))
-    lo = 0
-    while lo < len(texts):
-        before = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, before + _BLOCK, "right")))
-        yield lo, texts.slice(lo, hi - lo)
-        lo = hi
+    return polynomials(h, at[i], at[end]), text[whole], place[whole], end - i
 
 
 def places_of(texts: pa.Array):
     """For each text the (start, end) of its sentences in code points."""
-    for _, some in _blocks(texts):
+    for _, some in blocks(texts):
         _, at, text = _cut_texts(pc.utf8_lower(some))
-        raw, first, last, _, _ = _words_of(some)
+        words = words_of(some, _WHITE)
+        raw = words.raw
         points = np.zeros(len(raw) + 1, np.int64)
         np.cumsum((raw & 0xC0) != 0x80, out=points[1:])
         sizes = np.asarray(pc.binary_length(some), np.int64)
         zero = points[np.cumsum(sizes) - sizes][text]
-        starts = (points[first[at[:-1]]] - zero).tolist()
-        ends = (points[last[at[1:] - 1] + 1] - zero).tolist()
+        starts = (points[words.first[at[:-1]]] - zero).tolist()
+        ends = (points[words.last[at[1:] - 1] + 1] - zero).tolist()
         bounds = np.searchsorted(text, np.arange(len(some) + 1)).tolist()
         for i, j in zip(bounds, bounds[1:]):
             yield list(zip(starts[i:j], ends[i:j]))
@@ -203,7 +149,7 @@ def sentence_runs(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, texts in _blocks(batch.column("text")):
+            for lo, texts in blocks(batch.column("text")):
                 hashes, text, place, size = runs_of(pc.utf8_lower(texts))
                 rows = pa.array(text + lo)
                 columns = [hashes.view(np.int64), batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), place.astype(np.int32), size.astype(np.int32)]
