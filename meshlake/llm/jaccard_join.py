@@ -39,12 +39,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, shared_table
-from .hashing import WordHashes
+from .hashing import blocks, byte_table, words_of
 
 #: Similarity from which sets link, in hundredths.
 LINK = 90
@@ -62,7 +63,7 @@ DIGEST = "doc_id long, text_hash long, n long, class long, " + ", ".join(f"s{i}
 SIGNATURES = "sig long, class long"
 SETS = "class long, shingles array<long>"
 
-_hashes = WordHashes()
+_WHITE = byte_table((9, 13), (32, 32))
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -72,20 +73,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct shingles as sorted 64-bit hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if not len(w):
-        return w
-    if len(w) < SHINGLE:
-        total = w[:1] * _M[1] if len(w) == 1 else (w[:1] * _M[1] ^ w[1:] * _M[2]) * _M[4]
-        return _mix(total + np.uint64(len(w)))
-    n = len(w) - SHINGLE + 1
-    h = w[:n] * _M[0]
-    h = (h ^ (h >> np.uint64(32)) ^ w[1 : n + 1]) * _M[1]
-    h = (h ^ (h >> np.uint64(32)) ^ w[2 : n + 2]) * _M[2]
-    return np.unique(_mix(h))
+def shingles(texts: pa.Array):
+    """For each text its distinct shingles as sorted 64-bit hashes."""
+    for _, some in blocks(texts):
+        w = words_of(pc.ascii_lower(some), _WHITE)
+        h, bounds = w.hashes(), w.bounds(len(some)).tolist()
+        n = max(0, len(h) - SHINGLE + 1)
+        s = h[:n] * _M[0]
+        s = (s ^ (s >> np.uint64(32)) ^ h[1 : n + 1]) * _M[1]
+        s = _mix((s ^ (s >> np.uint64(32)) ^ h[2 : n + 2]) * _M[2])
+        for i, j in zip(bounds, bounds[1:]):
+            if j - i >= SHINGLE:
+                yield np.unique(s[i : j - SHINGLE + 1])
+            elif j - i == 2:
+                yield _mix((h[i : i + 1] * _M[1] ^ h[i + 1 : j] * _M[2]) * _M[4] + np.uint64(2))
+            else:
+                yield _mix(h[i:j] * _M[1] + np.uint64(1))
 
 
 def class_of(h: np.ndarray) -> int:
@@ -146,8 +149,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(len(schema) - 2)]
-            for text in batch.column(2):
-                h = shingles(text.as_py())
+            for h in shingles(batch.column("text")):
                 for col, x in zip(cols, (len(h), class_of(h), *sketch_of(h)), strict=True):
                     col.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], schema=schema)
@@ -163,8 +165,7 @@ def signatures(docs: DataFrame, level: int = 0) -> DataFrame:
         met: set[int] = set()
         for batch in batches:
             sigs, classes, counts = [], [], []
-            for text in batch.column(0):
-                h = shingles(text.as_py())
+            for h in shingles(batch.column("text")):
                 name = class_of(h)
                 if name in met:
                     continue
@@ -196,9 +197,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(shingles(text.as_py()))
-                n += len(held[-1])
+            for h in shingles(batch.column("text")):
+                held.append(h)
+                n += len(h)
                 if n > 1_000_000:
                     yield batch_of(held)
                     held, n = [], 0
