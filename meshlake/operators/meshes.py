@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .staging import numbered, small_side, staged
 
 UV_LIMIT = 16365.0
 EPSILON = 1e-3
@@ -146,21 +147,26 @@ def runs(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     return marked.groupBy(*by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.first(value).alias("value")).drop("island")
 
 
-def runs_across(df: DataFrame, order: str, value: str, block: int = 100_000) -> DataFrame:
-    """Like ``runs`` over one sequence of integers ``order`` of any length: runs are found in blocks, then joined at their seams."""
-    cut = runs(df.withColumn("block", F.floor(F.col(order) / block)), ["block"], order, value)
-    ends = cut.groupBy("block").agg(F.max_by("value", "last").alias("tail"))
-    before = Window.orderBy("block")  # one row per block
-    ends = ends.select(F.lead("block").over(before).alias("block"), F.struct("tail").alias("prev")).where("block is not null")
-    heads = cut.groupBy("block").agg(F.min("first").alias("head"))
-    marked = cut.join(F.broadcast(heads), "block").join(F.broadcast(ends), "block", "left")
-    joins = (F.col("first") == F.col("head")) & F.col("prev").isNotNull() & F.col("value").eqNullSafe(F.col("prev.tail"))
-    marked = marked.select("block", "first", "last", "value", joins.alias("joins"))
-    # A run that joins has the start of the latest run that does not, at the end of an earlier block.
-    seams = marked.groupBy("block").agg(F.max(F.when(~F.col("joins"), F.col("first"))).alias("open"))
-    seams = seams.select("block", F.max("open").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
-    whole = marked.join(F.broadcast(seams), "block").withColumn("start", F.when(F.col("joins"), F.col("open")).otherwise(F.col("first")))
-    return whole.groupBy("start").agg(F.max("last").alias("last"), F.first("value").alias("value")).select(F.col("start").alias("first"), "last", "value")
+def runs_across(df: DataFrame, order: str, value: str, by: tuple[str, ...] = (), block: int = 100_000) -> DataFrame:
+    """Like ``runs`` for sequences of any length: rows are numbered, compared in blocks, and joined at the blocks' seams.
+
+    No task holds a whole sequence, and a block's neighbours are one row a block.
+    """
+    keys = [*by, order]
+    rows = numbered(df.select(*keys, value), keys, "_n").withColumn("_block", F.floor(F.col("_n") / block))
+    here = F.struct(*by, F.col(value).alias("_value"))
+    tails = rows.groupBy((F.col("_block") + 1).alias("_block")).agg(F.max_by(here, "_n").alias("_tail"))
+    rows = rows.join(small_side(tails), "_block", "left")
+    w = Window.partitionBy("_block").orderBy("_n")
+    before = F.coalesce(F.lag(here).over(w), F.col("_tail"))
+    rows = rows.withColumn("_new", before.isNull() | ~here.eqNullSafe(before))
+    rows = staged(rows.withColumn("_start", F.max(F.when(F.col("_new"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))), "runs")
+    # A run that goes on from earlier blocks has the latest start of any of them.
+    opens = rows.groupBy("_block").agg(F.max("_start").alias("_open"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    opens = opens.select("_block", F.max("_open").over(earlier).alias("_open"))
+    whole = rows.join(small_side(opens), "_block").withColumn("_start", F.coalesce("_start", "_open"))
+    return whole.groupBy(*by, "_start").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.first(value).alias("value")).drop("_start")
 
 
 def texture_plan(sets: DataFrame, wanted: list[str]) -> DataFrame:

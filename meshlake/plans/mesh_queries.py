@@ -165,7 +165,13 @@ i as (select *, sum(new) over (partition by p order by k) as island from m)"""
 
 @query("with s as (select user_id as p, event_id as k, event_type as v from events)" + _ISLANDS + " select p as user_id, min(k) as first, max(k) as last, any_value(v) as value from i group by p, island")
 def attribute_runs(spark, sf):
-    return meshes.runs(table(spark, sf, "events"), ["user_id"], "event_id", "event_type")
+    return meshes.runs_across(table(spark, sf, "events"), "event_id", "event_type", ("user_id",))
+
+
+@query("with s as (select o_custkey as p, o_orderkey as k, o_orderstatus as v from orders)" + _ISLANDS + " select p as o_custkey, min(k) as first, max(k) as last, any_value(v) as value from i group by p, island")
+def attribute_runs_of_groups(spark, sf):
+    """Groups that are small each, in one window."""
+    return meshes.runs(table(spark, sf, "orders"), ["o_custkey"], "o_orderkey", "o_orderstatus")
 
 
 @query("with s as (select 0 as p, event_id as k, case when event_id < 450 then 1 else event_id // 37 % 2 end as v from events)" + _ISLANDS + " select min(k) as first, max(k) as last, any_value(v) as value from i group by island")
