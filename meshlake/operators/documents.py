@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import path_key
+from .joins import dictionary_encode
 from .staging import numbered, range_offsets, ranged
 
 # What stands for null in a buffer, by type. Texts keep null (it isn't the empty text).
@@ -133,6 +134,36 @@ def read_documents(df: DataFrame, column: str, fields: dict[str, str]) -> DataFr
     return read.select(*df.columns, *(F.col(f"_read.{n}").alias(n) for n in fields), issue.alias("issue"))
 
 
+def scan_until(df: DataFrame, by: list[str], order: str, stop: Column) -> DataFrame:
+    """The rows of each group in order up to and with the first for which ``stop`` holds; all where none does.
+
+    Where the scan ends is one aggregate per group, so nothing is read in order.
+    """
+    marked = df.withColumn("_stop", F.coalesce(stop, F.lit(False)))
+    ends = marked.groupBy(*by).agg(F.min(F.when(F.col("_stop"), F.col(order))).alias("_end"))
+    met = marked.join(ends.select(*(F.col(c).alias(f"_{c}") for c in by), "_end"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return met.where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).select(*df.columns)
+
+
+def material_definitions(materials: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(definitions, nodes): the distinct materials as documents numbered as they first appear, and each row's number.
+
+    ``materials`` has ``order``, alpha_mode, alpha_cutoff, double_sided, culling, base_color and
+    texture_set; a value that is the default is left out of the document.
+    """
+    default = {"alpha_mode": "opaque", "alpha_cutoff": 0.25, "double_sided": False, "culling": "none"}
+    unless = lambda c: F.when(F.col(c) != default[c], F.col(c)) if c in default else F.col(c)
+    textured = F.when(F.col("texture_set").isNotNull(), F.struct(F.col("texture_set").alias("textureSetDefinitionId")))
+    pbr = F.when(F.col("base_color").isNotNull() | textured.isNotNull(), F.struct(F.col("base_color").alias("baseColorFactor"), textured.alias("baseColorTexture")))
+    document = F.struct(
+        unless("alpha_mode").alias("alphaMode"), F.when(F.col("alpha_mode") == "mask", unless("alpha_cutoff")).alias("alphaCutoff"),
+        unless("double_sided").alias("doubleSided"), unless("culling").alias("cullFace"), pbr.alias("pbrMetallicRoughness"),
+    )
+    rows = materials.select(order, F.to_json(document).alias("document"))
+    dictionary, encoded = dictionary_encode(rows, "document", order)
+    return dictionary.select(F.col("code").alias("definition"), "document"), encoded.select(order, F.col("code").alias("definition"))
+
+
 def archive_index(resources: DataFrame, order: list[str]) -> DataFrame:
     """(key, start, size and the columns of ``order``) of resources (path, size, ...) laid one after the other.
 

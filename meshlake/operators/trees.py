@@ -169,3 +169,24 @@ def tile_tree(tiles: DataFrame, levels: int) -> DataFrame:
         out = rows if out is None else out.unionByName(rows)
         level = level.groupBy(up("i").alias("i"), up("j").alias("j")).agg(F.count("*").alias("n_children"))
     return out
+
+
+#: Ways to deal nodes into pages: a function of (tree, page) that gives (node_id, page_id, slot).
+PAGE_BUILDERS = {
+    "breadth_first": lambda tree, page: breadth_first_pages(tree, page).select("node_id", F.col("page_id").cast("long").alias("page_id"), F.col("slot").cast("long").alias("slot")),
+    "local_subtree": lambda tree, page: local_subtree_pages(tree.withColumn("_tree", F.lit(0)), "_tree", "priority", page).drop("_tree"),
+}
+
+
+def build_pages(tree: DataFrame, strategy: str, page: int = PAGE, progress=None) -> DataFrame:
+    """Pages by one of ``PAGE_BUILDERS``, or by a builder of the caller's with the same signature.
+
+    ``progress`` is called with the strategy before and with the number of pages after.
+    """
+    builder = PAGE_BUILDERS[strategy] if isinstance(strategy, str) else strategy
+    if progress is None:
+        return builder(tree, page)
+    progress("start", strategy)
+    out = staged(builder(tree, page), "pages")
+    progress("pages", out.agg(F.max("page_id")).first()[0])
+    return out

@@ -74,6 +74,38 @@ def archive_lookup(spark, sf):
     return doc.archive_lookup(archive_index(spark, sf), asked, "path")
 
 
+@query("""with e as (select user_id, min(event_id) filter (where event_type = 'purchase') as stop from events group by 1)
+select event_id, user_id, event_type from events join e using (user_id) where stop is null or event_id <= stop""")
+def scan_until(spark, sf):
+    """Each user's events up to the first purchase."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return doc.scan_until(rows, ["user_id"], "event_id", F.col("event_type") == "purchase")
+
+
+_MATERIALS = """m as (select p_partkey as id, case p_size % 3 when 0 then 'opaque' when 1 then 'mask' else 'blend' end as mode, p_size % 2 = 0 as two, case when p_size % 4 = 3 then 'back' else 'none' end as cull, case when p_size % 5 = 0 then p_size % 7 end as t from part),
+d as (select id, '{' || list_aggregate(list_filter([case when mode <> 'opaque' then '"alphaMode":"' || mode || '"' end, case when mode = 'mask' then '"alphaCutoff":0.5' end, case when two then '"doubleSided":true' end,
+  case when cull <> 'none' then '"cullFace":"back"' end, case when t is not null then '"pbrMetallicRoughness":{"baseColorTexture":{"textureSetDefinitionId":' || t || '}}' end], lambda x: x is not null), 'string_agg', ',') || '}' as document from m),
+e as (select id, coalesce(document, '{}') as document from d), f as (select document, row_number() over (order by min(id)) - 1 as definition from e group by document)"""
+
+
+def _materials(spark, sf):
+    k = F.col("p_size")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.when(k % 3 == 0, "opaque").when(k % 3 == 1, "mask").otherwise("blend").alias("alpha_mode"), F.lit(0.5).alias("alpha_cutoff"), (k % 2 == 0).alias("double_sided"),
+        F.when(k % 4 == 3, "back").otherwise("none").alias("culling"), F.lit(None).cast("array<double>").alias("base_color"), F.when(k % 5 == 0, k % 7).alias("texture_set"))
+    return doc.material_definitions(rows, "p_partkey")
+
+
+@query("with " + _MATERIALS + " select definition, document from f")
+def material_definitions(spark, sf):
+    return _materials(spark, sf)[0]
+
+
+@query("with " + _MATERIALS + " select id as p_partkey, definition from e join f using (document)")
+def material_nodes(spark, sf):
+    return _materials(spark, sf)[1]
+
+
 # ---------------------------------------------------------------- rules of a layer
 @query("""with k as (select event_id, event_id % 11 as k, event_id % 3 as t from events), i as (select event_id, t, case
   when t = 0 then case k when 0 then ['error topology'] when 1 then ['error legacyTopology'] when 2 then ['error headers'] when 3 then ['error vertexAttributes.position.valueType'] when 4 then ['warning vertexAttributes.normal']

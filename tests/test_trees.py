@@ -54,3 +54,16 @@ def test_local_subtree_pages(spark, page):
 def test_local_subtree_pages_of_nothing(spark):
     df = spark.createDataFrame([], "node_id long, parent_id long, tree int, priority double")
     assert trees.local_subtree_pages(df, "tree", "priority").count() == 0
+
+
+def test_page_builders(spark):
+    rows = [(0, None, 0, 0, 1.0)] + [(i, (i - 1) // 3, i, 0, float(i % 5)) for i in range(1, 40)]
+    depth = {0: 0}
+    for n, parent, *_ in rows[1:]:
+        depth[n] = depth[parent] + 1
+    df = spark.createDataFrame([(n, p, o, depth[n], w) for n, p, o, _, w in rows], "node_id long, parent_id long, ordinal long, depth int, priority double")
+    said = []
+    for strategy in (*trees.PAGE_BUILDERS, lambda t, page: t.select("node_id", (t.node_id / page).cast("long").alias("page_id"), (t.node_id % page).alias("slot"))):
+        got = trees.build_pages(df, strategy, 8, lambda *what: said.append(what)).collect()
+        assert {r.node_id for r in got} == set(range(40)) and len({(r.page_id, r.slot) for r in got}) == 40 and max(r.slot for r in got) < 8
+    assert [s[0] for s in said] == ["start", "pages"] * 3
