@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import numbered, staged
+from .staging import numbered, small_side, staged
 
 PAGE = 64
 
@@ -190,3 +190,30 @@ def build_pages(tree: DataFrame, strategy: str, page: int = PAGE, progress=None)
     out = staged(builder(tree, page), "pages")
     progress("pages", out.agg(F.max("page_id")).first()[0])
     return out
+
+
+def median_cells(points: DataFrame, leaf: int = 64, deepest: int = 40) -> DataFrame:
+    """(fid, x, y, z, cell, n): the top-down hierarchy over points, as the path of 0 and 1 to each point's leaf.
+
+    A cell of more than ``leaf`` points is divided at the median along its widest axis (the first of
+    equals), the smaller half of an odd number below. All cells of a level are divided at once, by
+    one numbering of the points in the order of (cell, coordinate, id).
+    """
+    rows = staged(points.select("fid", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.lit("").alias("cell")), "cells")
+    done = None
+    for _ in range(deepest):
+        ends = rows.groupBy("cell").agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(f"w{c}") for c in "xyz"))
+        axis = F.when((F.col("wx") >= F.col("wy")) & (F.col("wx") >= F.col("wz")), "x").when(F.col("wy") >= F.col("wz"), "y").otherwise("z")
+        met = rows.join(small_side(ends.select("cell", "n", axis.alias("axis"))), "cell")
+        leaves = met.where(F.col("n") <= leaf).select("fid", "x", "y", "z", "cell", "n")
+        done = leaves if done is None else done.unionByName(leaves)
+        large = met.where(F.col("n") > leaf)
+        along = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
+        placed = numbered(large.withColumn("along", along), ["cell", "along", "fid"])
+        first = placed.groupBy("cell").agg(F.min("number").alias("first"))
+        side = F.when(F.col("number") - F.col("first") < F.floor(F.col("n") / 2), "0").otherwise("1")
+        rows = staged(placed.join(small_side(first), "cell").select("fid", "x", "y", "z", F.concat("cell", side).alias("cell")), "cells")
+        if not rows.limit(1).count():
+            return done
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    return done.unionByName(rows.join(sizes, "cell").select("fid", "x", "y", "z", "cell", "n"))

@@ -179,3 +179,21 @@ def tile_tree(spark, sf):
     p = points(spark, sf)
     tiles = p.select(F.floor((F.col("lon") + 180) / 45.1).alias("i"), F.floor((F.col("lat") + 90) / 22.6).alias("j"))
     return trees.tile_tree(tiles, 4)
+
+
+def _median_sql(levels: int) -> str:
+    """Cells of ``levels`` levels of splits at the median of the widest axis."""
+    out = "c0 as (select fid, lon as x, lat as y, h as z, '' as cell from pts)"
+    for k in range(levels):
+        out += f""", w{k} as (select cell, count(*) as n, max(x) - min(x) as wx, max(y) - min(y) as wy, max(z) - min(z) as wz from c{k} group by 1),
+a{k} as (select c.*, n, case when wx >= wy and wx >= wz then x when wy >= wz then y else z end as along from c{k} c join w{k} using (cell)),
+r{k} as (select *, row_number() over (partition by cell order by along, fid) as k from a{k}),
+c{k + 1} as (select fid, x, y, z, case when n <= 64 then cell || '.' when k <= n // 2 then cell || '0' else cell || '1' end as cell from r{k} where not contains(cell, '.') union all select fid, x, y, z, cell from r{k} where contains(cell, '.'))"""
+    return out
+
+
+@query("with " + PTS + ", " + _median_sql(4) + ", f as (select fid, replace(cell, '.', '') as cell from c4) select fid, cell, count(*) over (partition by cell) as n from f")
+def median_cells(spark, sf):
+    """Four levels of the hierarchy over all points."""
+    p = points(spark, sf).select("fid", F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("h").alias("z"))
+    return trees.median_cells(p, 64, 4).select("fid", "cell", "n")
