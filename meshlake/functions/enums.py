@@ -16,10 +16,6 @@ NAMES = {
         "String", "Date", "GlobalID", "GUID",
     ),
     "domain_type": ("codedValue", "range"),
-    "esri_field_type": (
-        "esriFieldTypeDate", "esriFieldTypeSingle", "esriFieldTypeDouble", "esriFieldTypeGUID", "esriFieldTypeGlobalID",
-        "esriFieldTypeInteger", "esriFieldTypeOID", "esriFieldTypeSmallInteger", "esriFieldTypeString", "esriFieldTypeXML",
-    ),
     "key_value_encoding_type": ("SeparatedKeyValues",),
     "legacy_topology": ("PerAttributeArray",),
     "vertex_attrib_ordering": ("position", "normal", "uv0", "color", "region"),
@@ -73,7 +69,6 @@ NAMES = {
 
 # Other spellings that are read.
 ALIASES = {
-    "esri_field_type": {"FieldTypeInteger": "esriFieldTypeInteger"},
     "geometry_header_property": {"faceCount": "featureCount"},
     "mesh_topology": {"triangle": "triangles"},
     "attrib_ordering": {"objectIds": "ObjectIds"},
