@@ -56,11 +56,11 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def non_finite(value: Column) -> Column:
+def non_finite(value: Column, kind: Column | None = None) -> Column:
     """A number, or one of the texts for what is not finite; any other text is not a number."""
     text = F.try_variant_get(value, "$", "string")
     special = F.when(text == "+inf", float("inf")).when(text == "-inf", float("-inf")).otherwise(float("nan"))
-    return F.when(kind_of(value) == "string", special).otherwise(F.try_variant_get(value, "$", "double"))
+    return F.when((kind_of(value) if kind is None else kind) == "string", special).otherwise(F.try_variant_get(value, "$", "double"))
 
 
 def number_text(x: Column) -> Column:
@@ -68,31 +68,26 @@ def number_text(x: Column) -> Column:
     return F.when(F.isnan(x), '"nan"').when(x == float("inf"), '"+inf"').when(x == float("-inf"), '"-inf"').otherwise(F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6))
 
 
-def _read(field: Field) -> tuple:
-    """(value, issue) of a field as functions of its variant, which is not null."""
+def _value(field: Field, v: Column, kind: Column) -> Column:
+    """The field's value from its variant, which is not null; null where it can't be had."""
+    if field.kind == "number":
+        return F.when(kind.isin("int", "double", "string"), non_finite(v, kind))
+    if field.kind == "dynamic":
+        simple = kind.isin("bool", "int", "double", "string")
+        return F.when(simple, F.struct(kind.alias("kind"), F.try_variant_get(v, "$", "string").alias("value")))
+    if field.kind.startswith("enum:"):
+        return enums.canonical(F.when(kind == "string", F.try_variant_get(v, "$", "string")), field.kind[5:])
+    return F.try_variant_get(v, "$", field.kind)
 
-    def value(v: Column) -> Column:
-        if field.kind == "number":
-            return F.when(kind_of(v).isin("int", "double", "string"), non_finite(v))
-        if field.kind == "dynamic":
-            simple = kind_of(v).isin("bool", "int", "double", "string")
-            return F.when(simple, F.struct(kind_of(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("value")))
-        if field.kind.startswith("enum:"):
-            return enums.canonical(F.when(kind_of(v) == "string", F.try_variant_get(v, "$", "string")), field.kind[5:])
-        out = F.try_variant_get(v, "$", field.kind)
-        return F.when(F.size(out) <= field.most, out) if field.most is not None else out
 
-    def issue(v: Column) -> Column:
-        bad = F.when(value(v).isNull(), "not convertible")
-        if field.kind == "dynamic":
-            return F.when(kind_of(v) == "array", "unexpected array").when(kind_of(v) == "object", "unexpected object")
-        if field.kind.startswith("enum:"):
-            return F.when(kind_of(v) != "string", "not convertible").when(value(v).isNull(), "unknown name")
-        if field.most is not None:
-            return F.when(F.try_variant_get(v, "$", field.kind).isNull(), "not convertible").when(value(v).isNull(), "too many values")
-        return bad
-
-    return value, issue
+def _wrong(field: Field, kind: Column, value: Column) -> Column:
+    """What is wrong with a value that is there, or null."""
+    if field.kind == "dynamic":
+        return F.when(kind == "array", "unexpected array").when(kind == "object", "unexpected object")
+    if field.kind.startswith("enum:"):
+        return F.when(kind != "string", "not convertible").when(value.isNull(), "unknown name")
+    code = F.when(value.isNull(), "not convertible")
+    return code.when(F.size(value) > field.most, "too many values") if field.most is not None else code
 
 
 def read_typed(df: DataFrame, column: str, fields: list[Field]) -> DataFrame:
@@ -100,23 +95,30 @@ def read_typed(df: DataFrame, column: str, fields: list[Field]) -> DataFrame:
     parsed = df.select("*", F.try_parse_json(column).alias("_document"))
     values, issues = [], []
     for f in fields:
-        value, issue = _read(f)
         kind = {"number": "double", "dynamic": DYNAMIC}.get(f.kind, "string" if f.kind.startswith("enum:") else f.kind)
-        # A JSON null is a variant of its own; it counts as missing.
-        found = F.try_variant_get("_document", f"$.{f.path}", "variant")
         default = F.lit(f.default).cast(kind)
         lost = F.struct(F.lit(f.path).alias("path"), F.lit("missing").alias("code")) if f.required else F.lit(None).cast("struct<path:string,code:string>")
 
-        def outcome(v: Column, f=f, value=value, issue=issue, kind=kind, default=default, lost=lost) -> Column:
-            wrong = let(issue(v), lambda code: F.when(code.isNotNull(), F.struct(F.lit(f.path).alias("path"), code.alias("code"))))
-            there = ~(v.isNull() | (kind_of(v) == "null"))
+        # A JSON null is a variant of its own; it counts as missing. Each step is computed once.
+        def with_kind(v: Column) -> Column:
+            return F.struct(v.alias("v"), kind_of(v).alias("kind"))
+
+        def with_value(t: Column, f=f) -> Column:
+            there = t["kind"] != "null"
+            return F.struct(there.alias("there"), t["kind"].alias("kind"), F.when(there, _value(f, t["v"], t["kind"])).alias("value"))
+
+        def with_code(t: Column, f=f) -> Column:
+            return F.struct(t["there"].alias("there"), t["value"].alias("value"), F.when(t["there"], _wrong(f, t["kind"], t["value"])).alias("code"))
+
+        def outcome(t: Column, f=f, kind=kind, default=default, lost=lost) -> Column:
             whole = F.col("_document").isNotNull()
-            return F.struct(
-                F.when(there, value(v)).otherwise(F.when(whole, default)).cast(kind).alias("value"),
-                F.when(there, wrong).otherwise(F.when(whole, lost)).alias("issue"),
-            )
+            value = F.when(t["there"], F.when(t["code"] == "too many values", F.lit(None)).otherwise(t["value"])).otherwise(F.when(whole, default))
+            issue = F.when(t["code"].isNotNull(), F.struct(F.lit(f.path).alias("path"), t["code"].alias("code")))
+            return F.struct(value.cast(kind).alias("value"), F.when(t["there"], issue).otherwise(F.when(whole, lost)).alias("issue"))
 
-        read = let(found, outcome)
+        read = F.try_variant_get("_document", f"$.{f.path}", "variant")
+        for step in (with_kind, with_value, with_code, outcome):
+            read = let(read, step)
         parsed = parsed.withColumn(f"_{f.name}", read)
         values.append(F.col(f"_{f.name}.value").alias(f.name))
         issues.append(F.col(f"_{f.name}.issue"))
