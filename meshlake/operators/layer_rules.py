@@ -23,7 +23,7 @@ def _broken(df: DataFrame, keys: list[str], rules: list[tuple[str, str, Column,
         for severity, path, applies, right in rules
     ]
     found = F.filter(F.array(*each), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(found).alias("i")).select(*keys, "i.severity", "i.path")
+    return df.select(*keys, F.explode_outer(found).alias("i")).where("i is not null").select(*keys, "i.severity", "i.path")
 
 
 def geometry_schema_issues(schemas: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import enums
-from ..functions.geometry import let
 
 #: Types of a dynamic value; lists and objects are none of them.
 DYNAMIC = "struct<kind:string,value:string>"
@@ -41,14 +40,12 @@ class Field:
         return self.path.replace(".", "_")
 
 
-def kind_of(value: Column) -> Column:
-    """``bool``, ``int``, ``double``, ``string``, ``array``, ``object`` or ``null`` of a variant."""
-    s = F.schema_of_variant(value)
+def kind_of_schema(s: Column) -> Column:
+    """``bool``, ``int``, ``double``, ``string``, ``array``, ``object`` or ``null``, by the schema of a variant; null schema: ``null``."""
     return (
-        F.when(value.isNull() | (s == "VOID"), "null")
+        F.when(s.isNull() | (s == "VOID"), "null")
         .when(s == "BOOLEAN", "bool")
-        .when(s == "BIGINT", "int")
-        .when(s.startswith("DECIMAL") & s.endswith(",0)"), "int")
+        .when((s == "BIGINT") | (s.startswith("DECIMAL") & s.endswith(",0)")), "int")
         .when((s == "DOUBLE") | s.startswith("DECIMAL"), "double")
         .when(s == "STRING", "string")
         .when(s.startswith("ARRAY"), "array")
@@ -56,6 +53,11 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def kind_of(value: Column) -> Column:
+    """The kind of a variant; ``null`` for nothing."""
+    return kind_of_schema(F.schema_of_variant(value))
+
+
 def non_finite(value: Column, kind: Column | None = None) -> Column:
     """A number, or one of the texts for what is not finite; any other text is not a number."""
     text = F.try_variant_get(value, "$", "string")
@@ -92,36 +94,25 @@ def _wrong(field: Field, kind: Column, value: Column) -> Column:
 
 def read_typed(df: DataFrame, column: str, fields: list[Field]) -> DataFrame:
     """``df`` with a column per field (its path with underscores) and ``issues``, an array of (path, code) in the fields' order."""
-    parsed = df.select("*", F.try_parse_json(column).alias("_document"))
+    # Each step is a projection of its own, so that nothing is computed twice.
+    names = [f.name for f in fields]
+    whole = F.col("_document").isNotNull()
+    rows = df.select(F.struct("*").alias("_row"), F.try_parse_json(column).alias("_document"))
+    # A JSON null is a variant of its own; its kind is null like that of a missing field.
+    rows = rows.withColumns({f"_v_{f.name}": F.try_variant_get("_document", f"$.{f.path}", "variant") for f in fields})
+    rows = rows.withColumns({f"_s_{n}": F.schema_of_variant(f"_v_{n}") for n in names})
+    rows = rows.withColumns({f"_k_{n}": kind_of_schema(F.col(f"_s_{n}")) for n in names})
+    rows = rows.withColumns({f"_x_{f.name}": F.when(F.col(f"_k_{f.name}") != "null", _value(f, F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"))) for f in fields})
+    rows = rows.withColumns({f"_c_{f.name}": F.when(F.col(f"_k_{f.name}") != "null", _wrong(f, F.col(f"_k_{f.name}"), F.col(f"_x_{f.name}"))) for f in fields})
     values, issues = [], []
     for f in fields:
         kind = {"number": "double", "dynamic": DYNAMIC}.get(f.kind, "string" if f.kind.startswith("enum:") else f.kind)
-        default = F.lit(f.default).cast(kind)
-        lost = F.struct(F.lit(f.path).alias("path"), F.lit("missing").alias("code")) if f.required else F.lit(None).cast("struct<path:string,code:string>")
-
-        # A JSON null is a variant of its own; it counts as missing. Each step is computed once.
-        def with_kind(v: Column) -> Column:
-            return F.struct(v.alias("v"), kind_of(v).alias("kind"))
-
-        def with_value(t: Column, f=f) -> Column:
-            there = t["kind"] != "null"
-            return F.struct(there.alias("there"), t["kind"].alias("kind"), F.when(there, _value(f, t["v"], t["kind"])).alias("value"))
-
-        def with_code(t: Column, f=f) -> Column:
-            return F.struct(t["there"].alias("there"), t["value"].alias("value"), F.when(t["there"], _wrong(f, t["kind"], t["value"])).alias("code"))
-
-        def outcome(t: Column, f=f, kind=kind, default=default, lost=lost) -> Column:
-            whole = F.col("_document").isNotNull()
-            value = F.when(t["there"], F.when(t["code"] == "too many values", F.lit(None)).otherwise(t["value"])).otherwise(F.when(whole, default))
-            issue = F.when(t["code"].isNotNull(), F.struct(F.lit(f.path).alias("path"), t["code"].alias("code")))
-            return F.struct(value.cast(kind).alias("value"), F.when(t["there"], issue).otherwise(F.when(whole, lost)).alias("issue"))
-
-        read = F.try_variant_get("_document", f"$.{f.path}", "variant")
-        for step in (with_kind, with_value, with_code, outcome):
-            read = let(read, step)
-        parsed = parsed.withColumn(f"_{f.name}", read)
-        values.append(F.col(f"_{f.name}.value").alias(f.name))
-        issues.append(F.col(f"_{f.name}.issue"))
+        there, code = F.col(f"_k_{f.name}") != "null", F.col(f"_c_{f.name}")
+        kept = F.when(~F.coalesce(code == "too many values", F.lit(False)), F.col(f"_x_{f.name}"))
+        values.append(F.when(there, kept).otherwise(F.when(whole, F.lit(f.default).cast(kind))).cast(kind).alias(f.name))
+        lost = F.when(whole, F.lit("missing")) if f.required else F.lit(None).cast("string")
+        code = F.when(there, code).otherwise(lost)
+        issues.append(F.when(code.isNotNull(), F.struct(F.lit(f.path).alias("path"), code.alias("code"))))
     malformed = F.array(F.struct(F.lit("").alias("path"), F.lit("malformed").alias("code")))
-    listed = F.when(F.col("_document").isNull(), malformed).otherwise(F.filter(F.array(*issues), lambda i: i.isNotNull()))
-    return parsed.select(*df.columns, *values, listed.alias("issues"))
+    listed = F.when(~whole, malformed).otherwise(F.filter(F.array(*issues), lambda i: i.isNotNull()))
+    return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns), *values, listed.alias("issues"))
