@@ -32,12 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def shared_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def shared_table(df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, any executor may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(schema).parquet(path)
 
 

