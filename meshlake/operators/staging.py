@@ -56,3 +56,15 @@ def numbered(df: DataFrame, keys: list[str], name: str = "number", partitions: i
     rows = ranged(df, keys, partitions)
     placed = rows.join(F.broadcast(range_offsets(rows, F.count("*"))), "_range")
     return placed.withColumn(name, F.col("_offset") + F.col("_row")).drop("_range", "_row", "_offset")
+
+
+def running_totals(df: DataFrame, keys: list[str], totals: dict[str, str]) -> DataFrame:
+    """Adds sums over all rows before each in the order of ``keys``: ``totals`` has name -> column. No task sorts more than a range."""
+    rows = ranged(df, keys)
+    before = Window.partitionBy("_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in totals.items()))
+    offsets = per.select("_range", *(F.coalesce(F.sum(f"_{name}").over(ranges), F.lit(0)).alias(f"_{name}") for name in totals))
+    out = rows.join(F.broadcast(offsets), "_range")
+    out = out.withColumns({name: F.col(f"_{name}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in totals.items()})
+    return out.drop("_range", "_row", *(f"_{name}" for name in totals))

@@ -106,54 +106,6 @@ def dive_statistics(paged: DataFrame) -> DataFrame:
     return pages.agg(F.avg("depth").alias("avg_leaf_depth"), F.avg("pages").alias("avg_pages"), F.count("*").alias("n_leaves"))
 
 
-def _pushed(key, rank):
-    """A node's place in best-first order, from its parent's: the ranks that are largest of all that follow them on the way down.
-
-    Best first, a node comes when the largest rank on its way has come, then when the largest rank
-    after that has, and so on: these ranks, compared in turn, order all nodes.
-    """
-    return F.array_append(F.filter(key, lambda r: r > rank), rank)
-
-
-def local_subtree_pages(tree: DataFrame, root_of: str, priority: str, page: int = PAGE) -> DataFrame:
-    """(node_id, root_of, page_id, slot): pages that keep subtrees together, numbered within each tree ``root_of``.
-
-    A page starts at the pending node of largest priority (of equal ones the smallest id) and takes
-    nodes below it, largest priority first, until it is full; children that found no room start
-    pages of their own. All pages whose start is known grow at once, level by level: a page keeps
-    the ``page`` first of its nodes and of their children, a top-k that is cut before the shuffle.
-    Trees of any size and nodes with any number of children are spread over tasks.
-    """
-    rank = F.struct((-F.col(priority)).cast("double").alias("p"), F.col("node_id").alias("id"))
-    nodes = staged(tree.select("node_id", "parent_id", root_of, rank.alias("rank")), "ranked-nodes")
-    starts = nodes.join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti")
-    starts = starts.select(root_of, F.col("node_id").alias("start"), F.array("rank").alias("order"))
-    kids = nodes.select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id"), F.col("rank").alias("child_rank"))
-    first = Window.partitionBy("start").orderBy("key")
-    pages, placed = None, None
-    while True:
-        starts = staged(starts, "page-starts")
-        if not starts.limit(1).count():
-            break
-        pages = starts if pages is None else pages.unionByName(starts)
-        none = F.filter(F.col("order"), lambda r: F.lit(False))
-        own = staged(starts.select("start", F.col("start").alias("node_id"), none.alias("key"), F.lit(True).alias("new")), "page-nodes")
-        while own.where("new").limit(1).count():
-            below = own.where("new").join(kids, "node_id").select("start", F.col("child").alias("node_id"), _pushed(F.col("key"), F.col("child_rank")).alias("key"), F.lit(True).alias("new"))
-            both = own.withColumn("new", F.lit(False)).unionByName(below).withColumn("k", F.row_number().over(first))
-            own = staged(both.where(F.col("k") <= page).drop("k"), "page-nodes")
-        slots = staged(own.select("start", "node_id", (F.row_number().over(first) - 1).cast("long").alias("slot")), "page-slots")
-        placed = slots if placed is None else placed.unionByName(slots)
-        left = slots.join(kids, "node_id").join(slots.select(F.col("node_id").alias("child")), "child", "left_anti")
-        starts = left.join(starts, "start").select(root_of, F.col("child").alias("start"), _pushed(F.col("order"), F.col("child_rank")).alias("order"))
-    if pages is None:
-        return nodes.select("node_id", root_of, F.lit(0).cast("long").alias("page_id"), F.lit(0).cast("long").alias("slot"))
-    in_order = numbered(pages, [root_of, "order"])
-    zero = in_order.groupBy(root_of).agg(F.min("number").alias("zero"))
-    ids = in_order.join(zero, root_of).select(root_of, "start", (F.col("number") - F.col("zero")).alias("page_id"))
-    return placed.join(ids, "start").select("node_id", root_of, "page_id", "slot")
-
-
 def tile_tree(tiles: DataFrame, levels: int) -> DataFrame:
     """(level, i, j, n_children, p_level, p_i, p_j): the quadtree over tiles (i, j) of the finest of ``levels`` levels.
 
@@ -171,27 +123,6 @@ def tile_tree(tiles: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-#: Ways to deal nodes into pages: a function of (tree, page) that gives (node_id, page_id, slot).
-PAGE_BUILDERS = {
-    "breadth_first": lambda tree, page: breadth_first_pages(tree, page).select("node_id", F.col("page_id").cast("long").alias("page_id"), F.col("slot").cast("long").alias("slot")),
-    "local_subtree": lambda tree, page: local_subtree_pages(tree.withColumn("_tree", F.lit(0)), "_tree", "priority", page).drop("_tree"),
-}
-
-
-def build_pages(tree: DataFrame, strategy: str, page: int = PAGE, progress=None) -> DataFrame:
-    """Pages by one of ``PAGE_BUILDERS``, or by a builder of the caller's with the same signature.
-
-    ``progress`` is called with the strategy before and with the number of pages after.
-    """
-    builder = PAGE_BUILDERS[strategy] if isinstance(strategy, str) else strategy
-    if progress is None:
-        return builder(tree, page)
-    progress("start", strategy)
-    out = staged(builder(tree, page), "pages")
-    progress("pages", out.agg(F.max("page_id")).first()[0])
-    return out
-
-
 def median_cells(points: DataFrame, leaf: int = 64, deepest: int = 40) -> DataFrame:
     """(fid, x, y, z, cell, n): the top-down hierarchy over points, as the path of 0 and 1 to each point's leaf.
 

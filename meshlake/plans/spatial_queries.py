@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import envelopes as env
-from ..operators import trees
+from ..operators import pages, trees
 from .inputs import BOXES, PTS, TREE, boxes, points, table, tree
 from .registry import query
 
@@ -129,29 +129,45 @@ def tree_dive_statistics(spark, sf):
     return out.select(F.round("avg_leaf_depth", 6).alias("avg_leaf_depth"), F.round("avg_pages", 6).alias("avg_pages"), "n_leaves")
 
 
-@query("with " + TREE + "select r.node_id as region, cast(count(*) as bigint) as n, true as pages_fit, true as whole from tree r join tree n on n.parent_id = r.node_id join tree c on c.parent_id = n.node_id where r.depth = 1 group by 1")
+# Regions come before nations and nations before customers if no node's priority exceeds its parent's: then the
+# first page is the first 64 in the order of (depth, priority of the parent, last child first).
+_PAGED = "with " + TREE + """, q as (select *, node_id * 7919 % 1009 + 2000 * (3 - depth) as priority from tree),
+o as (select q.*, p.priority as above, p.ordinal as p_ordinal, g.ordinal as g_ordinal, row_number() over (order by q.depth, p.priority desc, q.ordinal desc) - 1 as first_slot from q left join q p on q.parent_id = p.node_id left join q g on p.parent_id = g.node_id),
+top as (select node_id, 0 as page_id, first_slot as slot from o where first_slot < 64),
+"""
+_REMAINDER = """rest as (select o.node_id, row_number() over (order by g_ordinal, p_ordinal, ordinal) - 1 as i from o where node_id not in (select node_id from top) {and_not})
+select node_id, 0::int as tree, page_id::bigint as page_id, slot::bigint as slot from top union all {more} select node_id, 0::int, ({pages} + i // 64)::bigint, (i % 64)::bigint from rest"""
+
+
+def _prioritised(spark, sf):
+    """The whole tree with a priority that falls from level to level, as radii do."""
+    return tree(spark, sf).withColumns({"priority": (F.col("node_id") * 7919 % 1009 + 2000 * (3 - F.col("depth"))).cast("double"), "tree": F.lit(0)})
+
+
+@query(_PAGED + _REMAINDER.format(and_not="", more="", pages=1))
 def tree_local_pages(spark, sf):
-    """Pages by locality, one tree per region: no page is over its size and every slot is used once."""
-    t = tree(spark, sf)
-    nations = t.where("depth = 2").select("node_id", "parent_id", F.col("parent_id").alias("region"))
-    customers = t.where("depth = 3").join(nations.select(F.col("node_id").alias("parent_id"), "region"), "parent_id").select("node_id", "parent_id", "region")
-    both = nations.unionByName(customers).withColumn("priority", (F.col("node_id") * 7919 % 1009).cast("double"))
-    paged = trees.local_subtree_pages(both, "region", "priority", 64)
-    per = paged.groupBy("region", "page_id").agg(F.count("*").alias("k"), F.countDistinct("slot").alias("s"), F.max("slot").alias("m"))
-    n_nations = nations.groupBy("region").agg(F.count("*").alias("nations"))
-    out = per.groupBy("region").agg(F.sum("k").alias("k"), F.bool_and(F.col("k") <= 64).alias("pages_fit"), F.bool_and((F.col("s") == F.col("k")) & (F.col("m") == F.col("k") - 1)).alias("whole"))
-    return out.join(n_nations, "region").select("region", (F.col("k") - F.col("nations")).alias("n"), "pages_fit", "whole")
-
-
-@query("with " + TREE + """, c as (select node_id, parent_id, row_number() over (partition by parent_id order by node_id * 7919 % 1009 desc, node_id) as k from tree where depth = 3),
-p as (select node_id, case when k <= 63 then parent_id else node_id end as start, case when k <= 63 then k else 0 end as slot from c union all select node_id, node_id, 0 from tree where depth = 2)
-select node_id, start, slot::bigint as slot from p""")
-def tree_local_page_slots(spark, sf):
-    """Every node's page, named by the node that starts it, and its slot: a nation's page has its 63 foremost customers, the others stand alone."""
-    t = tree(spark, sf).where("depth >= 2").select("node_id", "parent_id", F.lit(0).alias("tree"), (F.col("node_id") * 7919 % 1009).cast("double").alias("priority"))
-    paged = trees.local_subtree_pages(t, "tree", "priority", 64)
-    starts = paged.where("slot = 0").select("page_id", F.col("node_id").alias("start"))
-    return paged.join(starts, "page_id").select("node_id", "start", "slot")
+    """Page and slot of every node: the root's page, then customers in post-order, all pages full but the last."""
+    return pages.local_subtree_pages(_prioritised(spark, sf), "tree", "priority", 64)
+
+
+@query(_PAGED + """kid as (select o.node_id, o.parent_id, above, row_number() over (partition by o.parent_id order by ordinal) - 1 as up, count(*) over (partition by o.parent_id) as n from o where depth = 3 and node_id not in (select node_id from top)),
+cut as (select *, n - 1 - up as down, n // 64 as whole from kid),
+dealt as (select *, case when up // 64 < (whole + 1) // 2 then 2 * (up // 64) when down // 64 < whole // 2 then 2 * (down // 64) + 1 end as wave, case when up // 64 < (whole + 1) // 2 then up % 64 else down % 64 end as slot from cut),
+start as (select wave, parent_id, row_number() over (order by wave, any_value(above) desc) as page_id from dealt where wave is not null group by wave, parent_id),
+""" + _REMAINDER.format(and_not="and node_id not in (select node_id from dealt where wave is not null)", more="select node_id, 0::int, page_id::bigint, slot::bigint from dealt join start using (wave, parent_id) union all", pages="(select 1 + count(*) from start)"))
+def tree_sibling_pages(spark, sf):
+    """Page and slot of every node where all customers that are left of a nation start pages together."""
+    return pages.local_subtree_pages(_prioritised(spark, sf), "tree", "priority", 64, None)
+
+
+@query("with recursive " + TREE + """, w as (select node_id, parent_id, depth, ordinal, [ordinal] as path from tree where depth = 0 union all select t.node_id, t.parent_id, t.depth, t.ordinal, list_append(w.path, t.ordinal) from w join tree t on t.parent_id = w.node_id),
+up as (select node_id as leaf, node_id, parent_id from tree union all select u.leaf, t.node_id, t.parent_id from up u join tree t on u.parent_id = t.node_id),
+size as (select node_id, count(*) as size from up group by 1),
+leaves as (select node_id, row_number() over (order by path) - 1 as pre from w)
+select w.node_id, size, (count(*) over (partition by w.parent_id) - row_number() over (partition by w.parent_id order by ordinal))::bigint as behind, (pre + size - 1 - depth)::bigint as post from w join size using (node_id) join leaves using (node_id)""")
+def tree_post_order(spark, sf):
+    """A node's place in pre-order, the size of its subtree and its depth give its place in post-order."""
+    return pages.post_order(_prioritised(spark, sf), "tree").select("node_id", "size", "behind", "post")
 
 
 @query("with " + TREE + ", l as (select parent_id as node_id, case when node_id % 3 = 0 then -1 else node_id end as child_id from tree where parent_id is not null) select node_id, child_id from l where child_id <> -1")

@@ -1,59 +1,109 @@
-"""Pages of local subtrees against a plain heap, on random trees."""
+"""Pages that keep subtrees together, and post-order numbers, against plain walks over random trees."""
 
 from __future__ import annotations
 
-import heapq
 import random
+from collections import deque
 
 import pytest
 
-from meshlake.operators import trees
+from meshlake.operators import pages, trees
 
+TREE = "node_id long, parent_id long, ordinal long, depth int, tree int, priority double"
 
-def plain_pages(rows, page):
-    """node -> (page, slot) by one heap per page; rows are (node, parent, tree, priority)."""
+
+def random_trees(rng, n, trees_=3, roots=1, chain=0.0, kinds=12):
+    rows = []
+    for tree in range(trees_):
+        ids, depth = [], {}
+        for k in range(n):
+            node = tree * 100_000 + k
+            parent = None if k < roots else ids[-1] if rng.random() < chain else rng.choice(ids[: 1 + int(len(ids) * rng.random() ** 2)])
+            depth[node] = 0 if parent is None else depth[parent] + 1
+            rows.append((node, parent, rng.randrange(5), depth[node], tree, float(rng.randrange(kinds))))
+            ids.append(node)
+    return rows
+
+
+def families(rows):
+    kids = {}
+    for node, parent, ordinal, *_ in rows:
+        kids.setdefault(parent, []).append((ordinal, node))
+    return {p: [n for _, n in sorted(k)] for p, k in kids.items()}
+
+
+def walk(kids, node):
+    for k in kids.get(node, ()):
+        yield from walk(kids, k)
+    yield node
+
+
+def plain_pages(rows, page, siblings):
+    """node -> (page, slot), one page after another."""
     out = {}
-    for tree in {r[2] for r in rows}:
-        own = [r for r in rows if r[2] == tree]
-        ids = {r[0] for r in own}
-        rank = {n: (-p, n) for n, _, _, p in own}
-        kids = {}
-        for n, parent, _, _ in own:
-            kids.setdefault(parent if parent in ids else None, []).append(n)
-        pending = sorted(rank[n] for n in kids.get(None, []))
-        number = 0
-        while pending:
-            front, slot = [heapq.heappop(pending)], 0
-            while front and slot < page:
-                node = heapq.heappop(front)[1]
+    for tree in {r[4] for r in rows}:
+        own = [r for r in rows if r[4] == tree]
+        kids, priority = families(own), {r[0]: r[5] for r in own}
+        size = {r[0]: sum(1 for _ in walk(kids, r[0])) for r in own}
+        full = min(page, len(own))
+        starts, number = deque([root] for root in kids.get(None, [])), 0
+        while starts:
+            start = starts.popleft()
+            if sum(size[n] for n in start) < full:
+                continue
+            open_ = [(float("inf"), 0, start)]  # each family's last member is the next
+            for slot in range(full):
+                open_ = sorted((f for f in open_ if f[2]), key=lambda f: f[:2])
+                if not open_:
+                    break
+                node = open_[-1][2].pop()
                 out[node] = (number, slot)
-                slot += 1
-                for k in kids.get(node, ()):
-                    heapq.heappush(front, rank[k])
-            for item in front:
-                heapq.heappush(pending, item)
+                if kids.get(node):
+                    open_.append((priority[node], slot + 1, list(kids[node])))
             number += 1
+            for *_, left in sorted(open_, key=lambda f: f[:2], reverse=True):
+                while left:
+                    k = min(siblings or len(left), len(left))
+                    starts.append(left[: -k - 1 : -1])
+                    left = left[:-k]
+        rest = [n for root in kids.get(None, []) for n in walk(kids, root) if n not in out]
+        out |= {n: (number + i // page, i % page) for i, n in enumerate(rest)}
     return out
 
 
-@pytest.mark.parametrize("page", [3, 8])
-def test_local_subtree_pages(spark, page):
-    rng = random.Random(page)
-    rows = []
+@pytest.mark.parametrize("page,siblings,roots,chain", [(4, 1, 1, 0.1), (8, None, 3, 0.0), (4, 9, 1, 0.0), (200, 1, 1, 0.0)])
+def test_local_subtree_pages(spark, page, siblings, roots, chain):
+    rng = random.Random(page * 31 + (siblings or 0))
+    rows = random_trees(rng, 80, roots=roots, chain=chain)
+    # One family much larger than a page, of leaves and of small subtrees.
+    rows += [(900_000 + i, 0, 7, 1, 0, 1.0) for i in range(70)] + [(950_000 + i, 900_000 + i // 3, i % 3, 2, 0, 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, TREE).repartition(5)
+    got = {r.node_id: (r.page_id, r.slot) for r in pages.local_subtree_pages(df, "tree", "priority", page, siblings).collect()}
+    assert got == plain_pages(rows, page, siblings)
+    if roots == 1:  # all pages but the last of each tree are full
+        for tree in range(3):
+            sizes = {}
+            for n, (p, _) in got.items():
+                if {r[0]: r[4] for r in rows}[n] == tree:
+                    sizes[p] = sizes.get(p, 0) + 1
+            assert all(sizes[p] == page for p in range(max(sizes)))
+
+
+def test_post_order(spark):
+    rows = random_trees(random.Random(5), 200, roots=3)
+    kids = families(rows)
+    got = {r.node_id: r for r in pages.post_order(spark.createDataFrame(rows, TREE), "tree").collect()}
     for tree in range(3):
-        ids = []
-        for _ in range(60):
-            node = tree * 1000 + len(ids)
-            rows.append((node, rng.choice(ids) if ids and rng.random() < 0.97 else None, tree, float(rng.randrange(12))))
-            ids.append(node)
-    df = spark.createDataFrame(rows, "node_id long, parent_id long, tree int, priority double")
-    got = {r.node_id: (r.page_id, r.slot) for r in trees.local_subtree_pages(df, "tree", "priority", page).collect()}
-    assert got == plain_pages(rows, page)
+        want = [n for root in kids[None] if root // 100_000 == tree for n in walk(kids, root)]
+        assert [got[n].post for n in want] == list(range(200))
+    assert all(got[n].size == sum(1 for _ in walk(kids, n)) for n in got)
+    assert all(got[n].behind == len(k) - 1 - i for p, k in kids.items() if p is not None for i, n in enumerate(k))
 
 
-def test_local_subtree_pages_of_nothing(spark):
-    df = spark.createDataFrame([], "node_id long, parent_id long, tree int, priority double")
-    assert trees.local_subtree_pages(df, "tree", "priority").count() == 0
+def test_pages_of_nothing(spark):
+    df = spark.createDataFrame([], TREE)
+    assert pages.local_subtree_pages(df, "tree", "priority").count() == 0
+    assert pages.post_order(df, "tree").count() == 0
 
 
 def test_page_builders(spark):
@@ -63,7 +113,8 @@ def test_page_builders(spark):
         depth[n] = depth[parent] + 1
     df = spark.createDataFrame([(n, p, o, depth[n], w) for n, p, o, _, w in rows], "node_id long, parent_id long, ordinal long, depth int, priority double")
     said = []
-    for strategy in (*trees.PAGE_BUILDERS, lambda t, page: t.select("node_id", (t.node_id / page).cast("long").alias("page_id"), (t.node_id % page).alias("slot"))):
-        got = trees.build_pages(df, strategy, 8, lambda *what: said.append(what)).collect()
+    for strategy in (*pages.PAGE_BUILDERS, lambda t, page: t.select("node_id", (t.node_id / page).cast("long").alias("page_id"), (t.node_id % page).alias("slot"))):
+        got = pages.build_pages(df, strategy, 8, lambda *what: said.append(what)).collect()
         assert {r.node_id for r in got} == set(range(40)) and len({(r.page_id, r.slot) for r in got}) == 40 and max(r.slot for r in got) < 8
-    assert [s[0] for s in said] == ["start", "pages"] * 3
+    assert [s[0] for s in said] == ["start", "pages"] * 4
+    assert trees.depth_of(df) == 3
