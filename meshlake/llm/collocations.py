@@ -1,12 +1,12 @@
 """Phrase collocation mining: phrases whose words come together far more often than apart.
 
 1. Texts become shards: bodies of one language, about ``SHARD`` bytes each, in which words stand
-   between single blanks and pieces between line ends. They are written once.
+   between single blanks and pieces between line ends. They are written once, packed.
 2. A sketch counts the phrases of one to four words of all shards: each phrase of a language is
    hashed to a cell, whose count is an upper bound of the phrase's. There is a cell for every
    ``LOAD`` phrases of the corpus, so the sketch grows with it, and it is never held in one place: a
-   shard sends its distinct cells to the ranges of cells they belong to (as differences, about two
-   bytes each), a range adds them up, and answers each shard with one bit a cell: whether the bound
+   shard sends its distinct cells to the ranges of cells they belong to (as differences, about a
+   byte each), a range adds them up, and answers each shard with one bit a cell: whether the bound
    reaches the least count.
 3. A shard's phrases whose bit is set are its candidates. They are compiled into an automaton
    with blanks around them, which can't match within a word, and the shard is scanned for all
@@ -45,16 +45,18 @@ TOP = 2000
 #: Bytes of a shard's body, about, and of all bodies that a task has open.
 SHARD = 2 << 20
 OPEN = 16 << 20
+#: Bytes of bodies that a scanning task counts together: what it shares is summed before the shuffle.
+SCAN_BYTES = 64 << 20
 #: Phrases of the corpus per cell, and cells of a range.
-LOAD = 4
+LOAD = 8
 RANGE_BITS = 23
 #: Parts into which each language's phrases are cut for the first of each part.
 SALTS = 64
 
-SHARDS = "shard long, lang string, n long, body binary"
-CELLS = "shard long, range long, cells binary, counts binary"
+SHARDS = "shard long, lang string, n long, size long, body binary"
+CELLS = "shard long, range long, n int, cells binary, counts binary"
 BITS = "shard long, range long, bits binary"
-COUNTS = "lang string, phrase string, words int, a long"
+COUNTS = "lang string, phrase string, a long"
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]+")
@@ -101,7 +103,7 @@ def shards_of(docs: DataFrame, size: int = SHARD) -> DataFrame:
             bytes_of.pop(lang)
             name += 1
             n = body.count(b" ") - body.count(b"\n")  # a piece has a blank more than words
-            return _batch([(name, lang, n, body)], schema)
+            return _batch([(name, lang, n, len(body), _packed(body))], schema)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -145,13 +147,21 @@ class Phrases:
         self.cells, self.one, self.of, self.counts = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
 
 
+def _packed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, size: int) -> bytes:
+    return pa.decompress(raw, size, codec="zstd", asbytes=True)
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers byte by byte, all lowest first: the upper bytes are mostly 0 and compress to nothing."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """32-bit numbers byte by byte, all lowest first: the upper bytes are mostly 0 and pack to nothing."""
+    return _packed(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(raw, 4 * n), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _cells_of(shards: DataFrame, cells: int, least: int, range_bits: int) -> DataFrame:
@@ -160,8 +170,8 @@ def _cells_of(shards: DataFrame, cells: int, least: int, range_bits: int) -> Dat
 
     def run(batches):
         for batch in batches:
-            for shard, lang, body in zip(*(batch.column(i) for i in range(3)), strict=True):
-                p = Phrases(lang.as_py(), body.as_py(), cells)
+            for shard, lang, size, body in zip(*(batch.column(i) for i in range(4)), strict=True):
+                p = Phrases(lang.as_py(), _unpacked(body.as_py(), size.as_py()), cells)
                 ranges = (p.cells >> np.uint64(range_bits)).astype(np.int64)
                 counts = np.minimum(p.counts, least).astype(np.uint8)
                 edges = np.r_[0, np.flatnonzero(np.diff(ranges)) + 1, len(ranges)]
@@ -169,10 +179,10 @@ def _cells_of(shards: DataFrame, cells: int, least: int, range_bits: int) -> Dat
                 for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                     if lo < hi:
                         at = (p.cells[lo:hi] & np.uint64((1 << range_bits) - 1)).astype(np.int64)
-                        rows.append((shard.as_py(), int(ranges[lo]), _planes(np.diff(at, prepend=0)), counts[lo:hi].tobytes()))
+                        rows.append((shard.as_py(), int(ranges[lo]), int(hi - lo), _planes(np.diff(at, prepend=0)), _packed(counts[lo:hi].tobytes())))
                 yield _batch(rows, schema)
 
-    return shards.select("shard", "lang", "body").mapInArrow(run, CELLS)
+    return shards.select("shard", "lang", "size", "body").mapInArrow(run, CELLS)
 
 
 def _bits_of(cells: DataFrame, least: int, range_bits: int) -> DataFrame:
@@ -181,13 +191,13 @@ def _bits_of(cells: DataFrame, least: int, range_bits: int) -> DataFrame:
 
     def run(key, table):
         total = np.zeros(1 << range_bits, np.uint8)
-        rows = list(zip(table["shard"].to_pylist(), table["cells"], table["counts"], strict=True))
-        for _, at, counts in rows:
-            at = np.cumsum(_from_planes(at.as_py()), dtype=np.int64)
-            total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(counts.as_py(), np.uint8), least)
+        rows = list(zip(table["shard"].to_pylist(), table["n"].to_pylist(), table["cells"], table["counts"], strict=True))
+        for _, n, at, counts in rows:
+            at = np.cumsum(_from_planes(at.as_py(), n), dtype=np.int64)
+            total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(_unpacked(counts.as_py(), n), np.uint8), least)
         out = []
-        for shard, at, _ in rows:
-            at = np.cumsum(_from_planes(at.as_py()), dtype=np.int64)
+        for shard, n, at, _ in rows:
+            at = np.cumsum(_from_planes(at.as_py(), n), dtype=np.int64)
             out.append((shard, key[0].as_py(), np.packbits(total[at] >= least).tobytes()))
         return pa.Table.from_batches([_batch(out, schema)], schema=schema)
 
@@ -200,15 +210,15 @@ def _scan(shards: DataFrame, cells: int, range_bits: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lang, body, bits in zip(*(batch.column(i) for i in range(3)), strict=True):
-                lang, body = lang.as_py(), body.as_py()
+            for lang, size, body, bits in zip(*(batch.column(i) for i in range(4)), strict=True):
+                lang, body = lang.as_py(), _unpacked(body.as_py(), size.as_py())
                 p = Phrases(lang, body, cells)
                 keep = np.zeros(len(p.cells), bool)
                 ranges = p.cells >> np.uint64(range_bits)
                 for r in bits.as_py():
                     lo, hi = np.searchsorted(ranges, np.uint64(r["range"])), np.searchsorted(ranges, np.uint64(r["range"]), "right")
                     keep[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
-                # All phrases of a kept cell; a phrase comes once for each of its places, of which one is taken.
+                # All phrases of the kept cells, each once.
                 able = np.flatnonzero(keep[p.of])
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                 text = body.decode("utf-8", "surrogatepass")
@@ -219,23 +229,25 @@ def _scan(shards: DataFrame, cells: int, range_bits: int) -> DataFrame:
                     automaton.add_word(f" {phrase.decode('utf-8', 'surrogatepass')} ", i)
                 automaton.make_automaton()
                 found = np.bincount(np.fromiter((i for _, i in automaton.iter(text)), np.int64), minlength=len(phrases))
-                arrays = [pa.array([lang] * len(phrases)), pa.array(phrases).cast(pa.string(), safe=False), pa.array([x.count(b" ") + 1 for x in phrases], pa.int32()), pa.array(found, pa.int64())]
+                arrays = [pa.array([lang] * len(phrases)), pa.array(phrases).cast(pa.string(), safe=False), pa.array(found, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return shards.select("lang", "body", "bits").mapInArrow(run, COUNTS)
+    return shards.select("lang", "size", "body", "bits").mapInArrow(run, COUNTS)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, range_bits: int = RANGE_BITS) -> tuple[DataFrame, DataFrame]:
     """``COUNTS`` of all phrases of one to four words that come ``least`` times, and (lang, n): all words of a language."""
-    # Few rows of a few MB: without these a writer would look at its memory after a hundred of them.
-    shards = shared_table(shards_of(docs, shard), "phrase-shards", **{"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+    # Few rows of about a MB, packed already: without these a writer would look at its memory after a hundred of them.
+    shards = shared_table(shards_of(docs, shard), "phrase-shards", "none", **{"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
     words = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = LONGEST * (shards.agg(F.sum("n")).first()[0] or 0)
-    cells = 1 << max(range_bits, (max(1, phrases // LOAD) - 1).bit_length())
+    n, size, bodies = shards.agg(F.sum("n"), F.sum("size"), F.count("*")).first()
+    cells = 1 << max(range_bits, (max(1, LONGEST * (n or 0) // LOAD) - 1).bit_length())
     bits = _bits_of(_cells_of(shards, cells, least, range_bits), least, range_bits)
     bits = bits.groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
-    counted = _scan(shards.join(bits.hint("shuffle_hash"), "shard"), cells, range_bits)
-    counts = counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    tasks = max(1, -(-(size or 0) // SCAN_BYTES), min(bodies, shards.sparkSession.sparkContext.defaultParallelism))
+    counted = _scan(shards.repartition(tasks, "shard").join(bits.repartition(tasks, "shard").hint("shuffle_hash"), "shard"), cells, range_bits)
+    counts = counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    counts = counts.withColumn("words", F.length(F.regexp_replace("phrase", "[^ ]", "")) + 1)
     return shared_table(counts, "phrase-counts"), words
 
 

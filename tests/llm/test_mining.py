@@ -53,7 +53,7 @@ def test_collocations_of_odd_and_hostile_texts(odd, odd_rows, harsh, harsh_rows)
 
 def test_the_scores_of_large_counts_are_exact(spark):
     n = 1 << 61
-    counts = spark.createDataFrame([("en", "a b", 2, n), ("en", "a", 1, n + 1), ("en", "b", 1, n + 2), ("en", "a b c", 3, n // 2), ("en", "b c", 2, n // 2 + 7), ("en", "c", 1, n)], collocations.COUNTS)
+    counts = spark.createDataFrame([("en", "a b", n, 2), ("en", "a", n + 1, 1), ("en", "b", n + 2, 1), ("en", "a b c", n // 2, 3), ("en", "b c", n // 2 + 7, 2), ("en", "c", n, 1)], collocations.COUNTS + ", words int")
     got = {r.phrase: (r.l, r.r, r.score) for r in collocations.scores(counts).collect()}
     assert got["a b"] == (n + 1, n + 2, 2000000 * n // (2 * n + 3))
     assert got["a b c"] == (n, n, 2000000 * (n // 2) // (2 * n))
