@@ -44,7 +44,7 @@ def post_order(tree: DataFrame, root_of: str) -> DataFrame:
     sizes = subtree_sizes(tree).withColumnRenamed("subtree_size", "size")
     nodes = tree.select("node_id", "parent_id", root_of, "ordinal", "depth").join(there, "parent_id", "left").join(sizes, "node_id")
     nodes = nodes.withColumns({"parent_id": F.when(F.col("there"), F.col("parent_id")), "one": F.lit(1).cast("long")}).drop("there")
-    nodes = staged(running_totals(nodes, [root_of, "parent_id", "ordinal", "node_id"], {"ahead": "size", "rank": "one"}).drop("one"), "siblings")
+    nodes = running_totals(nodes, [root_of, "parent_id", "ordinal", "node_id"], {"ahead": "size", "rank": "one"}).drop("one")
     family = nodes.groupBy(F.col(root_of).alias("_under"), F.col("parent_id").alias("_of")).agg(F.min("ahead").alias("_ahead"), F.max("rank").alias("_last"))
     met = nodes.join(family, F.col(root_of).eqNullSafe(F.col("_under")) & F.col("parent_id").eqNullSafe(F.col("_of")))
     own = staged(met.select("node_id", "parent_id", root_of, "depth", "size", (F.col("_last") - F.col("rank")).alias("behind"), (F.col("ahead") - F.col("_ahead")).alias("ahead")), "families")
@@ -119,7 +119,7 @@ def _pages_of(starts: DataFrame, nodes: DataFrame, near: DataFrame, page: int) -
         if not fresh.limit(1).count():
             return done
         below = small_side(fresh).join(near, "parent").select("pid", "node_id", "parent", "place", "priority", "n_children", F.lit(False).alias("asked"))
-        known = staged(asking.select(*below.columns).unionByName(below), "page-nodes")
+        known = asking.select(*below.columns).unionByName(below)
 
 
 def _dealt(left: DataFrame, siblings: int | None, page: int) -> DataFrame:
@@ -146,7 +146,7 @@ def local_subtree_pages(tree: DataFrame, root_of: str, priority: str, page: int
 
     ``siblings`` is how many children of one node may start a page together; None: all that are left.
     """
-    order = staged(post_order(tree, root_of), "post-ordered")
+    order = post_order(tree, root_of)
     n_children = order.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
     rank = tree.select("node_id", F.col(priority).cast("double").alias("priority"))
     nodes = staged(order.join(rank, "node_id").join(n_children, "node_id", "left").fillna(0, ["n_children"]), "page-tree")
