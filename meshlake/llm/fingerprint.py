@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs.
 
 Each paragraph is hashed to a wide vector of ``LANES`` entries, +1 or -1; a fingerprint is the sum
-of its paragraphs' vectors modulo 2**16, with the number of paragraphs in front. Sums don't depend
+of its paragraphs' vectors modulo 2**64, with the number of paragraphs in front. Sums don't depend
 on order, and a paragraph is inserted or deleted by adding or subtracting its vector, without the
 rest of the text. The squared length of the difference of two fingerprints estimates how many
 paragraphs they don't share, which gives their likeness.
@@ -56,14 +56,14 @@ def paragraphs(text: str) -> list[str]:
 
 
 def vectors_sum(parts: list[str]) -> np.ndarray:
-    """Sum of the parts' vectors modulo 2**16; entry 0 counts the parts."""
-    total = np.zeros(LANES + 1, np.uint16)
+    """Sum of the parts' vectors modulo 2**64; entry 0 counts the parts."""
+    total = np.zeros(LANES + 1, np.uint64)
     for i in range(0, len(parts), 4096):
         some = parts[i : i + 4096]
         raw = b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=LANES // 8).digest() for p in some)
-        ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.uint32)
-        total[1:] += (2 * ones.astype(np.int64) - len(some)).astype(np.uint16)
-        total[0] += np.uint16(len(some) & 0xFFFF)
+        ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(some), -1), axis=1).sum(axis=0, dtype=np.int64)
+        total[1:] += (2 * ones - len(some)).view(np.uint64)
+        total[0] += np.uint64(len(some))
     return total
 
 
@@ -85,19 +85,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal multisets, near 0 for disjoint ones."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = (v[1:].view(np.int16).astype(np.float64) for v in (a, b))
-    apart = (a[1:] - b[1:]).view(np.int16).astype(np.float64)
+    x, y = (v[1:].view(np.int64).astype(np.float64) for v in (a, b))
+    apart = (a[1:] - b[1:]).view(np.int64).astype(np.float64)
     whole = float(x @ x + y @ y)
     return min(1.0, max(0.0, 1.0 - float(apart @ apart) / whole)) if whole else 0.0
 
 
 def as_bytes(fp: np.ndarray) -> bytes:
-    """The stored form of a fingerprint, which ``from_bytes`` reads: little-endian unsigned 16-bit entries."""
-    return fp.astype("<u2").tobytes()
+    """The stored form of a fingerprint, which ``from_bytes`` reads: the lowest bytes of all entries, then the next, and so on.
+
+    Entries are small numbers of either sign, whose upper bytes are all alike and pack to nothing.
+    """
+    return fp.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def from_bytes(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2").astype(np.uint16)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
 
 
 def digest(fp: np.ndarray) -> str:

@@ -19,11 +19,11 @@ windows each. Scoring is a narrow pass.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,8 @@ PER_WIDTH, WIDEST = 10, 48
 EMBED = 8
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of the categories L; numbers like ½ and ② are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

@@ -262,8 +262,8 @@ def check_fingerprints(spark, df, rows, ranges):
         new = old[: len(old) - half] + after[:half]
         a, b, c = map(plain_fingerprint, (old, new, after))
         sha = hashlib.sha256(new.encode()).hexdigest()
-        vector = b"".join((x % 2**16).to_bytes(2, "little") for x in a)
-        name = lambda v: hashlib.md5(b"".join((x % 2**16).to_bytes(2, "little") for x in v)).hexdigest()
+        stored = lambda v: b"".join(bytes((x % 2**64) >> 8 * k & 255 for x in v) for k in range(8))
+        vector, name = stored(a), lambda v: hashlib.md5(stored(v)).hexdigest()
         want.append(str((doc_id, len(old), sha, name(a), name(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9), vector)))
     assert sorted(str((*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9), bytes(r.vector))) for r in got) == sorted(want)
     return got
@@ -296,6 +296,26 @@ def test_fingerprints_odd_rows(spark, odd, odd_rows, nothing):
     assert fingerprint.fingerprints(nothing, 3).count() == 0
 
 
+def test_fingerprints_of_harsh_texts(spark, harsh, harsh_rows):
+    short = [r for r in harsh_rows if r[0] != 10]
+    check_fingerprints(spark, harsh.where("doc_id != 10"), short, 2)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(harsh, 3).collect()}
+    assert set(got) == {d for d, _ in harsh_rows}
+    f = fingerprint.from_bytes(bytes(got[10].vector))
+    assert f[0] == 400_001 and abs(f[1:].view("int64")).min() >= 399_999
+
+
+def test_many_equal_paragraphs_count():
+    f = fingerprint
+    for n in (1 << 15, 1 << 16, 1 << 17):
+        many = f.fingerprint_of("a\n" * n)
+        assert not (many == f.fingerprint_of("")).all() and many[0] == n
+        assert f.likeness(many, f.insert(many, "b")) > 0.999
+        assert f.likeness(f.insert(many, "b"), f.fingerprint_of("b")) < 0.01
+        assert f.likeness(many, f.fingerprint_of("a\n" * (n // 2))) < 0.8 + 1e-9
+        assert (f.delete(f.insert(many, "b"), "b") == many).all() and (f.from_bytes(f.as_bytes(many)) == many).all()
+
+
 def test_fingerprint_of_one_row(spark, odd):
     check_fingerprints(spark, odd.where(F.col("doc_id") == 12).limit(1), [(12, odd.where("doc_id = 12").first().text)], 3)
 
