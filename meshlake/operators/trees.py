@@ -6,6 +6,8 @@ aggregate each; levels are staged so that plans don't grow with the depth.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,28 +125,53 @@ def tile_tree(tiles: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def median_cells(points: DataFrame, leaf: int = 64, deepest: int = 40) -> DataFrame:
+#: Points of a cell that one task divides further by itself.
+CELL_POINTS = 50_000
+
+
+def _halves(pdf: pd.DataFrame, leaf: int, deepest: int) -> pd.DataFrame:
+    """The cells below one cell: the same rule as ``median_cells``, over arrays."""
+    fid, at = pdf["fid"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(np.float64)
+    names, sizes = np.empty(len(pdf), object), np.empty(len(pdf), np.int64)
+    todo = [(str(pdf["cell"].iloc[0]), np.arange(len(pdf)))]
+    while todo:
+        cell, rows = todo.pop()
+        if len(rows) <= leaf or len(cell) >= deepest:
+            names[rows], sizes[rows] = cell, len(rows)
+            continue
+        here = at[rows]
+        axis = int(np.argmax(here.max(axis=0) - here.min(axis=0)))
+        rows = rows[np.lexsort((fid[rows], here[:, axis]))]
+        todo += [(cell + "0", rows[: len(rows) // 2]), (cell + "1", rows[len(rows) // 2 :])]
+    return pd.DataFrame({"fid": fid, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "cell": names, "n": sizes})
+
+
+def median_cells(points: DataFrame, leaf: int = 64, deepest: int = 40, block: int = CELL_POINTS) -> DataFrame:
     """(fid, x, y, z, cell, n): the top-down hierarchy over points, as the path of 0 and 1 to each point's leaf.
 
     A cell of more than ``leaf`` points is divided at the median along its widest axis (the first of
     equals), the smaller half of an odd number below. All cells of a level are divided at once, by
-    one numbering of the points in the order of (cell, coordinate, id).
+    one numbering of the points in the order of (cell, coordinate, id), until a cell has at most
+    ``block`` points: what is below it is one task's work.
     """
     rows = staged(points.select("fid", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.lit("").alias("cell")), "cells")
+    local = "fid long, x double, y double, z double, cell string, n long"
     done = None
-    for _ in range(deepest):
+    for _ in range(deepest + 1):
         ends = rows.groupBy("cell").agg(F.count("*").alias("n"), *((F.max(c) - F.min(c)).alias(f"w{c}") for c in "xyz"))
         axis = F.when((F.col("wx") >= F.col("wy")) & (F.col("wx") >= F.col("wz")), "x").when(F.col("wy") >= F.col("wz"), "y").otherwise("z")
         met = rows.join(small_side(ends.select("cell", "n", axis.alias("axis"))), "cell")
-        leaves = met.where(F.col("n") <= leaf).select("fid", "x", "y", "z", "cell", "n")
-        done = leaves if done is None else done.unionByName(leaves)
-        large = met.where(F.col("n") > leaf)
+        final = (F.col("n") <= max(block, leaf)) | (F.length("cell") >= deepest)
+        whole = met.where(final & (F.length("cell") >= deepest)).select("fid", "x", "y", "z", "cell", "n")  # however many
+        done = whole if done is None else done.unionByName(whole)
+        small = met.where(final & (F.length("cell") < deepest)).select("fid", "x", "y", "z", "cell").groupBy("cell").applyInPandas(lambda pdf: _halves(pdf, leaf, deepest), local)
+        done = done.unionByName(small)
+        large = met.where(~final)
+        if not large.limit(1).count():
+            return done
         along = F.when(F.col("axis") == "x", F.col("x")).when(F.col("axis") == "y", F.col("y")).otherwise(F.col("z"))
         placed = numbered(large.withColumn("along", along), ["cell", "along", "fid"])
         first = placed.groupBy("cell").agg(F.min("number").alias("first"))
         side = F.when(F.col("number") - F.col("first") < F.floor(F.col("n") / 2), "0").otherwise("1")
         rows = staged(placed.join(small_side(first), "cell").select("fid", "x", "y", "z", F.concat("cell", side).alias("cell")), "cells")
-        if not rows.limit(1).count():
-            return done
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    return done.unionByName(rows.join(sizes, "cell").select("fid", "x", "y", "z", "cell", "n"))
+    return done

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import envelopes as env
-from ..operators import pages, trees
+from ..operators import hierarchy, pages, trees
 from .inputs import BOXES, PTS, TREE, boxes, points, table, tree
 from .registry import query
 
@@ -213,3 +213,10 @@ def median_cells(spark, sf):
     """Four levels of the hierarchy over all points."""
     p = points(spark, sf).select("fid", F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("h").alias("z"))
     return trees.median_cells(p, 64, 4).select("fid", "cell", "n")
+
+
+@query()
+def bounding_hierarchy(spark, sf):
+    """Spheres over all points, joined from the leaves up; a plain recursion is its test."""
+    p = points(spark, sf).select("fid", F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("h").alias("z"))
+    return hierarchy.bounding_hierarchy(p)
