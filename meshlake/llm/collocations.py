@@ -144,7 +144,7 @@ class Phrases:
         h = polynomials(data, self.start, self.end) ^ seed
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         cell = (h ^ (h >> np.uint64(33))) & np.uint64(cells - 1)
-        self.cells, self.one, self.of, self.counts = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
+        self.cells, self.of, self.counts = np.unique(cell, return_inverse=True, return_counts=True)
 
 
 def _packed(raw: bytes) -> bytes:
@@ -245,7 +245,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, range
     bits = _bits_of(_cells_of(shards, cells, least, range_bits), least, range_bits)
     bits = bits.groupBy("shard").agg(F.collect_list(F.struct("range", "bits")).alias("bits"))
     tasks = max(1, -(-(size or 0) // SCAN_BYTES), min(bodies, shards.sparkSession.sparkContext.defaultParallelism))
-    counted = _scan(shards.repartition(tasks, "shard").join(bits.repartition(tasks, "shard").hint("shuffle_hash"), "shard"), cells, range_bits)
+    counted = _scan(shards.join(bits.hint("shuffle_hash"), "shard").coalesce(tasks), cells, range_bits)
     counts = counted.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     counts = counts.withColumn("words", F.length(F.regexp_replace("phrase", "[^ ]", "")) + 1)
     return shared_table(counts, "phrase-counts"), words
