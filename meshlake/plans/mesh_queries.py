@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import hulls, joins, meshes, rasters
+from ..operators import hulls, joins, meshes, rasters, tight_boxes
 from .inputs import BOXES, PTS, boxes, points, table
 from .registry import query
 
@@ -475,3 +475,19 @@ def tile_mesh_cells(spark, sf):
     """Corners of each cell's triangles and walls: how many, lowest, highest and the sum of heights."""
     out = rasters.tile_mesh(_grid(spark), 10.0, 5.0)
     return out.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), F.round(F.sum("z"), 6).alias("total"))
+
+
+@query("""select c_custkey, 8::bigint as n, round(1 + c_custkey % 5, 5) + 0.0 as small, round(10 + c_custkey % 3, 5) + 0.0 as middle, round(20 + c_custkey % 7, 5) + 0.0 as large,
+  round(sqrt(pow(1 + c_custkey % 5, 2) + pow(10 + c_custkey % 3, 2) + pow(20 + c_custkey % 7, 2)), 5) as radius, round(c_custkey % 360, 4) + 0.0 as x, round(c_nationkey, 4) + 0.0 as y, round(c_acctbal / 100.0::double, 4) + 0.0 as z from customer""")
+def tight_volumes(spark, sf):
+    """The corners of a turned box about each customer's place: the least box on a face of their hull is that box."""
+    k = F.col("c_custkey")
+    axis = g.vec(*(F.lit(v) for v in (1 / 3, 2 / 3, 2 / 3)))
+    o = F.struct(
+        g.vec((k % 360).cast("double"), F.col("c_nationkey").cast("double"), F.col("c_acctbal").cast("double") / 100).alias("center"),
+        g.vec((20 + k % 7).cast("double"), (10 + k % 3).cast("double"), (1 + k % 5).cast("double")).alias("extents"), g.axis_angle(axis, F.radians(k % 360)).alias("quat"))
+    corners = table(spark, sf, "customer").select("c_custkey", F.explode(g.obb_corners(o)).alias("c")).select("c_custkey", "c.x", "c.y", "c.z")
+    out = tight_boxes.tight_volumes(corners, "c_custkey")
+    e = F.sort_array(F.array(*(F.round(f"box.extents.{c}", 5) + 0.0 for c in "xyz")))
+    centre = [(F.round(f"box.center.{c}", 4) + 0.0).alias(c) for c in "xyz"]
+    return out.select("c_custkey", "n", e[0].alias("small"), e[1].alias("middle"), e[2].alias("large"), F.round("radius", 5).alias("radius"), *centre)
