@@ -79,6 +79,24 @@ def widest_direction(lo: Column, hi: Column) -> Column:
     return F.array_position(width, F.array_max(width)).cast("int") - 1
 
 
+def straightest_direction(lo: Column, hi: Column, directions=DIRECTIONS) -> Column:
+    """Index of the direction that the hull lies along: the widths' squared parts across it are least in sum; the first of equals."""
+    squares = [F.pow(F.get(hi, F.lit(j)) - F.get(lo, F.lit(j)), F.lit(2.0)) for j in range(len(directions))]
+    across = lambda d, e: 1.0 - sum(a * b for a, b in zip(d, e, strict=True)) ** 2
+    costs = F.array(*(sum((squares[j] * across(d, e) for j, e in enumerate(directions)), F.lit(0.0)) for d in directions))
+    return F.array_position(costs, F.array_min(costs)).cast("int") - 1
+
+
+def longest_box_direction(lo: Column, hi: Column) -> Column:
+    """Index in ``DIRECTIONS`` of the axis across the smallest face of all boxes in the fixed frames; the first of equals."""
+    ends = []
+    for axes in frames():
+        index = [next(i for i, d in enumerate(DIRECTIONS) if abs(abs(sum(x * y for x, y in zip(d, axis, strict=True))) - 1) < 1e-9) for axis in axes]
+        wide = [F.get(hi, F.lit(i)) - F.get(lo, F.lit(i)) for i in index]
+        ends += [F.struct((wide[(k + 1) % 3] * wide[(k + 2) % 3]).alias("face"), F.lit(len(ends) + k).alias("rank"), F.lit(index[k]).alias("direction")) for k in range(3)]
+    return F.least(*ends)["direction"]
+
+
 def frames() -> list[tuple]:
     """Orthonormal frames from the directions: upright, and turned by 45 degrees about each axis."""
     h = math.sqrt(0.5)

@@ -477,6 +477,18 @@ def tile_mesh_cells(spark, sf):
     return out.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), F.round(F.sum("z"), 6).alias("total"))
 
 
+_ALONG = "with " + _XYZ + _HULL.split("select grp, count")[0] + ", w as (select grp, direction, dx, dy, dz, max(x * dx + y * dy + z * dz) - min(x * dx + y * dy + z * dz) as w from pts, dirs group by all)"
+
+
+@query(_ALONG + ", " + _FRAME_AXES + """, c as (select a.grp, a.direction, sum(b.w * b.w * (1 - pow(a.dx * b.dx + a.dy * b.dy + a.dz * b.dz, 2))) as across from w a join w b using (grp) group by 1, 2),
+p as (select w.*, frame, axis from w join a on abs(dx * ax + dy * ay + dz * az) > 0.999999), f as (select x.grp, x.direction, x.frame, x.axis, (select product(y.w) from p y where y.grp = x.grp and y.frame = x.frame and y.axis <> x.axis) as face from p x)
+select grp, straightest, longest from (select grp, arg_min(direction, (across, direction)) as straightest from c group by 1) join (select grp, arg_min(direction, (face, frame, axis)) as longest from f group by 1) using (grp)""")
+def principal_directions(spark, sf):
+    """Along which direction each group lies: by what is across it, and by the smallest face of its boxes."""
+    h = hulls.hull(_xyz(spark, sf), ["grp"])
+    return h.select("grp", hulls.straightest_direction(F.col("lo"), F.col("hi")).alias("straightest"), hulls.longest_box_direction(F.col("lo"), F.col("hi")).alias("longest"))
+
+
 @query("""select c_custkey, 8::bigint as n, round(1 + c_custkey % 5, 5) + 0.0 as small, round(10 + c_custkey % 3, 5) + 0.0 as middle, round(20 + c_custkey % 7, 5) + 0.0 as large,
   round(sqrt(pow(1 + c_custkey % 5, 2) + pow(10 + c_custkey % 3, 2) + pow(20 + c_custkey % 7, 2)), 5) as radius, round(c_custkey % 360, 4) + 0.0 as x, round(c_nationkey, 4) + 0.0 as y, round(c_acctbal / 100.0::double, 4) + 0.0 as z from customer""")
 def tight_volumes(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, colors, dates, frames, text
 from ..functions import geometry as g
+from ..operators import date_columns as date_columns_
 from .inputs import BOXES, PTS, boxes, points, table
 from .registry import query
 
@@ -112,6 +113,20 @@ def date_to_iso8601(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dates.iso8601(ms).alias("iso"), ms.alias("millis"), local.alias("iso_offset"))
 
 
+@query("""with o as (select o_orderkey, case when o_orderkey % 50 = 3 then null when o_orderkey % 50 = 4 then '' else strftime(o_orderdate, '%d/%m/%Y') end as good, o_orderdate,
+  case when o_orderkey % 97 = 5 then '31-13-' || o_orderkey else strftime(o_orderdate, '%d/%m/%Y') end as mixed from orders), b as (select count(*) as n_bad, min(o_orderkey) as place from o where mixed like '31-13-%')
+select o_orderkey, case when good = '' then '' when good is not null then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') end as good_iso, 0::bigint as good_bad, case when n_bad = 0 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') end as mixed_iso, n_bad as mixed_bad, place, '31-13-' || place as text from o, b""")
+def date_columns(spark, sf):
+    """A column whose texts are all dates or nothing, and one in which some can't be read: none of it is converted."""
+    shown, k = F.date_format("o_orderdate", "dd/MM/yyyy"), F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(k % 50 == 3, None).when(k % 50 == 4, "").otherwise(shown).alias("good"),
+        F.when(k % 97 == 5, F.concat(F.lit("31-13-"), k.cast("string"))).otherwise(shown).alias("mixed"))
+    for c in ("good", "mixed"):
+        o = date_columns_.convert_date_column(o, c, "DD/MM/YYYY", "o_orderkey")
+    return o.select("o_orderkey", "good_iso", "good_bad", "mixed_iso", "mixed_bad", F.col("mixed_first_bad.place").alias("place"), F.col("mixed_first_bad.text").alias("text"))
+
+
 @query("""with m as (select event_id, ts + interval (event_id % 120 - 60) minute as moved, event_id % 120 - 60 as off from events)
 select event_id, epoch_us(moved) // 1000 - off * 60000 as millis from m""")
 def date_offsets(spark, sf):
