@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, colors, dates, frames, text
 from ..functions import geometry as g
+from ..operators import boxes_of
 from ..operators import date_columns as date_columns_
 from .inputs import BOXES, PTS, boxes, points, table
 from .registry import query
@@ -444,7 +445,7 @@ def _box_columns(o):
 def obb_of_corners(spark, sf):
     """Eight corners give their box again."""
     rows = _obbs(spark, sf).select("fid", g.obb_corners(F.col("o")).alias("corners"))
-    return rows.select("fid", g.obb_of_corners(F.col("corners")).alias("o")).select("fid", *_box_columns("o"))
+    return boxes_of.boxes_of_corners(rows, "corners", "o").select("fid", *_box_columns("o"))
 
 
 @query("with " + PTS + _OBB + """, m as (select fid, a, h, -- the far corner is moved out by 5 along the box's own x axis
@@ -454,7 +455,8 @@ def obb_of_points(spark, sf):
     """The box of points in a given orientation: corners of a box and one point outside of it."""
     rows = _obbs(spark, sf).select("fid", "o", g.obb_corners(F.col("o")).alias("corners"))
     out = g.add(F.col("o.center"), g.scaled(g.obb_axes(F.col("o"))[0], 25.0))
-    return rows.select("fid", g.obb_of_points(F.concat("corners", F.array(out)), F.col("o.quat")).alias("o")).select("fid", *_box_columns("o"))
+    rows = rows.select("fid", F.concat("corners", F.array(out)).alias("all"), F.col("o.quat").alias("quat"))
+    return boxes_of.boxes_of_points(rows, "all", "quat", "o").select("fid", *_box_columns("o"))
 
 
 @query("with " + PTS + _OBB + """select fid, abs(px) + abs(1 * cos(a)) + abs(1 * sin(a)) <= 20 and abs(py) + abs(1 * sin(a)) + abs(1 * cos(a)) <= 10 and h >= 1 as contains from l""")
