@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import SpatialReference
 from ..functions.geometry import obb_corners
 
 #: Axes, edge and corner diagonals of a cube: 13 directions.
@@ -154,6 +155,24 @@ def node_volumes(points: DataFrame, by: str) -> DataFrame:
     return boxes.join(far, by).select(by, "n", "box", F.when(F.col("point"), 1.0).otherwise(F.col("radius")).alias("radius"))
 
 
+def projected_volumes(vertices: DataFrame, by: str, reference: SpatialReference) -> DataFrame:
+    """(by, n, center, box, radius) of vertices (by, x, y, z) in a layer's system.
+
+    Vertices are projected, their box and sphere found where distances are metres, and the centre is
+    projected back: ``center`` is in the layer's system, ``box`` and ``radius`` are Cartesian.
+    """
+    p = vertices.select(by, reference.to_cartesian(F.struct("x", "y", "z")).alias("p")).select(by, "p.x", "p.y", "p.z")
+    out = node_volumes(p, by)
+    return out.select(by, "n", reference.from_cartesian(F.col("box.center")).alias("center"), "box", "radius")
+
+
+def recentred(vertices: DataFrame, volumes: DataFrame, by: str) -> DataFrame:
+    """The vertices with (x, y, z) taken from their node's ``center``, in the layer's system; further columns stay."""
+    centres = volumes.select(by, F.col("center").alias("_center"))
+    met = vertices.join(centres, by)
+    return met.withColumns({c: F.col(c) - F.col(f"_center.{c}") for c in "xyz"}).drop("_center")
+
+
 def parent_volumes(children: DataFrame, by: str) -> DataFrame:
     """(by, n, box, radius) from the corners of the children's boxes (column ``box``); ``n`` is the number of children."""
     corners = children.select(by, F.explode(obb_corners(F.col("box"))).alias("c")).select(by, "c.x", "c.y", "c.z")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.frames import Geographic
 from ..operators import hulls, joins, meshes, rasters, tight_boxes
 from .inputs import BOXES, PTS, boxes, points, table
 from .registry import query
@@ -378,6 +379,38 @@ def node_volumes(spark, sf):
     return _volume_columns("node_id", hulls.node_volumes(_vertices(spark, sf), "node_id"))
 
 
+_E2 = "0.0818191908426215::double * 0.0818191908426215::double"
+_ON_EARTH = VERTICES + f""", geo as (select node_id, vtx, 7 + x / 1000.0::double as lon, 46 + y / 1000.0::double as lat, z * 10 as h from v),
+en as (select *, 6378137.0::double / sqrt(1 - {_E2} * sin(radians(lat)) * sin(radians(lat))) as pn from geo),
+ec as (select node_id, vtx, lon, lat, h, (pn + h) * cos(radians(lat)) * cos(radians(lon)) as x, (pn + h) * cos(radians(lat)) * sin(radians(lon)) as y, (pn * (1 - {_E2}) + h) * sin(radians(lat)) as z from en), """
+_UNPROJECTED = f"""od as (select *, sqrt(cx * cx + cy * cy) as r, atan2(cz * 6378137.0::double, sqrt(cx * cx + cy * cy) * 6356752.314245::double) as theta from o),
+of as (select *, atan2(cz + (6378137.0::double * 6378137.0::double - 6356752.314245::double * 6356752.314245::double) / (6356752.314245::double * 6356752.314245::double) * 6356752.314245::double * pow(sin(theta), 3), r - {_E2} * 6378137.0::double * pow(cos(theta), 3)) as phi from od),
+og as (select *, degrees(atan2(cy, cx)) as lon0, degrees(phi) as lat0, r / cos(phi) - 6378137.0::double / sqrt(1 - {_E2} * sin(phi) * sin(phi)) as h0 from of)"""
+
+
+def _on_earth(spark, sf):
+    v = _vertices(spark, sf)
+    return v.select("node_id", "vtx", (7 + F.col("x") / 1000).alias("x"), (46 + F.col("y") / 1000).alias("y"), (F.col("z") * 10).alias("z"))
+
+
+@query("with " + _ON_EARTH + _volume_sql("o", "ec", "node_id") + ", " + _UNPROJECTED + """ select node_id, n, round(lon0, 7) + 0.0 as x, round(lat0, 7) + 0.0 as y, round(h0, 3) + 0.0 as z, case when point then 1.0 else round(radius, 4) end as radius,
+  case when point then 1.0 else round(eu * ev * ew / 1000, 2) end as volume from og""")
+def projected_volumes(spark, sf):
+    """Volumes of nodes on the globe: the centre in degrees, sizes in metres."""
+    out = hulls.projected_volumes(_on_earth(spark, sf), "node_id", Geographic())
+    e, point = F.col("box.extents"), F.col("radius") == 1.0
+    volume = F.when(point, 1.0).otherwise(F.round(e["x"] * e["y"] * e["z"] / 1000, 2))
+    return out.select("node_id", "n", *((F.round(f"center.{c}", k) + 0.0).alias(c) for c, k in (("x", 7), ("y", 7), ("z", 3))), F.round("radius", 4).alias("radius"), volume.alias("volume"))
+
+
+@query("with " + _ON_EARTH + _volume_sql("o", "ec", "node_id") + ", " + _UNPROJECTED + " select node_id, vtx, round(lon - lon0, 7) + 0.0 as x, round(lat - lat0, 7) + 0.0 as y, round(h - h0, 3) + 0.0 as z from geo join og using (node_id)")
+def recentred_vertices(spark, sf):
+    """Vertices from their node's centre, in degrees and metres."""
+    v = _on_earth(spark, sf)
+    out = hulls.recentred(v, hulls.projected_volumes(v, "node_id", Geographic()), "node_id")
+    return out.select("node_id", "vtx", *((F.round(c, k) + 0.0).alias(c) for c, k in (("x", 7), ("y", 7), ("z", 3))))
+
+
 _CHILD_CORNERS = "k as (select node_id // 4 as parent_id, " + ", ".join(f"c{c} + (i % 2 * 2 - 1) * case when point then 1.0 else eu end * u{c} + (i // 2 % 2 * 2 - 1) * case when point then 1.0 else ev end * v{c} + (i // 4 * 2 - 1) * case when point then 1.0 else ew end * w{c} as {c}" for c in "xyz") + " from o, range(8) t(i))"
 
 
@@ -390,8 +423,21 @@ def parent_volumes(spark, sf):
     return out.select("parent_id", "n", F.round("radius", 4).alias("radius"), F.round(e["x"] * e["y"] * e["z"], 1).alias("volume"))
 
 
-@query("with " + _XYZ + """, q as (select grp, x, y, z, sqrt(0.5) * (x + y) as xy, sqrt(0.5) * (y - x) as yx, sqrt(0.5) * (x + z) as xz, sqrt(0.5) * (z - x) as zx, sqrt(0.5) * (y + z) as yz, sqrt(0.5) * (z - y) as zy from pts),
-e as (select grp, count(*) as n, """ + ", ".join(f"max({c}) - min({c}) as {c}" for c in ("x", "y", "z", "xy", "yx", "xz", "zx", "yz", "zy")) + """ from q group by 1)
+_FRAME_WIDTHS = "with " + _XYZ + """, q as (select grp, x, y, z, sqrt(0.5) * (x + y) as xy, sqrt(0.5) * (y - x) as yx, sqrt(0.5) * (x + z) as xz, sqrt(0.5) * (z - x) as zx, sqrt(0.5) * (y + z) as yz, sqrt(0.5) * (z - y) as zy from pts),
+e as (select grp, count(*) as n, """ + ", ".join(f"max({c}) - min({c}) as {c}" for c in ("x", "y", "z", "xy", "yx", "xz", "zx", "yz", "zy")) + """ from q group by 1)"""
+
+
+@query(_FRAME_WIDTHS + """, f as (select grp, n, unnest([{'a': x, 'b': y, 'c': z}, {'a': xy, 'b': yx, 'c': z}, {'a': xz, 'b': y, 'c': zx}, {'a': x, 'b': yz, 'c': zy}]) as s from e)
+select grp, any_value(n) as n, round(arg_min(s.a * s.b * s.c, s.a * s.b + s.b * s.c + s.c * s.a), 1) as volume_by_area, round(arg_min(s.a * s.b * s.c, s.a * s.a + s.b * s.b + s.c * s.c), 1) as volume_by_diagonal, round(min(sqrt(s.a * s.a + s.b * s.b + s.c * s.c)) / 2, 5) as radius from f group by 1""")
+def fixed_boxes(spark, sf):
+    """The best box of fixed orientation by surface and by diagonal, and the sphere around the latter."""
+    p = _xyz(spark, sf)
+    by_area = hulls.oriented_boxes(p, ["grp"], "area").select("grp", F.round("volume", 1).alias("volume_by_area"))
+    by_diagonal = hulls.bounding_spheres(hulls.oriented_boxes(p, ["grp"], "diagonal")).select("grp", "n", F.round("volume", 1).alias("volume_by_diagonal"), F.round("radius", 5).alias("radius"))
+    return by_diagonal.join(by_area, "grp")
+
+
+@query(_FRAME_WIDTHS + """
 select grp, n, round(least(x * y * z, xy * yx * z, xz * y * zx, x * yz * zy), 1) as volume from e""")
 def oriented_box(spark, sf):
     return hulls.oriented_boxes(_xyz(spark, sf), ["grp"]).select("grp", "n", F.round("volume", 1).alias("volume"))

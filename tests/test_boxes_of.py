@@ -47,3 +47,35 @@ def test_boxes_of_corners(spark):
         assert (r.o.extents.x, r.o.extents.y, r.o.extents.z) == pytest.approx(tuple(got[r.id].extents), abs=1e-9)
         assert tuple(r.o.center) == pytest.approx(tuple(got[r.id].center), abs=1e-9)
     assert df.columns == ["id", "corners"] and boxes_of.boxes_of_corners(df.limit(0), "corners", "o").select(F.col("o.center.x")).count() == 0
+
+
+def test_projected_volumes_hold_their_vertices(spark):
+    import math
+
+    from meshlake.functions.frames import Geographic, SpatialReference
+    from meshlake.operators import hulls
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 6, float(-179 + 60 * (i % 6) + rng.uniform(0, 0.01)), float(-75 + 30 * (i % 6) + rng.uniform(0, 0.01)), float(rng.uniform(-20, 900))) for i in range(240)]
+    rows += [(9, 5.0, 6.0, 7.0)] * 2
+    df = spark.createDataFrame(rows, "node long, x double, y double, z double")
+    got = {r.node: r for r in hulls.projected_volumes(df, "node", Geographic()).collect()}
+
+    def cartesian(lon, lat, h):
+        a, e2 = 6378137.0, 0.0818191908426215**2
+        lam, phi = math.radians(lon), math.radians(lat)
+        n = a / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+        return np.array([(n + h) * math.cos(phi) * math.cos(lam), (n + h) * math.cos(phi) * math.sin(lam), (n * (1 - e2) + h) * math.sin(phi)])
+
+    for node, *p in rows:
+        r = got[node]
+        d = cartesian(*p) - cartesian(r.center.x, r.center.y, r.center.z)
+        assert np.linalg.norm(d) <= r.radius + 1e-3
+        if node != 9:
+            local = d @ matrix(r.box.quat)
+            assert (np.abs(local) <= np.array([r.box.extents.x, r.box.extents.y, r.box.extents.z]) + 1e-3).all()
+    assert got[9].radius == 1 and got[9].n == 2
+    flat = {r.node: r for r in hulls.projected_volumes(df, "node", SpatialReference()).collect()}
+    assert flat[0].center == flat[0].box.center
+    moved = hulls.recentred(df.withColumn("more", F.lit(1)), hulls.projected_volumes(df, "node", SpatialReference()), "node")
+    assert moved.columns == ["node", "x", "y", "z", "more"] and moved.where("node = 9").distinct().count() == 1
