@@ -208,8 +208,8 @@ def box_join_salted(spark, sf):
     return joins.box_join(all_boxes.where("id % 2 = 0"), all_boxes.where("id % 2 = 1"), cell_rows=2)
 
 
-# Sides from a hundredth of a degree to sixty degrees, turned about z: the plane's four axes and the heights decide.
-_TURNED = PTS + """, t as (select fid, lon, lat, h, 0.01 * pow(5, fid % 6) * case when fid % 89 = 0 then 1 else 0.5 end as e, radians(fid * 7 % 360) as a from pts),
+# Half sides from a two-hundredth of a degree to ten degrees, turned about z: the plane's four axes and the heights decide.
+_TURNED = PTS + """, t as (select fid, lon, lat, h, 0.01 * pow(4, fid % 6) * case when fid % 89 = 0 then 1 else 0.5 end as e, radians(fid * 7 % 360) as a from pts),
 s as (select fid, lon, lat, h, e as ex, e / 2 as ey, 20.0::double as ez, cos(a) as c, sin(a) as s, e * abs(cos(a)) + e / 2 * abs(sin(a)) as wx, e * abs(sin(a)) + e / 2 * abs(cos(a)) as wy from t)"""
 
 
@@ -220,7 +220,7 @@ and abs((q.lon - p.lon) * q.c + (q.lat - p.lat) * q.s) <= q.ex + p.ex * abs(p.c
 and abs((q.lat - p.lat) * q.c - (q.lon - p.lon) * q.s) <= q.ey + p.ey * abs(p.c * q.c + p.s * q.s) + p.ex * abs(p.s * q.c - p.c * q.s)""")
 def oriented_box_join(spark, sf):
     """Turned boxes of all sizes; for boxes turned about z the other axes decide nothing."""
-    e = F.lit(0.01) * F.pow(F.lit(5.0), F.col("fid") % 6) * F.when(F.col("fid") % 89 == 0, 1.0).otherwise(0.5)
+    e = F.lit(0.01) * F.pow(F.lit(4.0), F.col("fid") % 6) * F.when(F.col("fid") % 89 == 0, 1.0).otherwise(0.5)
     up = g.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))
     o = F.struct(g.vec(F.col("lon"), F.col("lat"), F.col("h")).alias("center"), g.vec(e, e / 2, F.lit(20.0)).alias("extents"), g.axis_angle(up, F.radians(F.col("fid") * 7 % 360)).alias("quat"))
     rows = points(spark, sf).select(F.col("fid").alias("id"), o.alias("obb"))
