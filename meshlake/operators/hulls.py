@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import SpatialReference
 from ..functions.geometry import obb_corners
+from .staging import shuffled
 
 #: Axes, edge and corner diagonals of a cube: 13 directions.
 DIRECTIONS = tuple(
@@ -151,8 +152,8 @@ def node_volumes(points: DataFrame, by: str) -> DataFrame:
     box = F.struct("center", F.when(point, one).otherwise(F.col("extents")).alias("extents"), F.get(quats, F.col("frame")).alias("quat"))
     boxes = boxes.select(by, "n", box.alias("box"), point.alias("point"))
     d = [F.col(k) - F.col(f"box.center.{k}") for k in "xyz"]
-    far = points.select(by, "x", "y", "z").join(boxes.select(by, "box"), by).groupBy(by).agg(F.max(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("radius"))
-    return boxes.join(far, by).select(by, "n", "box", F.when(F.col("point"), 1.0).otherwise(F.col("radius")).alias("radius"))
+    far = points.select(by, "x", "y", "z").join(shuffled(boxes.select(by, "box")), by).groupBy(by).agg(F.max(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("radius"))
+    return boxes.join(shuffled(far), by).select(by, "n", "box", F.when(F.col("point"), 1.0).otherwise(F.col("radius")).alias("radius"))
 
 
 def projected_volumes(vertices: DataFrame, by: str, reference: SpatialReference) -> DataFrame:
@@ -169,7 +170,7 @@ def projected_volumes(vertices: DataFrame, by: str, reference: SpatialReference)
 def recentred(vertices: DataFrame, volumes: DataFrame, by: str) -> DataFrame:
     """The vertices with (x, y, z) taken from their node's ``center``, in the layer's system; further columns stay."""
     centres = volumes.select(by, F.col("center").alias("_center"))
-    met = vertices.join(centres, by)
+    met = vertices.join(shuffled(centres), by)
     return met.withColumns({c: F.col(c) - F.col(f"_center.{c}") for c in "xyz"}).drop("_center")
 
 
@@ -190,8 +191,8 @@ def box_and_radius(points: DataFrame, by: str) -> DataFrame:
     mid = {c: (F.col(f"lo{c}") + F.col(f"hi{c}")) / 2 for c in "xyz"}
     ends = ends.withColumns({f"m{c}": m for c, m in mid.items()})
     away = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("mx")) ** 2))
-    far = points.join(ends.select(by, "mx", "my", "mz"), by).groupBy(by).agg(F.max(away).alias("radius"))
-    return ends.join(far, by).withColumn("radius", F.when(F.col("n") == 1, 1.0).otherwise(F.col("radius")))
+    far = points.join(shuffled(ends.select(by, "mx", "my", "mz")), by).groupBy(by).agg(F.max(away).alias("radius"))
+    return ends.join(shuffled(far), by).withColumn("radius", F.when(F.col("n") == 1, 1.0).otherwise(F.col("radius")))
 
 
 def layer_extent(corners: DataFrame, holds_centre: Column) -> DataFrame:

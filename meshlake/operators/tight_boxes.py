@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import conjugate, rotate
 from .hulls import DIRECTIONS
+from .staging import shuffled
 
 METRICS = {
     "volume": lambda e: e[..., 0] * e[..., 1] * e[..., 2],
@@ -131,7 +132,7 @@ def tight_volumes(points: DataFrame, by: str, metric: str = "volume") -> DataFra
         return pd.DataFrame(rows, columns=["x", "y", "z", "w"])
 
     quats = extremes.select(by, "n", turned("extremes").alias("quat"))
-    local = points.select(by, "x", "y", "z").join(quats, by).select(by, "n", "quat", "x", "y", "z", rotate(F.struct("x", "y", "z"), conjugate(F.col("quat"))).alias("p"))
+    local = points.select(by, "x", "y", "z").join(shuffled(quats), by).select(by, "n", "quat", "x", "y", "z", rotate(F.struct("x", "y", "z"), conjugate(F.col("quat"))).alias("p"))
     ends = local.groupBy(by).agg(F.first("n").alias("n"), F.first("quat").alias("quat"), *(f(f"p.{c}").alias(f"{k}{c}") for c in "xyz" for k, f in (("lo", F.min), ("hi", F.max))))
     half = {c: (F.col(f"hi{c}") - F.col(f"lo{c}")) / 2 for c in "xyz"}
     middle = F.struct(*(((F.col(f"hi{c}") + F.col(f"lo{c}")) / 2).alias(c) for c in "xyz"))
@@ -140,5 +141,7 @@ def tight_volumes(points: DataFrame, by: str, metric: str = "volume") -> DataFra
     one = F.struct(*(F.lit(1.0).alias(c) for c in "xyz"))
     boxes = boxes.select(by, "n", F.struct("center", F.when(point, one).otherwise(F.col("extents")).alias("extents"), "quat").alias("box"), point.alias("point"))
     away = [F.col(c) - F.col(f"box.center.{c}") for c in "xyz"]
-    far = points.select(by, "x", "y", "z").join(boxes.select(by, "box"), by).groupBy(by).agg(F.max(F.sqrt(away[0] * away[0] + away[1] * away[1] + away[2] * away[2])).alias("radius"))
-    return boxes.join(far, by).select(by, "n", "box", F.when(F.col("point"), 1.0).otherwise(F.col("radius")).alias("radius"))
+    met = points.select(by, "x", "y", "z").join(shuffled(boxes), by)
+    far = F.max(F.sqrt(away[0] * away[0] + away[1] * away[1] + away[2] * away[2]))
+    volumes = met.groupBy(by).agg(F.first("n").alias("n"), F.first("box").alias("box"), F.first("point").alias("point"), far.alias("radius"))
+    return volumes.select(by, "n", "box", F.when(F.col("point"), 1.0).otherwise(F.col("radius")).alias("radius"))

@@ -92,3 +92,16 @@ def test_no_worse_than_fixed_orientations_and_whole(spark):
         local = d + 2 * q[3] * np.cross(v, d) + 2 * np.cross(v, np.cross(v, d))
         assert (np.abs(local) <= np.array([b.extents.x, b.extents.y, b.extents.z]) + 1e-6).all()
         assert np.linalg.norm(d) <= tight[node].radius + 1e-6
+
+
+def test_exploded_points_are_never_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from meshlake.operators import hulls
+
+    # A million points from a hundred rows, which Spark estimates at a few kilobytes.
+    points = spark.range(100).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(1), F.lit(10_000))).alias("k"))
+    points = points.select("g", *((F.col("k") % n).cast("double").alias(c) for n, c in ((7, "x"), (11, "y"), (13, "z"))))
+    volumes = (tight_boxes.tight_volumes(points, "g"), hulls.node_volumes(points, "g"), hulls.box_and_radius(points, "g"))
+    for df in volumes:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
