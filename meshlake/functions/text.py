@@ -32,6 +32,11 @@ HEIGHT_UNITS = (
 )
 
 
+def base64_of(raw: Column) -> Column:
+    """Base64 on one line: what Spark encodes is cut into lines of 76 characters by default."""
+    return F.translate(F.base64(raw), "\r\n", "")
+
+
 def lookup(value: Column, table: dict[str, str]) -> Column:
     """The table's entry, or null."""
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), value)
