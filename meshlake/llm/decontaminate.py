@@ -19,7 +19,8 @@ Defined cases
 * Null and empty texts have no words. An item of one to four words is sought as a whole line or a
   whole text, since in running text it would be met everywhere.
 * Items with the same words are one, named by their smallest id, and so are equal windows (with
-  their flanks) of different items: a preamble that many items share counts for the smallest.
+  their flanks) of different items: a preamble that many items share counts for the smallest. With
+  ``every_item`` it counts for each of them, and each of the items with the same words has its row.
 * Repeated rows of a document are one. A null doc_id or item_id is kept as null.
 * Further columns are ignored. Empty tables give no rows.
 
@@ -126,8 +127,14 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """Hashes of the items' windows; equal items as one, and equal windows as one."""
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text): the items, each as its words; null texts aren't any."""
+    words = F.regexp_replace(F.lower("text"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.trim(words).alias("text")).where("text is not null")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """Hashes of the items' windows; equal items as one."""
     schema = _schema(SEEDS)
 
     def run(batches):
@@ -146,11 +153,21 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
                             rows += [{"item_id": item, "n_item": n, "seed": h, "at": k, "around": near[k]} for k, h in enumerate(hashes.tolist())]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    words = F.regexp_replace(F.lower("text"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.trim(words).alias("text")).where("text is not null")
-    seeds = items.groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text").mapInArrow(run, SEEDS)
+    return items.groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text").mapInArrow(run, SEEDS)
+
+
+def benchmark_seeds(windows: DataFrame) -> DataFrame:
+    """Equal windows as one, that of the smallest id."""
     first = F.min(F.struct(F.col("item_id").isNull(), "item_id", "at", "n_item")).alias("f")
-    return seeds.groupBy("seed", "around").agg(first).select("f.item_id", "f.n_item", "seed", "f.at", "around")
+    return windows.groupBy("seed", "around").agg(first).select("f.item_id", "f.n_item", "seed", "f.at", "around")
+
+
+def sharing_items(windows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(item_id, item_at, other_id, n_other, other_at): the places of further items whose window is that of an item in ``seeds``."""
+    of = seeds.select(F.col("item_id").alias("first_id"), F.col("at").alias("item_at"), "seed", "around")
+    other = ~F.col("item_id").eqNullSafe(F.col("first_id"))
+    met = windows.join(of, ["seed", "around"]).where(other)
+    return met.select(F.col("first_id").alias("item_id"), "item_at", F.col("item_id").alias("other_id"), F.col("n_item").alias("n_other"), F.col("at").alias("other_at")).distinct()
 
 
 def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -206,13 +223,16 @@ def document_hits(docs: DataFrame, table: np.ndarray, lengths: tuple) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, HITS)
 
 
-def _stretches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _stretches(docs: DataFrame, items: DataFrame, every_item: bool = False) -> DataFrame:
     """One row per document, text, item and diagonal that overlap: ``n_matched``, ``doc_word``, ``item_word``."""
-    seeds = shared_table(benchmark_seeds(benchmark), "benchmark-seeds")
+    windows = item_windows(items)
+    if every_item:
+        windows = shared_table(windows, "benchmark-windows")
+    seeds = shared_table(benchmark_seeds(windows), "benchmark-seeds")
     lengths = tuple(sorted(r[0] for r in seeds.where(F.col("n_item") < SPAN).select("n_item").distinct().collect()))
     hits = document_hits(docs, seed_filter(seeds), lengths)
-    items = broadcast_if_small(seeds, BROADCAST_SEEDS).select("item_id", "n_item", "seed", F.col("at").alias("item_at"), F.col("around").alias("item_around"))
-    met = hits.join(items, "seed")
+    known = broadcast_if_small(seeds, BROADCAST_SEEDS).select("item_id", "n_item", "seed", F.col("at").alias("item_at"), F.col("around").alias("item_around"))
+    met = hits.join(known, "seed")
     # Word by word: whether both agree; null beyond an end of either, which doesn't count.
     met = met.withColumn("same", F.zip_with("around", "item_around", lambda a, b: F.when((a != 0) & (b != 0), a == b)))
 
@@ -222,7 +242,14 @@ def _stretches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     met = met.where(alike("same") | alike(F.slice("same", FLANK + 1, SPAN)))
     places = F.filter(F.transform("same", lambda x, j: F.when(x, F.col("item_at") - FLANK + j)), lambda x: x.isNotNull())
-    met = met.select("doc_id", "text_hash", "item_id", "n_item", (F.col("at") - F.col("item_at")).alias("diagonal"), places.alias("places"))
+    met = met.select("doc_id", "text_hash", "item_id", "n_item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), places.alias("places"))
+    if every_item:
+        others = broadcast_if_small(shared_table(sharing_items(windows, seeds), "sharing-items"), BROADCAST_SEEDS).withColumnsRenamed({"item_id": "first_id", "item_at": "first_at"})
+        shift = F.col("other_at") - F.col("item_at")
+        also = met.join(others, F.col("item_id").eqNullSafe(F.col("first_id")) & (F.col("item_at") == F.col("first_at"))).select(
+            "doc_id", "text_hash", F.col("other_id").alias("item_id"), F.col("n_other").alias("n_item"), "item_at", (F.col("diagonal") - shift).alias("diagonal"), F.transform("places", lambda x: x + shift).alias("places")
+        )
+        met = met.unionByName(also)
     per_diagonal = met.groupBy("doc_id", "text_hash", "item_id", "n_item", "diagonal").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")
     )
@@ -231,20 +258,30 @@ def _stretches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item that overlap: where, on how many words, and what part of the item."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, every_item: bool = False) -> DataFrame:
+    """One row per document and item that overlap: where, on how many words, and what part of the item.
+
+    Without ``every_item`` a window that several items share, or a whole item, counts for the smallest id.
+    """
+    items = benchmark_items(benchmark)
     best = F.max_by(F.struct("n_matched", "doc_word", "item_word"), F.struct("n_matched", -F.col("doc_word")))
-    return (
-        _stretches(docs, benchmark)
+    out = (
+        _stretches(docs, items, every_item)
         .groupBy("doc_id", "item_id", "n_item")
         .agg(best.alias("b"))
         .select("doc_id", "item_id", "n_item", "b.n_matched", "b.doc_word", "b.item_word", (F.col("b.n_matched") / F.col("n_item")).alias("overlap"))
     )
+    if not every_item:
+        return out
+    named = items.groupBy("text").agg(F.min("item_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("text", "first_id")
+    copies = items.join(named, "text").select("first_id", F.col("item_id").alias("copy_id")).where("not copy_id <=> first_id").distinct()
+    again = out.join(copies, F.col("item_id").eqNullSafe(F.col("first_id"))).select("doc_id", F.col("copy_id").alias("item_id"), *out.columns[2:])
+    return out.unionByName(again)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that overlap an item. A row is known by its id and text: of an id's texts only the leaked ones go, and null ids too."""
-    found = _stretches(docs.select("doc_id", "text"), benchmark).select("doc_id", "text_hash").distinct()
+    found = _stretches(docs.select("doc_id", "text"), benchmark_items(benchmark)).select("doc_id", "text_hash").distinct()
     found = broadcast_if_small(shared_table(found, "contaminated"))
     rows = docs.select(F.struct("*").alias("row"))
     gone = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))

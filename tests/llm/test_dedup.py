@@ -233,6 +233,18 @@ def test_overlaps_tolerate_substitutions(spark, at):
     assert [(r.doc_id, r.item_id, r.n_matched) for r in decontaminate.overlaps(docs, items).collect()] == [(1, 7, 13)]
 
 
+def test_shared_windows_count_for_every_item(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    preamble = words("shared", 24)
+    items = [(3, f"{preamble} {words('first', 12)}"), (4, f"{words('lead', 7)} {preamble} {words('second', 12)}"), (5, words("own", 20)), (6, f"{preamble} {words('first', 12)}".upper()), (None, f"{preamble} {words('last', 5)}")]
+    docs = [(1, f"some text {preamble} and more"), (2, f"{words('lead', 7)} {preamble} {words('second', 12)}"), (7, words("own", 20))]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_matched, r.doc_word, r.item_word) for r in decontaminate.overlaps(*tables, every_item=True).collect()}
+    assert set(got) == {(d, i) for d in (1, 2) for i in (3, 4, 6, None)} | {(7, 5)}
+    assert got[1, 3] == got[1, 6] == (36, 24, 2, 0) and got[1, 4] == (43, 24, 2, 7) and got[1, None] == (29, 24, 2, 0) and got[2, 4] == (43, 43, 0, 0)
+    assert set(got) > {(r.doc_id, r.item_id) for r in decontaminate.overlaps(*tables).collect()}
+
+
 def test_decontaminate_odd_rows(spark, odd, nothing):
     items = spark.createDataFrame([(1, "the end of the ids is here"), (None, None), (2, "")], "item_id long, text string")
     kept = decontaminate.drop_contaminated(odd, items)
