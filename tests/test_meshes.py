@@ -32,3 +32,31 @@ def test_nearest_cluster_far_from_all_centres(spark):
         got = {r.id: (r.distance, r.centre) for r in joins.nearest_cluster(a, b, most).collect()}
         assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
         assert all(abs(got[i][0] - want[i][0]) < 1e-9 for i in want)
+
+
+def test_nearest_cluster_of_items_and_centres_at_few_places(spark, monkeypatch):
+    """Many items and centres at the same places: each place is sought once."""
+    from pyspark.sql import functions as F
+
+    sizes, staged = {}, joins.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        sizes.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(joins, "staged", counted)
+
+    k = F.col("id")
+    items = spark.range(20_000).select("id", (k % 9).alias("x"), (k * 7 % 8).alias("y"), (k % 3).alias("z"))
+    centres = spark.range(6_000).select("id", (k * 5 % 7).alias("x"), (k % 2).alias("y"), (k % 3).alias("z"))
+    plain = {}
+    for c in centres.collect():
+        plain[c.x, c.y, c.z] = min(c.id, plain.get((c.x, c.y, c.z), c.id))
+    got = joins.nearest_cluster(items, centres, 8).collect()
+    want = {}
+    for p in {(i % 9, i * 7 % 8, i % 3) for i in range(20_000)}:
+        want[p] = min((sum((a - b) ** 2 for a, b in zip(p, c, strict=True)) ** 0.5, n) for c, n in plain.items())
+    assert len(got) == 20_000
+    assert all((r.distance, r.centre) == want[r.id % 9, r.id * 7 % 8, r.id % 3] for r in got)
+    assert sizes["places"] == 9 * 8 == len({(i % 9, i * 7 % 8, i % 3) for i in range(20_000)}) and sizes["centres"] == len(plain)
