@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of texts that are taken at a time; one longer text is a block of its own.
-BLOCK = 2 << 20
+#: Bytes of texts that are taken at a time; one longer text is a block of its own. The arrays of a
+#: block are many times as large, in every Python worker of an executor.
+BLOCK = 1 << 19
 #: Base of the polynomials, modulo 2**64, and its inverse, which takes a part out of a running sum.
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
