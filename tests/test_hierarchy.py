@@ -96,6 +96,17 @@ def test_hierarchy(spark, n, leaf, keep, scale):
             assert math.dist((up.x, up.y, up.z), (r.x, r.y, r.z)) <= up.radius + 1e-6
 
 
+@pytest.mark.parametrize("block", [30, 7, 4])
+def test_hierarchy_is_the_same_wherever_tasks_take_over(spark, block):
+    rng = random.Random(6)
+    rows = [(i, tuple(rng.gauss(rng.choice((0, 40)), 5) for _ in range(3))) for i in range(113)]
+    df = spark.createDataFrame([(i, *p) for i, p in rows], "fid long, x double, y double, z double").repartition(3)
+    got = hierarchy.bounding_hierarchy(df, 2.0, 6, 4, block=block).collect()
+    want = plain_hierarchy(rows, 2.0, 6, 4)
+    assert {r.node: r.parent for r in got} == {k: p for k, (p, _) in want.items()}
+    assert all(r.radius == pytest.approx(want[r.node][1], abs=1e-9) for r in got)
+
+
 def test_hierarchy_of_nothing(spark):
     df = spark.createDataFrame([], "fid long, x double, y double, z double")
     assert hierarchy.bounding_hierarchy(df).collect() == []
